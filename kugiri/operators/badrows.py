@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kugiri.plans.skew import bounded
+
 NUMBER = re.compile(r"-?[0-9]+", re.ASCII)
 #: Fields that every record must have: surface, left id, right id, cost and one detail.
 LEAST_FIELDS = 5
@@ -180,8 +182,7 @@ def parse_lines(lines: DataFrame, dictionaries: DataFrame, line: str = "c0", int
     if into in lines.columns:
         raise ValueError(f"column {into} is there already")
     rules = dictionaries.select(F.col("dict_name").alias("__d"), F.struct("n_fields", "flexible_csv", "skip_invalid_cost_or_id").alias("__rule")).dropDuplicates(["__d"])
-    if rules.limit(100_001).count() <= 100_000:
-        rules = F.broadcast(rules)
+    rules = bounded(rules)
     joined = lines.join(rules, lines["dict_name"] == F.col("__d"), "left")
     rule = joined["__rule"]
     return joined.select(*[joined[c] for c in lines.columns], parse_column(joined[line], rule["n_fields"], rule["flexible_csv"], rule["skip_invalid_cost_or_id"]).alias(into))

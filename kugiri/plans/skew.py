@@ -27,3 +27,8 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, to
         cold = rows.join(F.broadcast(marks), on, "left_anti").join(rest, on, "inner")
         return hot.unionByName(cold)
     raise ValueError(how)
+
+
+def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df marked for broadcast when it has at most `most` rows, counted here; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
