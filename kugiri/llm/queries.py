@@ -1,8 +1,10 @@
 """Queries of the training-data problems, and the SQL that checks them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kugiri.llm import lookalike, mojibake
+from kugiri.llm import dress, lookalike, mojibake, termcount
+from kugiri.operators import badrows
 from kugiri.operators.lexicon import surfaces
 from kugiri.plans.shared import read
 
@@ -11,6 +13,42 @@ def _surfaces(spark: SparkSession, d: str) -> DataFrame:
     return surfaces(read(spark, d, "token_views"), read(spark, d, "corpus_words"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Every surface with its record."""
+    views = read(spark, d, "token_views").select("surface", F.lit("t").alias("tbl"), F.col("text_id").alias("record"))
+    return views.unionByName(read(spark, d, "corpus_words").select("surface", F.lit("c").alias("tbl"), F.col("sentence_id").alias("record")))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and records of every distinct surface, and its mark."""
+    rows = _records(spark, d)
+    total = rows.select("tbl", "record").distinct().count()
+    return termcount.mark_values(termcount.count_values(rows, "surface", ["tbl", "record"]), total)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_counts(spark, d).where("mark IS NOT NULL").select("surface", "mark")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """The comparable content of user words and of the seed lines that load."""
+    users = read(spark, d, "user_words").select(F.concat(F.lit("user_words\t"), "dict_name").alias("scope"), F.col("entry_id").alias("id"), dress.pairs({}, F.array("東京スカイツリー", "part_of_speech", "reading")).alias("content"))
+    lines = badrows.loaded(badrows.parse_lines(read(spark, d, "seed_lines").select("line_id", "dict_name", "c0"), read(spark, d, "dictionaries")))
+    p = F.col("parsed")
+    text = F.concat(F.slice(p["fields"], 1, 1), F.slice(p["fields"], 5, F.greatest(F.size(p["fields"]) - 4, F.lit(0))))
+    seeds = lines.select(F.concat(F.lit("seed_lines\t"), "dict_name").alias("scope"), F.col("line_id").alias("id"), dress.pairs({"left": p["left_id"], "right": p["right_id"], "cost": p["cost"]}, text).alias("content"))
+    return users.unionByName(seeds)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return dress.copies(_entries(spark, d), "scope", "id", "content").select(F.split("scope", "\t")[0].alias("tbl"), "first_id", "copy_id")
+
+
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """One row per distinct record with its number of copies."""
+    return dress.collapse(_entries(spark, d), "scope", "id", "content").select(F.split("scope", "\t")[0].alias("tbl"), "first_id", "copies")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.match_lexicon(_surfaces(spark, d), read(spark, d, "lexicon"), read(spark, d, "dictionaries")).select("tbl", "row_id", "word_id")
 
@@ -19,5 +57,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_rows(_surfaces(spark, d), read(spark, d, "lexicon"), read(spark, d, "dictionaries")).select("tbl", "row_id", "word_id")
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
