@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kugiri.llm import dress, lookalike, mojibake, termcount
+from kugiri.llm import dress, leakage, lookalike, mojibake, termcount
 from kugiri.operators import badrows
 from kugiri.operators.lexicon import surfaces
 from kugiri.plans.shared import read
@@ -57,5 +57,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_rows(_surfaces(spark, d), read(spark, d, "lexicon"), read(spark, d, "dictionaries")).select("tbl", "row_id", "word_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "eval_items").select("item_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
