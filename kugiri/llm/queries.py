@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kugiri.llm import dress, leakage, lookalike, mojibake, termcount
+from kugiri.llm import dress, leakage, lookalike, mojibake, quality, termcount
 from kugiri.operators import badrows
 from kugiri.operators.lexicon import surfaces
 from kugiri.plans.shared import read
@@ -61,5 +61,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "eval_items").select("item_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found}
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every document."""
+    words = [r.word for r in read(spark, d, "common_words").select("word").where("word IS NOT NULL").distinct().limit(100_000).collect()]
+    return quality.measure(read(spark, d, "documents").select("doc_id", "text"), words)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(p9_stats(spark, d)).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found, "p9_stats": p9_stats}
 ORACLES: dict[str, str] = {}
