@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kugiri.llm import dress, leakage, lookalike, mojibake, quality, termcount
+from kugiri.llm import dress, leakage, lookalike, mojibake, packing, quality, termcount
 from kugiri.operators import badrows
 from kugiri.operators.lexicon import surfaces
 from kugiri.plans.shared import read
@@ -57,6 +57,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_rows(_surfaces(spark, d), read(spark, d, "lexicon"), read(spark, d, "dictionaries")).select("tbl", "row_id", "word_id")
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in containers of 2,048 tokens."""
+    return packing.pack(packing.token_counts(read(spark, d, "documents"), "doc_id", "text"), 2048)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "eval_items").select("item_id", "text"))
 
@@ -71,5 +76,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(p9_stats(spark, d)).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found, "p9_stats": p9_stats}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_stats": p9_stats}
 ORACLES: dict[str, str] = {}
