@@ -1,6 +1,7 @@
 """Minimum-cost segmentation over a lattice of lexicon, user and unknown words, and its N best paths."""
 
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import count
 
@@ -11,31 +12,23 @@ MOST_COST = 2**31 - 1 - 131072
 #: A sentence is cut at the first character boundary at or after so many bytes.
 MOST_BYTES = 32 * 1024
 MOST_CHARS = 65535
-CUTS = frozenset("\n\t。、")
+PARTS = re.compile("[^\n\t。、]*[\n\t。、]|[^\n\t。、]+")
 
 
 def sentences(text: str) -> Iterator[str]:
-    """Parts of the text, each cut behind one of CUTS or where it has MOST_BYTES."""
-    if len(text.encode("utf-8", "surrogatepass")) < MOST_BYTES:
-        start = 0
-        for i, c in enumerate(text, 1):
-            if c in CUTS:
-                yield text[start:i]
-                start = i
-        if start < len(text):
-            yield text[start:]
-        return
-    start = size = 0
-    for i, c in enumerate(text):
-        if size >= MOST_BYTES:
-            yield text[start:i]
-            start, size = i, 0
-        size += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
-        if c in CUTS:
-            yield text[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(text):
-        yield text[start:]
+    """Parts of the text, each cut behind a line end, a tab, 。 or 、 or where it has MOST_BYTES."""
+    for part in PARTS.findall(text):
+        # four bytes are the longest character
+        if len(part) * 4 < MOST_BYTES or len(part.encode("utf-8", "surrogatepass")) < MOST_BYTES:
+            yield part
+            continue
+        start = size = 0
+        for i, c in enumerate(part):
+            if size >= MOST_BYTES:
+                yield part[start:i]
+                start, size = i, 0
+            size += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+        yield part[start:]
 
 
 def is_kanji(c: str) -> bool:
@@ -54,6 +47,17 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault("", []).append(entry)
 
+    def holds(self, pattern: "re.Pattern") -> bool:
+        """Whether a character of the pattern stands in a surface."""
+        stack = [self.root]
+        while stack:
+            for c, node in stack.pop().items():
+                if c:
+                    if pattern.match(c):
+                        return True
+                    stack.append(node)
+        return False
+
     def prefixes(self, text: str, at: int = 0) -> list[tuple[int, list[tuple]]]:
         """(end, entries) of every surface that text holds from `at`, the shortest first."""
         node, out = self.root, []
@@ -140,8 +144,11 @@ class Lattice:
             unknown_end = i + size
         return out, unknown_end
 
-    def best(self, text: str) -> tuple[list[tuple[int, int, int, str]], int]:
-        """The cheapest path as (start, end, id, type), and its cost; an empty path for an empty text."""
+    def best(self, text: str, before: int = 0, after: int = 0, ends_here: bool = True) -> tuple[list[tuple[int, int, int, str]], int]:
+        """The cheapest path as (start, end, id, type), and its cost; an empty path for an empty text.
+
+        before and after are the context ids between which the text stands, 0 at the ends of a sentence.
+        """
         n = len(text)
         if n == 0:
             return [], 0
@@ -152,7 +159,7 @@ class Lattice:
         costs, penalty = self.d.costs, self.mode.penalty
         # by end position: right id -> (cost with penalty, order, edge, cost)
         ends: list[dict | None] = [None] * (n + 1)
-        ends[0] = {0: (0, 0, None, 0)}
+        ends[0] = {before: (0, 0, None, 0)}
         order = 0
         unknown_end = 0
         for i in range(n):
@@ -186,7 +193,7 @@ class Lattice:
                     path = MOST_COST
                 order += 1
                 # the last word of a sentence is not charged for its length
-                charged = path if penalty is None or end == n else min(MOST_COST, path + penalty.of(end - i, kanji >= end - i))
+                charged = path if penalty is None or ends_here and end == n else min(MOST_COST, path + penalty.of(end - i, kanji >= end - i))
                 there = ends[end]
                 if there is None:
                     ends[end] = {right: (charged, order, (i, end, word, kind, got[1]), path)}
@@ -197,10 +204,10 @@ class Lattice:
         final = ends[n]
         if final is None:
             raise AnalysisError(ErrorKind.DICTIONARY, "no path through the sentence")
-        row = costs[0]
+        row = costs[after]
         low = tie = None
         for r, x in final.items():
-            c = x[3] + row[r]
+            c = x[0] + row[r]
             if low is None or c < low or c == low and x[1] < tie[1]:
                 low, tie = c, x
         out, x = [], tie
@@ -210,6 +217,28 @@ class Lattice:
             x = before
         return out[::-1], low
 
+    def separators(self) -> "re.Pattern | None":
+        """Runs of white space, if every path must take each as one word: then what stands between is independent.
+
+        That holds when SPACE has one unknown word, groups without bound and ladder, its characters have no other category and
+        stand in no word.
+        """
+        cats = self.d.categories
+        s = cats.space
+        if s is None or not cats.group[s] or cats.length[s] and self.ladder or self.cap or len(self.d.unknown[s]) != 1:
+            return None
+        parts = []
+        for low, high, names in cats.rows():
+            if "SPACE" in names:
+                if len(names) > 1:
+                    return None
+                parts.append(f"{re.escape(chr(low))}-{re.escape(chr(high))}")
+        if not parts:
+            return None
+        pattern = re.compile(f"([{''.join(parts)}]+)")
+        tries = [t for t in (self.d.system, self.d.user) if t is not None]
+        return None if any(t.holds(pattern) for t in tries) else pattern
+
     def paths(self, text: str) -> Iterator[tuple[list[tuple[int, int, int, str]], int]]:
         """All paths with their costs, the cheapest first: the forward costs guide a backward A* search."""
         n = len(text)

@@ -5,22 +5,22 @@ end of the chain that Spark can express are left to it as Column expressions.
 """
 
 import json
-from collections import OrderedDict
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kugiri.functions.charfilters import CharacterFilter, character_filter, correct_offsets, size
 from kugiri.functions.tokenfilters import ByField, TokenFilter, token_filter
-from kugiri.model import TOKEN_DDL, AnalysisError, ErrorKind, Mode, Token
+from kugiri.model import TOKEN_DDL, UNKNOWN, AnalysisError, ErrorKind, Mode, Token
 from kugiri.operators.lattice import Lattice, sentences
 from kugiri.sources.dictionary import Dictionary, UserDictionary, load_dictionary
 
-#: Paths of recent sentences kept by a task, and the longest sentence kept.
-CACHED, CACHED_CHARS = 20_000, 400
+#: Paths kept by a task, of texts between white space or of sentences, and the longest text kept.
+CACHED, CACHED_CHARS = 200_000, 100
 TOKEN = pa.struct([("surface", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("position", pa.int32()), ("position_length", pa.int32()), ("word_id", pa.int64()), ("lex_type", pa.string()), ("is_unknown", pa.bool_()), ("details", pa.list_(pa.string()))])
 
 
@@ -52,7 +52,10 @@ class Segmenter:
     # a session's options may change between texts
     def reset(self) -> None:
         self.lattice = Lattice(self.dictionary, self.mode, self.max_grouping_len, self.ladder)
-        self.cache: OrderedDict[str, tuple] = OrderedDict()
+        self.cache: dict[tuple, list] = {}
+        self.gaps = self.lattice.separators()
+        if self.gaps:
+            self.gap = self.dictionary.unknown[self.dictionary.categories.space][0]
 
     def set_mode(self, mode) -> None:
         self.mode = Mode.parse(mode)
@@ -72,7 +75,7 @@ class Segmenter:
     def shrink_to(self, n: int) -> None:
         """Keeps the paths of at most n sentences."""
         while len(self.cache) > n:
-            self.cache.popitem(last=False)
+            self.cache.pop(next(iter(self.cache)))
 
     def __getstate__(self):
         return self.dictionary, self.mode, self.keep_whitespace, self.max_grouping_len, self.ladder
@@ -81,14 +84,30 @@ class Segmenter:
         self.__init__(*state)
 
     def _path(self, sentence: str) -> list:
-        """The best path with each word's text, byte length and whether it is white space."""
-        got = self.cache.get(sentence)
+        """The best path: each word's text, byte length, id, type and whether it is white space."""
+        if self.gaps is None:
+            return self._between(sentence, True, True)
+        parts = self.gaps.split(sentence)
+        if len(parts) == 1:
+            return self._between(sentence, True, True)
+        out, last = [], len(parts) - 1
+        for i, part in enumerate(parts):
+            if i & 1:
+                out.append((part, size(part), self.gap[3], UNKNOWN, True))
+            elif part:
+                out += self._between(part, i == 0, i == last)
+        return out
+
+    def _between(self, text: str, first: bool, last: bool) -> list:
+        key = (text, first, last)
+        got = self.cache.get(key)
         if got is None:
-            got = [self._word(sentence, *x) for x in self.lattice.best(sentence)[0]]
-            if len(sentence) <= CACHED_CHARS:
+            path, _ = self.lattice.best(text, 0 if first else self.gap[1], 0 if last else self.gap[0], last)
+            got = [self._word(text, *x) for x in path]
+            if len(text) <= CACHED_CHARS:
                 if len(self.cache) >= CACHED:
-                    self.cache.popitem(last=False)
-                self.cache[sentence] = got
+                    self.cache.clear()
+                self.cache[key] = got
         return got
 
     def _word(self, sentence: str, start: int, end: int, word: int, kind: str) -> tuple:
@@ -178,7 +197,8 @@ class Tokenizer:
         if self.token_filters:
             return [t.surface for t in self.tokenize(text)]
         text, _ = self._filtered(text)
-        return [w[0] for w in self.segmenter.words(text)]
+        keep, path = self.segmenter.keep_whitespace, self.segmenter._path
+        return [w[0] for s in sentences(text) for w in path(s) if keep or not w[4]]
 
     # DataFrames -----------------------------------------------------------------------------------------------
 
@@ -202,7 +222,10 @@ class Tokenizer:
         shipped = spark.sparkContext.broadcast(chain)
 
         def tokenize(texts: pa.Array) -> pa.Array:
-            return token_arrays([None if t is None else shipped.value.tokenize(t) for t in texts.to_pylist()])
+            chain = shipped.value
+            if not chain.character_filters and not chain.token_filters:
+                return word_arrays(chain.segmenter, texts.to_pylist())
+            return token_arrays([None if t is None else chain.tokenize(t) for t in texts.to_pylist()])
 
         out = F.arrow_udf(tokenize, f"array<struct<{TOKEN_DDL.replace(' ', ':').replace(',:', ', ')}>>")(F.col(text) if isinstance(text, str) else text)
         for column in columns:
@@ -248,6 +271,34 @@ def _lists(found: list, inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), inner)
 
 
+def word_arrays(segmenter: Segmenter, texts: list[str | None]) -> pa.Array:
+    """The tokens of each text, column by column; each word's details are made once."""
+    offsets: list[int | None] = []
+    surfaces, starts, ends, positions, words, kinds, own = [], [], [], [], [], [], []
+    known: dict[tuple, int] = {}
+    details: list[list[str]] = []
+    for text in texts:
+        offsets.append(None if text is None else len(surfaces))
+        if text is None:
+            continue
+        for position, (surface, start, end, word, kind) in enumerate(segmenter.words(text)):
+            place = known.get((word, kind))
+            if place is None:
+                place = known[word, kind] = len(details)
+                details.append(Token(surface, 0, 0, 0, word, kind, segmenter.dictionary).details)
+            surfaces.append(surface)
+            starts.append(start)
+            ends.append(end)
+            positions.append(position)
+            words.append(word)
+            kinds.append(kind)
+            own.append(place)
+    n = len(surfaces)
+    kind = pa.array(kinds, pa.string())
+    arrays = [pa.array(surfaces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(positions, pa.int32()), pa.repeat(pa.scalar(1, pa.int32()), n), pa.array(words, pa.int64()), kind, pc.equal(kind, UNKNOWN), pa.array(details, pa.list_(pa.string())).take(pa.array(own, pa.int32()))]
+    return pa.ListArray.from_arrays(pa.array([*offsets, n], pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(TOKEN)))
+
+
 def token_arrays(found: list[list[Token] | None]) -> pa.Array:
     flat = [t for own in found if own for t in own]
     ints = lambda name: pa.array([getattr(t, name) for t in flat], pa.int32())

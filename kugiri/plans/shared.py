@@ -28,3 +28,12 @@ def stable(df: DataFrame) -> DataFrame:
     at = f"{folder(df.sparkSession)}/kugiri-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores when it comes in fewer partitions, as a small file does; else as it is, without a shuffle.
+
+    For expensive work on each row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
