@@ -77,4 +77,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found, "p9_stats": p9_stats}
-ORACLES: dict[str, str] = {}
+_COUNTS = """WITH r AS (SELECT surface, 't' AS tbl, text_id AS record FROM token_views UNION ALL SELECT surface, 'c', sentence_id FROM corpus_words),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT tbl, record FROM r)),
+p AS (SELECT surface, tbl, record, count(*) AS k FROM r WHERE surface IS NOT NULL GROUP BY ALL)
+SELECT surface, sum(k)::BIGINT AS occurrences, count(*) AS records, CASE WHEN count(*) <= 2 THEN 'rare' WHEN count(*) > 0.1 * any_value(n) THEN 'common' END AS mark FROM p, n GROUP BY surface"""
+ORACLES = {"p1_counts": _COUNTS, "p1_found": f"SELECT surface, mark FROM ({_COUNTS}) WHERE mark IS NOT NULL"}
