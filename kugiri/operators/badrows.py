@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kugiri.plans.names import columns, free
 from kugiri.plans.skew import bounded
 
 NUMBER = re.compile(r"-?[0-9]+", re.ASCII)
@@ -176,16 +177,15 @@ def parse_column(line: Column, n_fields: Column, flexible: Column, skip: Column)
 def parse_lines(lines: DataFrame, dictionaries: DataFrame, line: str = "c0", into: str = "parsed") -> DataFrame:
     """lines (with dict_name and the raw line) with one added column `into`; see parse_column.
 
-    Every row of lines comes out once, other columns untouched; a column of lines named `into` is an error.
+    Every row of lines comes out once, other columns untouched. Where lines has a column named `into`, an underscore is put
+    behind the new one's name.
     dictionaries has one row per dictionary, so it is broadcast below a checked number of rows.
     """
-    if into in lines.columns:
-        raise ValueError(f"column {into} is there already")
     rules = dictionaries.select(F.col("dict_name").alias("__d"), F.struct("n_fields", "flexible_csv", "skip_invalid_cost_or_id").alias("__rule")).dropDuplicates(["__d"])
     rules = bounded(rules)
-    joined = lines.join(rules, lines["dict_name"] == F.col("__d"), "left")
-    rule = joined["__rule"]
-    return joined.select(*[joined[c] for c in lines.columns], parse_column(joined[line], rule["n_fields"], rule["flexible_csv"], rule["skip_invalid_cost_or_id"]).alias(into))
+    joined = lines.join(rules, F.col("dict_name") == F.col("__d"), "left")
+    rule = F.col("__rule")
+    return joined.select(*columns(lines), parse_column(F.col(f"`{line}`"), rule["n_fields"], rule["flexible_csv"], rule["skip_invalid_cost_or_id"]).alias(free(lines, into)))
 
 
 def rejected(parsed: DataFrame, into: str = "parsed") -> DataFrame:

@@ -55,6 +55,8 @@ def test_rules(spark):
     good, bad = badrows.loaded(parsed), badrows.rejected(parsed)
     assert good.count() + bad.count() == len(cases) - 2
     assert good.where("line_id = 10").select("parsed.fields").first()[0] == ["s", "1", "1", "1", 'a"', "b,c"]
+    again = badrows.parse_lines(parsed.withColumnRenamed("n_fields", "a.b"), dictionaries)
+    assert again.columns[-1] == "parsed_" and again.where("parsed_.reason = parsed.reason").count() == len([c for c in cases if c[2] not in (None, "none")])
     assert badrows.parse_lines(lines.limit(0), dictionaries).count() == 0 and badrows.parse_lines(lines, dictionaries.limit(0)).count() == len(cases)
 
 
@@ -89,10 +91,7 @@ def test_rows(spark):
     out = packed.split_rows(df, "packed").collect()
     assert sorted((r.id, r.pos, r.val[:3]) for r in out) == [(1, 0, "a"), (1, 1, "b"), (1, 3, "c"), (4, 0, "a"), (4, 1, "b"), (4, 3, "c"), (5, 0, "xxx"), (5, 1, "y")]
     assert packed.split_rows(df.limit(0), "packed").count() == 0
-    try:
-        packed.split_rows(df.withColumn("pos", F.lit(1)), "packed")
-        raise AssertionError
-    except ValueError:
-        pass
+    clash = packed.split_rows(df.select("id", F.lit(7).alias("POS"), F.lit("o").alias("a.b"), "packed"), "packed").where("id = 1").orderBy("pos_")
+    assert clash.columns == ["id", "POS", "a.b", "pos_", "val"] and [tuple(r) for r in clash.collect()][0] == (1, 7, "o", 0, "a")
     lex = spark.createDataFrame([(["a", "b;c"],), (None,), ([None, "、"],)], "details array<string>")
     assert sorted(packed.known_values(lex)) == ["b;c", "、"] and packed.known_values(lex, most=1) == []
