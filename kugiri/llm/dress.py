@@ -17,13 +17,19 @@ PRIME = (1 << 61) - 1
 
 
 def bare(text: Column) -> Column:
-    """Only letters and digits, without letter case. The case is mapped up and down, as neither way alone joins all forms."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")))
+    """Only letters and digits, without letter case. The case is mapped up and down, as neither way alone joins all forms;
+    the optimizer would drop the first of two neighbouring mappings.
+    """
+    return F.lower(F.regexp_replace(F.upper(text), r"[^\p{L}\p{Nd}]+", ""))
 
 
 def pairs(named: dict[str, Column], free: Column, names: list[str] | None = None) -> Column:
-    """The array of a record's (name, value) pairs. named: values that belong to their field; free: array of text values that may stand in any order."""
-    fixed = [F.concat(F.lit(n + "\x01"), c.cast("string")) for n, c in named.items()]
+    """The array of a record's (name, value) pairs.
+
+    named: values that belong to their field, of which NULL equals NULL; free: array of text values that may stand in any
+    order, of which NULL and those without letters and digits are dropped.
+    """
+    fixed = [F.coalesce(F.concat(F.lit(n + "\x01"), c.cast("string")), F.lit(n + "\x02")) for n, c in named.items()]
     text = F.filter(F.transform(free, lambda v: F.coalesce(bare(v), F.lit(""))), lambda v: v != "")
     return F.concat(F.array(*fixed).cast("array<string>"), F.transform(text, lambda v: F.concat(F.lit("text\x01"), v)))
 

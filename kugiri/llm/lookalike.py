@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kugiri.operators.lexicon import outside
+from kugiri.plans.names import columns, free
 from kugiri.plans.skew import bounded
 
 INVISIBLE = regex.compile(r"[\s\p{Zs}\p{Zl}\p{Zp}\p{Cc}\p{Cf}\p{Default_Ignorable_Code_Point}⠀]+")
@@ -147,7 +148,8 @@ def match_lexicon(rows: DataFrame, lexicon: DataFrame, dictionaries: DataFrame)
 
     Adds word_id, the word's lexicon_surface and kind. Only dictionaries whose normalize_details is true take part (NULL is
     false). Rows with a NULL surface or of no such dictionary are left out; letter case matters. Rows are never shuffled while
-    the lexicon stays under the checked bound of its broadcast.
+    the lexicon stays under the checked bound of its broadcast. Where rows has columns named like the added ones, an underscore
+    is put behind the new names. A surface of nothing visible looks like no word; an empty table gives no row.
     """
     table = confusables(rows.sparkSession)
     flags = bounded(dictionaries.where("normalize_details").select("dict_name", F.col("lang_group").alias("__group")).dropDuplicates(["dict_name"]))
@@ -156,4 +158,4 @@ def match_lexicon(rows: DataFrame, lexicon: DataFrame, dictionaries: DataFrame)
     off = outside(rows, lexicon).join(flags, "dict_name")
     formed = off.withColumn("__f", form_column(F.col("surface"), F.col("__group"), table)).withColumn("__skeleton", F.col("__f.skeleton"))
     out = formed.join(bounded(words), ["dict_name", "__skeleton"])
-    return out.select(*rows.columns, F.col("__w.word_id").alias("word_id"), F.col("__w.lexicon_surface").alias("lexicon_surface"), F.col("__f.kind").alias("kind"))
+    return out.select(*columns(rows), F.col("__w.word_id").alias(free(rows, "word_id")), F.col("__w.lexicon_surface").alias(free(rows, "lexicon_surface")), F.col("__f.kind").alias(free(rows, "kind")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kugiri.operators.lexicon import outside
+from kugiri.plans.names import columns, free
 from kugiri.plans.skew import bounded
 
 #: Encodings that text is wrongly read in.
@@ -198,7 +199,7 @@ def restore_column(text: Column, dict_name: Column, dictionaries: dict[str, tupl
                 if key[1] not in by:
                     label, group = dictionaries.get(key[1], ("utf-8", ""))
                     own = words.value.get(key[1])
-                    by[key[1]] = Restorer(codec_of(label), state["group"].get(group) or Describer([]), None if own is None else frozenset(own))
+                    by[key[1]] = Restorer(codec_of(label), state["group"].get(group) or Describer([]), frozenset(own or ()))
                 text, chain, lost = by[key[1]].restore(key[0])
                 got = seen[key] = {"text": text, "chain": chain, "lost": lost}
             out.append(got)
@@ -212,7 +213,8 @@ def restore_rows(rows: DataFrame, lexicon: DataFrame, dictionaries: DataFrame) -
 
     word_id is -1 when characters were lost for good. A NULL surface, one without a character beyond ASCII and one that is a
     word of its dictionary are left out. Restored text is confirmed by an equality join with the lexicon of any size; to
-    confirm lost text the lexicon is shipped to the workers, so more than MOST_WORDS words are an error.
+    confirm lost text the lexicon is shipped to the workers, so more than MOST_WORDS words are an error. Where rows has
+    columns named like the added ones, an underscore is put behind the new names. An empty table gives no row.
     """
     spark = rows.sparkSession
     if lexicon.limit(MOST_WORDS + 1).count() > MOST_WORDS:
@@ -227,4 +229,4 @@ def restore_rows(rows: DataFrame, lexicon: DataFrame, dictionaries: DataFrame) -
     targets = bounded(lexicon.select("dict_name", F.col("surface").alias("__text"), F.col("word_id").alias("__word")).dropDuplicates(["dict_name", "__text"]))
     hits = tried.where("__r.lost OR __r.text IS NOT NULL").withColumn("__text", F.col("__r.text")).join(targets, ["dict_name", "__text"], "left")
     found = hits.where("__r.lost OR __word IS NOT NULL")
-    return found.select(*rows.columns, F.when(F.col("__r.lost"), F.lit(-1)).otherwise(F.col("__word")).cast("long").alias("word_id"), F.col("__r.chain").alias("chain"))
+    return found.select(*columns(rows), F.when(F.col("__r.lost"), F.lit(-1)).otherwise(F.col("__word")).cast("long").alias(free(rows, "word_id")), F.col("__r.chain").alias(free(rows, "chain")))
