@@ -34,6 +34,8 @@ class TokenFilter:
 
     kind = ""
     column: Callable[[Column], Column] | None = None
+    #: Whether a token's fate depends on its surface and word alone, so that it is decided once for all its occurrences.
+    one_by_one = False
 
     def apply(self, tokens: list[Token]) -> list[Token]:
         raise NotImplementedError
@@ -45,6 +47,8 @@ class TokenFilter:
 class _Surface(TokenFilter):
     """Changes surfaces one by one."""
 
+    one_by_one = True
+
     def surface(self, text: str) -> str:
         raise NotImplementedError
 
@@ -57,6 +61,8 @@ class _Surface(TokenFilter):
 class _Keep(TokenFilter):
     """Keeps the tokens of which a test is true."""
 
+    one_by_one = True
+
     def test(self, token: Token) -> bool:
         raise NotImplementedError
 
@@ -177,6 +183,8 @@ class MapSurface(_Surface):
 class ByField(TokenFilter):
     """Known tokens take the value of the first field that has one, field by field."""
 
+    one_by_one = True
+
     def __init__(self, *fields: str):
         self.fields = fields
 
@@ -280,6 +288,7 @@ class Number(TokenFilter):
     """Numerals of the tokens with one of the tags, or of all."""
 
     kind = "japanese_number"
+    one_by_one = True
 
     def __init__(self, tags=None):
         self.tags = None if tags is None else frozenset(map(pad, tags))

@@ -19,10 +19,12 @@ def sentence_rows(df: DataFrame, text: str) -> DataFrame:
         return pa.array([None if p is None else list(sentences(p)) for p in parts.to_pylist()], pa.list_(pa.string()))
 
     rest = [c for c in df.columns if c != text]
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"[^\n\t。、]*[\n\t。、]|[^\n\t。、]+"), 0)
-    long = F.exists(parts, lambda p: F.octet_length(p) >= MOST_BYTES)
-    whole = F.when(long, F.arrow_udf(cut, "array<string>")(F.when(long, F.col(text)))).otherwise(parts)
-    return df.select(*rest, F.posexplode(whole).alias("place", "sentence")).withColumn("bytes", F.octet_length("sentence").cast("long"))
+    # only a text over the bound can hold a sentence over it
+    long = F.octet_length(text) >= MOST_BYTES
+    ends = F.split(text, r"(?<=[\n\t。、])")
+    short = df.where(~long).select(*rest, F.posexplode(F.filter(ends, lambda s: s != "")).alias("place", "sentence"))
+    cut_rows = df.where(long).select(*rest, F.posexplode(F.arrow_udf(cut, "array<string>")(text)).alias("place", "sentence"))
+    return short.unionByName(cut_rows).withColumn("bytes", F.octet_length("sentence").cast("long"))
 
 
 def code_point(c: Column) -> Column:

@@ -25,5 +25,43 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_rows(views.unionByName(words), "packed", known=known)
 
 
-ORACLES: dict[str, str] = {}
 QUERIES = {"p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found}
+
+
+# SQL: the same rules said by regular expressions ----------------------------------------------------------------------
+
+_WHITE = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_FIELD = '(?:"(?:[^"]|"")*"|[^",][^,]*|)'
+
+
+def trimmed(i: int) -> str:
+    return f"regexp_replace(f[{i}], '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+def _number(i: int, low: int, high: int) -> str:
+    text = trimmed(i)
+    return f"coalesce(regexp_full_match({text}, '-?[0-9]+') AND try_cast({text} AS HUGEINT) BETWEEN {low} AND {high}, false)"
+
+
+#: Every line that isn't blank with its fields (unquoted) and the reason for which it doesn't load.
+LINES_SQL = f"""l AS (SELECT line_id, dict_name, c0, n_fields, coalesce(flexible_csv, false) AS flexible, coalesce(skip_invalid_cost_or_id, false) AS skip FROM seed_lines LEFT JOIN dictionaries USING (dict_name) WHERE NOT regexp_full_match(c0, '[{_WHITE}]*')),
+p AS (SELECT *, regexp_full_match(c0, '{_FIELD}(?:,{_FIELD})*', 's') AS fine, list_transform(regexp_extract_all(c0 || ',', '{_FIELD},', 0, 's'), lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-3], '""', '"') ELSE x[:-2] END) AS f FROM l),
+q AS (SELECT *, CASE WHEN NOT fine THEN 'quoting' WHEN (flexible AND len(f) < 5) OR (NOT flexible AND len(f) IS DISTINCT FROM n_fields) THEN 'columns' WHEN NOT (NOT regexp_full_match(f[1], '[{_WHITE}]*') AND {_number(2, 0, 65535)} AND {_number(3, 0, 65535)} AND {_number(4, -32768, 32767)}) THEN CASE WHEN skip THEN 'skipped' ELSE 'value' END END AS reason FROM p)"""
+
+
+def _packed_sql() -> str:
+    cls = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+    sep, blank = cls(packed.separators()), cls(packed.blanks())
+    double, single = '"(?:[^"]|"")*"', "''(?:[^'']|'''')*''"
+    return f"""WITH r AS (SELECT 'token_views' AS tbl, row_id, details AS p FROM token_views WHERE details IS NOT NULL UNION ALL SELECT 'corpus_words', row_id, feature FROM corpus_words WHERE feature IS NOT NULL),
+m AS (SELECT tbl, row_id, regexp_extract_all(p || ',', '[{blank}]*(?:{double}|{single})[{blank}]*[{sep}]|[^{sep}]*[{sep}]', 0, 's') AS l FROM r),
+u AS (SELECT tbl, row_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM m),
+t AS (SELECT tbl, row_id, pos, regexp_replace(x[:-2], '^[{blank}]+|[{blank}]+$', '', 'g') AS t FROM u),
+v AS (SELECT tbl, row_id, pos::INT AS pos, CASE WHEN length(t) > 1 AND regexp_full_match(t, '{double}', 's') THEN replace(t[2:-2], '""', '"') WHEN length(t) > 1 AND regexp_full_match(t, '{single}', 's') THEN replace(t[2:-2], '''''', '''') ELSE t END AS val FROM t)
+SELECT * FROM v WHERE val <> ''"""
+
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"WITH {LINES_SQL} SELECT line_id, reason FROM q WHERE reason IS NOT NULL",
+    "p5_found": _packed_sql(),
+}

@@ -5,7 +5,9 @@ end of the chain that Spark can express are left to it as Column expressions.
 """
 
 import json
+import re
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,6 +26,22 @@ CACHED, CACHED_CHARS = 200_000, 100
 TOKEN = pa.struct([("surface", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("position", pa.int32()), ("position_length", pa.int32()), ("word_id", pa.int64()), ("lex_type", pa.string()), ("is_unknown", pa.bool_()), ("details", pa.list_(pa.string()))])
 
 
+class Memo(dict):
+    """Results by key, made when first asked for; emptied when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Segmenter:
     """Texts to tokens by one dictionary under one set of options."""
 
@@ -56,6 +74,7 @@ class Segmenter:
         self.gaps = self.lattice.separators()
         if self.gaps:
             self.gap = self.dictionary.unknown[self.dictionary.categories.space][0]
+            self.cuts = re.compile(self.gaps.pattern[1:-1])
 
     def set_mode(self, mode) -> None:
         self.mode = Mode.parse(mode)
@@ -193,12 +212,48 @@ class Tokenizer:
         return out
 
     def tokenize_surfaces(self, text: str) -> list[str]:
-        """The surfaces of tokenize(); without token filters nothing else is made."""
-        if self.token_filters:
+        """The surfaces of tokenize(). Filters that look at one token alone are applied once to each word."""
+        if not all(f.one_by_one for f in self.token_filters):
             return [t.surface for t in self.tokenize(text)]
         text, _ = self._filtered(text)
-        keep, path = self.segmenter.keep_whitespace, self.segmenter._path
-        return [w[0] for s in sentences(text) for w in path(s) if keep or not w[4]]
+        s, final = self.segmenter, self._final()
+        if s.gaps is None or s.keep_whitespace:
+            keep = s.keep_whitespace
+            return [f[0] for part in sentences(text) for w in s._path(part) if (keep or not w[4]) and (f := final[w[0], w[2], w[3]]) is not None]
+        if s.cache is not self.__dict__.get("_of"):  # new options bring a new cache
+            made = lambda first, last: Memo(lambda word: [f[0] for w in (s._between(word, first, last) if word else ()) if not w[4] and (f := final[w[0], w[2], w[3]]) is not None])
+            self._of, self._spans = s.cache, {(a, b): made(a, b) for a in (False, True) for b in (False, True)}
+        spans, out = self._spans, []
+        middle, begin, end, whole, split = spans[False, False], spans[True, False], spans[False, True], spans[True, True], self.segmenter.cuts.split
+        for part in sentences(text):
+            words = split(part)
+            if len(words) == 1:
+                out += whole[part]
+            else:
+                out += begin[words[0]]
+                out += chain.from_iterable(map(middle.__getitem__, words[1:-1]))
+                out += end[words[-1]]
+        return out
+
+    def _final(self) -> Memo:
+        """What the token filters make of a word, by surface, id and type: surface and details, or None."""
+        if self.__dict__.get("_made_for") is not self.segmenter:
+            dictionary, filters = self.segmenter.dictionary, self.token_filters
+
+            def make(key):
+                tokens = [Token(key[0], 0, 0, 0, key[1], key[2], dictionary)]
+                for f in filters:
+                    tokens = f.apply(tokens)
+                return (tokens[0].surface, tokens[0].details) if tokens else None
+
+            self._made_for, self._finals = self.segmenter, Memo(make)
+        return self._finals
+
+    def __getstate__(self):
+        return self.segmenter, self.character_filters, self.token_filters
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     # DataFrames -----------------------------------------------------------------------------------------------
 
@@ -216,16 +271,20 @@ class Tokenizer:
             own.pop()
         return Tokenizer(self.segmenter, [f for f in self.character_filters if not f.is_identity()], own), columns[::-1]
 
-    def tokens(self, spark: SparkSession, text: Column | str) -> Column:
-        """An array column of token structs; NULL for NULL, an empty array for an empty text."""
-        chain, columns = self._split()
-        shipped = spark.sparkContext.broadcast(chain)
+    def tokens(self, spark: SparkSession, text: Column | str, details: bool = True) -> Column:
+        """An array column of token structs; NULL for NULL, an empty array for an empty text.
+
+        Without details they are NULL and don't travel; word_id and lex_type say where they are (operators.entries). Spark can't
+        prune what a Python function gives, so this is up to the caller.
+        """
+        own, columns = self._split() if details else (Tokenizer(self.segmenter, self.character_filters, self.token_filters), [])
+        shipped = spark.sparkContext.broadcast(own)
 
         def tokenize(texts: pa.Array) -> pa.Array:
-            chain = shipped.value
-            if not chain.character_filters and not chain.token_filters:
-                return word_arrays(chain.segmenter, texts.to_pylist())
-            return token_arrays([None if t is None else chain.tokenize(t) for t in texts.to_pylist()])
+            own = shipped.value
+            if all(f.one_by_one for f in own.token_filters):
+                return word_arrays(own, texts.to_pylist(), details)
+            return token_arrays([None if t is None else own.tokenize(t) for t in texts.to_pylist()], details)
 
         out = F.arrow_udf(tokenize, f"array<struct<{TOKEN_DDL.replace(' ', ':').replace(',:', ', ')}>>")(F.col(text) if isinstance(text, str) else text)
         for column in columns:
@@ -254,10 +313,10 @@ class Tokenizer:
         token = f"struct<{TOKEN_DDL.replace(' ', ':').replace(',:', ', ')}>"
         return F.arrow_udf(candidates, f"array<struct<rank:int, cost:bigint, tokens:array<{token}>>>")(F.col(text) if isinstance(text, str) else text)
 
-    def tokenize_rows(self, df: DataFrame, text: str, into: str = "token") -> DataFrame:
+    def tokenize_rows(self, df: DataFrame, text: str, into: str = "token", details: bool = True) -> DataFrame:
         """One row per token: df's other columns and the fields of the token, or one struct where names clash."""
         rest = [c for c in df.columns if c != text]
-        rows = df.select(*[F.col(f"`{c}`") for c in rest], F.explode(self.tokens(df.sparkSession, F.col(f"`{text}`"))).alias(into))
+        rows = df.select(*[F.col(f"`{c}`") for c in rest], F.explode(self.tokens(df.sparkSession, F.col(f"`{text}`"), details)).alias(into))
         if {f.name for f in TOKEN} & set(rest):
             return rows
         return rows.select(*[F.col(f"`{c}`") for c in rest], f"{into}.*")
@@ -271,39 +330,49 @@ def _lists(found: list, inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), inner)
 
 
-def word_arrays(segmenter: Segmenter, texts: list[str | None]) -> pa.Array:
-    """The tokens of each text, column by column; each word's details are made once."""
+def word_arrays(tokenizer: Tokenizer, texts: list[str | None], with_details: bool = True) -> pa.Array:
+    """The tokens of each text, column by column, by a chain whose filters look at one token alone; each word's details are made once."""
     offsets: list[int | None] = []
     surfaces, starts, ends, positions, words, kinds, own = [], [], [], [], [], [], []
-    known: dict[tuple, int] = {}
+    final, places = tokenizer._final(), {}
     details: list[list[str]] = []
     for text in texts:
         offsets.append(None if text is None else len(surfaces))
         if text is None:
             continue
-        for position, (surface, start, end, word, kind) in enumerate(segmenter.words(text)):
-            place = known.get((word, kind))
-            if place is None:
-                place = known[word, kind] = len(details)
-                details.append(Token(surface, 0, 0, 0, word, kind, segmenter.dictionary).details)
-            surfaces.append(surface)
+        text, mappings = tokenizer._filtered(text)
+        length = size(text) if mappings else 0
+        for position, (surface, start, end, word, kind) in enumerate(tokenizer.segmenter.words(text)):
+            made = final[surface, word, kind]
+            if made is None:
+                continue
+            if with_details:
+                place = places.get((word, kind))
+                if place is None:
+                    place = places[word, kind] = len(details)
+                    details.append(made[1])
+                own.append(place)
+            for m in reversed(mappings):
+                start, end = m.correct(start, length), m.correct(end, length)
+            surfaces.append(made[0])
             starts.append(start)
             ends.append(end)
             positions.append(position)
             words.append(word)
             kinds.append(kind)
-            own.append(place)
     n = len(surfaces)
     kind = pa.array(kinds, pa.string())
-    arrays = [pa.array(surfaces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(positions, pa.int32()), pa.repeat(pa.scalar(1, pa.int32()), n), pa.array(words, pa.int64()), kind, pc.equal(kind, UNKNOWN), pa.array(details, pa.list_(pa.string())).take(pa.array(own, pa.int32()))]
+    detail = pa.array(details, pa.list_(pa.string())).take(pa.array(own, pa.int32())) if with_details else pa.nulls(n, pa.list_(pa.string()))
+    arrays = [pa.array(surfaces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(positions, pa.int32()), pa.repeat(pa.scalar(1, pa.int32()), n), pa.array(words, pa.int64()), kind, pc.equal(kind, UNKNOWN), detail]
     return pa.ListArray.from_arrays(pa.array([*offsets, n], pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(TOKEN)))
 
 
-def token_arrays(found: list[list[Token] | None]) -> pa.Array:
+def token_arrays(found: list[list[Token] | None], with_details: bool = True) -> pa.Array:
     flat = [t for own in found if own for t in own]
     ints = lambda name: pa.array([getattr(t, name) for t in flat], pa.int32())
     kinds = pa.array([t.lex_type for t in flat], pa.string())
-    arrays = [pa.array([t.surface for t in flat], pa.string()), *map(ints, ("byte_start", "byte_end", "position", "position_length")), pa.array([t.word_id for t in flat], pa.int64()), kinds, pa.array([t.is_unknown for t in flat], pa.bool_()), pa.array([t.details for t in flat], pa.list_(pa.string()))]
+    details = pa.array([t.details for t in flat], pa.list_(pa.string())) if with_details else pa.nulls(len(flat), pa.list_(pa.string()))
+    arrays = [pa.array([t.surface for t in flat], pa.string()), *map(ints, ("byte_start", "byte_end", "position", "position_length")), pa.array([t.word_id for t in flat], pa.int64()), kinds, pa.array([t.is_unknown for t in flat], pa.bool_()), details]
     return _lists(found, pa.StructArray.from_arrays(arrays, fields=list(TOKEN)))
 
 

@@ -35,8 +35,7 @@ def _counted(characters=(), tokens=(), **options):
     """Counts of the surfaces that a chain makes of all documents."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        chain = tokenizer(characters=characters, tokens=tokens, **options)
-        surfaces = F.transform(chain.tokens(spark, "text"), lambda t: t["surface"]) if tokens else chain.surfaces(spark, "text")
+        surfaces = tokenizer(characters=characters, tokens=tokens, **options).surfaces(spark, "text")
         return documents(spark, d).select(F.explode(surfaces).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
 
     return query
@@ -45,12 +44,12 @@ def _counted(characters=(), tokens=(), **options):
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: lower-case words without stop words, by language."""
     chain = tokenizer(tokens=[("lowercase", {}), ("stop_words", {"words": STOP})])
-    rows = documents(spark, d).select("lang", F.explode(chain.tokens(spark, "text")).alias("t"))
-    return rows.groupBy("lang", F.col("t.surface").alias("surface")).agg(F.count("*").alias("n"))
+    rows = documents(spark, d).select("lang", F.explode(chain.surfaces(spark, "text")).alias("surface"))
+    return rows.groupBy("lang", "surface").agg(F.count("*").alias("n"))
 
 
 def token_offsets(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokenizer().tokenize_rows(documents(spark, d).select("doc_id", "text"), "text")
+    rows = tokenizer().tokenize_rows(documents(spark, d).select("doc_id", "text"), "text", details=False)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("byte_start").alias("starts"), F.sum("byte_end").alias("ends"), F.max("position").alias("last"), F.sum("position_length").alias("lengths"))
 
 
@@ -62,7 +61,7 @@ def token_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wakati(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", formats.wakati_column(tokenizer().tokens(spark, "text")).alias("line"))
+    return documents(spark, d).select("doc_id", formats.wakati_column(tokenizer().tokens(spark, "text", details=False)).alias("line"))
 
 
 def mecab(spark: SparkSession, d: str) -> DataFrame:
@@ -256,6 +255,7 @@ ORACLES = {
     "tokens_base_form": _count_sql(),
     "tokens_reading_form": _count_sql(),
     "tokens_korean_reading_form": _count_sql(),
+    "tokens_compound_word": f"WITH {_numbered('documents', 'doc_id')}, g AS (SELECT doc_id, i, s, {_TAG} IN ('KATAKANA', 'KANJI') AS m FROM o WHERE kept), h AS (SELECT *, CASE WHEN m THEN row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, m ORDER BY i) ELSE i END AS run FROM g), j AS (SELECT string_agg(s, '' ORDER BY i) AS surface FROM h GROUP BY doc_id, m, run) SELECT surface, count(*) AS n FROM j GROUP BY surface",
     "lexicon_prefixes": "WITH s AS (SELECT DISTINCT dict_name, surface FROM token_views WHERE surface IS NOT NULL) SELECT s.dict_name, s.surface, l.word_id, length(l.surface)::INT AS end_char, strlen(l.surface)::INT AS end_byte FROM s JOIN lexicon l ON s.dict_name = l.dict_name AND starts_with(s.surface, l.surface)",
     "lexicon_lookup": "WITH s AS (SELECT dict_name, surface, count(*) AS seen FROM token_views WHERE surface IS NOT NULL GROUP BY ALL) SELECT s.dict_name, s.surface, seen, word_id, left_context_id, right_context_id, cost::INT AS cost FROM s JOIN lexicon l USING (dict_name, surface)",
     "word_details": "SELECT row_id, array_to_string(list_resize(CASE WHEN lex_type = 'System' THEN coalesce(l.details, []) ELSE ['UNK'] END, greatest((n_fields - 4), len(CASE WHEN lex_type = 'System' THEN coalesce(l.details, []) ELSE ['UNK'] END)), '*'), '|') AS details FROM token_views v JOIN dictionaries USING (dict_name) LEFT JOIN lexicon l USING (word_id)",

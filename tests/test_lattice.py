@@ -161,6 +161,10 @@ def test_session_options():
     s.set_mode("decompose")
     s.set_keep_whitespace(True)
     assert [t.surface for t in s.segment("都 都")] == ["都", " ", "都"]
+    chain = Tokenizer(Segmenter(bundled("scripts")))
+    assert chain.tokenize_surfaces("ab12 x") == ["ab", "12", "x"]
+    chain.segmenter.set_max_grouping_len(1)
+    assert chain.tokenize_surfaces("abc x") == ["a", "bc", "x"]
     s.shrink_to(0)
     assert not s.cache
 
