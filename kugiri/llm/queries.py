@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kugiri.llm import dress, leakage, lookalike, mojibake, packing, quality, termcount
 from kugiri.operators import badrows
 from kugiri.operators.lexicon import surfaces
+from kugiri.operators.queries import LINES_SQL, trimmed
 from kugiri.plans.shared import read
 
 
@@ -81,4 +82,13 @@ _COUNTS = """WITH r AS (SELECT surface, 't' AS tbl, text_id AS record FROM token
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT tbl, record FROM r)),
 p AS (SELECT surface, tbl, record, count(*) AS k FROM r WHERE surface IS NOT NULL GROUP BY ALL)
 SELECT surface, sum(k)::BIGINT AS occurrences, count(*) AS records, CASE WHEN count(*) <= 2 THEN 'rare' WHEN count(*) > 0.1 * any_value(n) THEN 'common' END AS mark FROM p, n GROUP BY surface"""
-ORACLES = {"p1_counts": _COUNTS, "p1_found": f"SELECT surface, mark FROM ({_COUNTS}) WHERE mark IS NOT NULL"}
+_CONTENT = f"""WITH {LINES_SQL},
+e AS (SELECT 'user_words' AS tbl, entry_id AS id, dict_name, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, ["東京スカイツリー", part_of_speech, reading] AS f FROM user_words UNION ALL SELECT 'seed_lines', line_id, dict_name, {trimmed(2)}::BIGINT, {trimmed(3)}::BIGINT, {trimmed(4)}::BIGINT, [f[1]] || f[5:] FROM q WHERE reason IS NULL),
+k AS (SELECT tbl, id, dict_name, a, b, c, list_sort(list_filter(list_transform(f, lambda x: lower(upper(regexp_replace(coalesce(x, ''), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')))), lambda x: x <> '')) AS f FROM e),
+g AS (SELECT tbl, id AS copy_id, min(id) OVER w AS first_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY tbl, dict_name, a, b, c, f))"""
+ORACLES = {
+    "p1_counts": _COUNTS,
+    "p1_found": f"SELECT surface, mark FROM ({_COUNTS}) WHERE mark IS NOT NULL",
+    "p2_found": f"{_CONTENT} SELECT tbl, first_id, copy_id FROM g WHERE copy_id <> first_id",
+    "p2_collapsed": f"{_CONTENT} SELECT tbl, first_id, copies FROM g WHERE copy_id = first_id",
+}
