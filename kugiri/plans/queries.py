@@ -10,6 +10,8 @@ from kugiri.plans.shared import read, spread
 from kugiri.sources.bundled import _SCRIPTS, bundled
 from kugiri.sources.dictionary import context_frequencies, group_entries
 from kugiri.streaming.tokens import windowed_counts
+from kugiri.trainer.crf import CrfTrainer
+from kugiri.trainer.lexicon import CLASSES, LexiconTrainer, TrainingConfig, to_cost
 
 STOP = ["the", "of", "and", "a", "one", "each", "said", "die", "eine", "jede", "de", "le", "un", "el"]
 TAGS = ["NUMERIC", "KATAKANA", "HANGUL"]
@@ -140,6 +142,23 @@ def decomposed(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select(F.explode(chain.tokens(spark, "text")).alias("t")).groupBy(F.col("t.details")[0].alias("tag"), F.col("t.surface").alias("surface")).agg(F.count("*").alias("n"))
 
 
+CHARACTERS = "DEFAULT 0 1 0\nHIRAGANA 1 1 0\nKATAKANA 1 1 0\nKANJI 0 0 2\nALPHA 1 1 0\nNUMERIC 1 1 0\n0x3041..0x3096 HIRAGANA\n0x30A1..0x30F6 KATAKANA\n0x4E00..0x9FAF KANJI\n0x0030..0x0039 NUMERIC\n0x0041..0x005A ALPHA\n0x0061..0x007A ALPHA\n"
+
+
+def trained_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of the function words, trained on the analyses of the evaluation passages' sentences."""
+    chain = tokenizer("function-words")
+    words = chain.segmenter.dictionary.words
+    seed = "\n".join(",".join([w[0], "0", "0", "0", *w[4]]) for w in words)
+    unk = "\n".join(f"{n},0,0,0,名詞,{n},*,*,*,*,*,*,*" for n in CLASSES)
+    config = TrainingConfig.parse(seed, CHARACTERS, unk, "UNIGRAM U:%F[0]\nUNIGRAM W:%w\nBIGRAM B:%L[0]/%R[0]\n", "")
+    parts = spread(read(spark, d, "eval_items").select(F.explode(F.split("text", r"(?<=[.,;]) ")).alias("text")))
+    tokens = F.transform(chain.tokens(spark, "text"), lambda t: F.struct(t["surface"].alias("surface"), F.array_join(t["details"], ",").alias("feature")))
+    model = LexiconTrainer(config, CrfTrainer("l2", 0.1, max_iter=8)).train(parts.select(tokens.alias("tokens")))
+    rows = [(s, left, right, to_cost(w, model.cost_factor)) for s, (w, left, right) in zip(model.surfaces, model.words)]
+    return spark.createDataFrame(rows, "surface string, left_id int, right_id int, cost int")
+
+
 def _text_filter(kind: str, args: dict):
     def query(spark: SparkSession, d: str) -> DataFrame:
         return documents(spark, d).select("doc_id", entries.filter_column(kind, args)(F.col("text")).alias("text"))
@@ -191,6 +210,7 @@ QUERIES = {
     "yearly_counts": yearly_counts,
     "nbest": nbest,
     "decomposed": decomposed,
+    "trained_lexicon": trained_lexicon,
 }
 
 

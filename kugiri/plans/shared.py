@@ -23,10 +23,12 @@ def stable(df: DataFrame) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs no recomputation of what lies before, and fixes row
-    partitioning and ids that a recomputation could change.
+    partitioning and ids that a recomputation could change. The table is deleted when the application ends.
     """
     at = f"{folder(df.sparkSession)}/kugiri-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
