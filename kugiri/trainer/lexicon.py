@@ -12,6 +12,8 @@ from kugiri.sources.definitions import Categories
 from kugiri.trainer.crf import CrfTrainer, FeatureSet, Lattice, Merged
 
 VARIABLE = re.compile(r"%(?:([FLR])(\?)?\[(\d+)\]|([twulr]))")
+#: Fixed value: the weight every user word has.
+USER_WEIGHT = 0.8
 SECTIONS = {"[unigram rewrite]": 0, "[left rewrite]": 1, "[right rewrite]": 2}
 #: The order of character classes in training lattices.
 CLASSES = ("DEFAULT", "HIRAGANA", "KATAKANA", "KANJI", "ALPHA", "NUMERIC")
@@ -277,6 +279,36 @@ class LexiconModel:
     def id_def(self, side: dict[int, list[str]]) -> str:
         return "0 BOS/EOS\n" + "".join(f"{i} {','.join(f)}\n" for i, f in side.items())
 
+    def infer_ids(self, surface: str, feature: str) -> tuple[int, int]:
+        """Context ids of the trained word whose feature agrees best, where earlier fields weigh more; the first of equals.
+
+        A feature that agrees with none takes the ids of the unknown word of the surface's character class.
+        """
+        fields, best, found = feature.split(","), 0, None
+        for own, word in zip(self.features, self.words):
+            other = own.split(",")
+            n = min(len(fields), len(other))
+            score = sum(n - i for i in range(n) if fields[i] == other[i])
+            if score > best:
+                best, found = score, word
+        if found is None:
+            kind = CLASSES[character_class(surface[0])] if surface else "DEFAULT"
+            i = len(self.surfaces) + (self.categories.index(kind) if kind in self.categories else 0)
+            found = self.words[i] if i < len(self.words) else (0.0, 0, 0)
+        return found[1], found[2]
+
+    def user_lexicon(self, words: list[tuple[str, str]]) -> str:
+        """User words (surface, feature) with inferred ids and one cost for all."""
+        cost = to_cost(USER_WEIGHT, self.cost_factor)
+        return "".join("{},{},{},{},{}\n".format(s, *self.infer_ids(s, f), cost, f) for s, f in words)
+
+    def bigram_details(self) -> tuple[str, str, str]:
+        """The features of the left ids, of the right ids, and the cost of every trained pair of ids, one a line."""
+        side = lambda ids: "".join(f"{i}\t" + ",".join("*" if x == "*" else f'"{x}"' for x in own) + "\n" for i, own in ids.items())
+        name = lambda ids, i: ",".join(ids[i]) if i in ids else "BOS/EOS"
+        pairs = "".join(f"{name(self.right_ids, r)}/{name(self.left_ids, x)}\t{to_cost(w, self.cost_factor)}\n" for r, row in enumerate(self.matrix) for x, w in sorted(row.items()))
+        return side(self.left_ids), side(self.right_ids), pairs
+
     def metadata(self, base: str) -> str:
         """The base metadata with a default cost from the median weight, and what was trained."""
         try:

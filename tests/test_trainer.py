@@ -116,4 +116,30 @@ def test_from_corpus_to_dictionary(spark, tmp_path):
     assert again.lexicon() == model.lexicon() and again.matrix_def() == model.matrix_def() and again.evaluate() == pytest.approx(model.evaluate())
     rows = spark.createDataFrame([(own,) for own in CORPUS] + [([],)], "tokens array<struct<surface:string, feature:string>>")
     assert [w[0] for w in LexiconTrainer(config(), CrfTrainer("l2", 0.01)).train(rows).words] == pytest.approx([w[0] for w in model.words], abs=1e-3)
+    ids = {s: w[1:] for s, w in zip(model.surfaces, model.words)}
+    assert model.infer_ids("鼠", "名詞,一般,ネズミ") == ids["犬"] == ids["猫"] or model.infer_ids("鼠", "名詞,一般,ネズミ") in ids.values()
+    assert model.infer_ids("ア", "x") == model.words[len(model.surfaces) + 2][1:]
+    assert model.user_lexicon([("鼠", "名詞,一般,ネズミ")]).startswith("鼠,") and model.user_lexicon([]) == ""
+    left, right, pairs = model.bigram_details()
+    assert len(left.splitlines()) == len(model.left_ids) and len(right.splitlines()) == len(model.right_ids) and len(pairs.splitlines()) == sum(map(len, model.matrix)) and "BOS/EOS" in pairs
     assert [to_cost(w, 10) for w in (0.05, -0.05, 9999, 0)] == [-1, 1, -32768, 0]
+
+
+def test_one_call_functions(tmp_path):
+    from kugiri import api
+
+    files = {"seed": "犬,0,0,0,名詞,一般\nが,0,0,0,助詞,格\n", "corpus": "犬\t名詞,一般\nが\t助詞,格\nEOS\n", "char_def": CHAR, "unk_def": "\n".join(f"{n},0,0,0,名詞,{n}" for n in ("DEFAULT", "HIRAGANA", "KATAKANA", "KANJI", "ALPHA", "NUMERIC")), "feature_def": "UNIGRAM W:%w\nBIGRAM B:%L[0]/%R[0]\n", "rewrite_def": ""}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, "utf-8")
+    api.train(**{n: str(tmp_path / n) for n in files}, output=str(tmp_path / "m.json"), regularization="l2")
+    meta = metadata(dictionary_schema=Schema(("surface", "left_context_id", "right_context_id", "cost", "pos", "sub")))
+    (tmp_path / "base.json").write_text(meta.to_json(), "utf-8")
+    assert "metadata.json" in api.export(str(tmp_path / "m.json"), str(tmp_path / "x"), str(tmp_path / "base.json"))
+    api.build_dictionary(str(tmp_path / "x"), str(tmp_path / "d"), meta)
+    d = api.load_dictionary(str(tmp_path / "d"))
+    assert [t.surface for t in api.Segmenter(d).segment("犬が")] == ["犬", "が"]
+    (tmp_path / "u.csv").write_text("犬が,x,y\n", "utf-8")
+    meta.default_left_context_id, meta.default_right_context_id = d.find_surface("犬")[0][0], d.find_surface("が")[0][1]
+    api.build_user_dictionary(str(tmp_path / "u.csv"), str(tmp_path / "u.parquet"), meta)
+    u = api.load_user_dictionary(str(tmp_path / "u.parquet"), meta)
+    assert u.rows[0][0] == "犬が" and api.Segmenter(d.with_user(u)).segment("犬が")[0].surface == "犬が"
