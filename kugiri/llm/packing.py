@@ -9,6 +9,7 @@ their length, which is counted in hashed buckets, so that a length may hold any
 
 import base64
 import os
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,17 +25,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+@lru_cache(4)
+def encoding(vocabulary: str):
+    """The tokenizer of a rank file, read once in a worker."""
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(documents: DataFrame, id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Id and n_tokens of every text in tokens of a public byte-pair vocabulary; NULL text has 0."""
 
     def count(batches):
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encode = encoding(vocabulary).encode_ordinary
         for b in batches:
-            n = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
+            n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], [id, "n_tokens"])
 
     return documents.select(id, text).mapInArrow(count, f"`{id}` {documents.schema[id].dataType.simpleString()}, n_tokens long")
