@@ -188,6 +188,23 @@ def parse_lines(lines: DataFrame, dictionaries: DataFrame, line: str = "c0", int
     return joined.select(*columns(lines), parse_column(F.col(f"`{line}`"), rule["n_fields"], rule["flexible_csv"], rule["skip_invalid_cost_or_id"]).alias(free(lines, into)))
 
 
+def source_records(sources: DataFrame, text: str) -> DataFrame:
+    """One row per record of sources of several lines: the other columns, place (from 0), start, fields and error_at.
+
+    A record whose quoting broke has no fields and the character where it broke; the records behind it come from the next
+    record start on. A NULL or blank source gives no row. Each source is parsed whole, as a quoted field may run over lines.
+    """
+    record = pa.struct([("start", pa.int32()), ("fields", pa.list_(pa.string())), ("error_at", pa.int32())])
+
+    def parsed(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [r._asdict() for r in parse_source(t)] for t in texts.to_pylist()], pa.list_(record))
+
+    rest = columns(sources, (text,))
+    rows = sources.select(*rest, F.posexplode(F.arrow_udf(parsed, "array<struct<start:int, fields:array<string>, error_at:int>>")(F.col(f"`{text}`"))).alias("__place", "__record"))
+    name = lambda n: free(sources, n, (text,))
+    return rows.select(*rest, F.col("__place").alias(name("place")), *[F.col(f"__record.{n}").alias(name(n)) for n in ("start", "fields", "error_at")])
+
+
 def rejected(parsed: DataFrame, into: str = "parsed") -> DataFrame:
     """The rows that don't load; into.reason says why."""
     return parsed.where(F.col(into)["reason"].isNotNull())

@@ -35,6 +35,13 @@ def test_recovery_at_the_next_record_start():
     assert [r.fields[0] for r in badrows.parse_source("a,1\r\nb,2\r\n")] == ["a", "b"] and list(badrows.parse_source("")) == []
 
 
+def test_sources(spark):
+    df = spark.createDataFrame([(1, 'a,1\n"b\nc",2\n"x"y\nd,1,2,3,n\n', "s"), (2, None, "s"), (3, " \n", "s"), (4, "", "s")], "id int, text string, start string")
+    got = [(r.id, r.place, r.start_, r.fields, r.error_at) for r in badrows.source_records(df, "text").orderBy("id", "place").collect()]
+    assert got == [(1, 0, 0, ["a", "1"], None), (1, 1, 4, ["b\nc", "2"], None), (1, 2, 12, None, 14), (1, 3, 17, ["d", "1", "2", "3", "n"], None)]
+    assert badrows.source_records(df.limit(0), "text").count() == 0
+
+
 def test_numbers():
     ok = lambda *v: badrows.structural(["x", *v])
     assert ok("0", " 65535　", "-32768") == (0, 65535, -32768) and ok("-0", "007", "32767") == (0, 7, 32767)
