@@ -26,7 +26,7 @@ def stable(df: DataFrame) -> DataFrame:
     partitioning and ids that a recomputation could change. The table is deleted when the application ends.
     """
     at = f"{folder(df.sparkSession)}/kugiri-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(at)
