@@ -46,19 +46,33 @@ def same_multiset(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(a, lambda v: often(a, v) == often(b, v))
 
 
+#: Fingerprints of repeated groups that are broadcast (24 bytes each); with more of them the records meet by a shuffle.
+MOST_REPEATED = 1_000_000
+
+
 def _grouped(records: DataFrame, scope: str, id: str, values: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Fingerprint groups; the records that equal their group's first; the content groups of those that don't; their records."""
-    slim = records.select(F.struct(F.col(scope).alias("s"), multiset_hash(F.col(values), 11).alias("a"), multiset_hash(F.col(values), 23).alias("b")).alias("__f"), F.col(id).alias("__id"), F.col(values).alias("__v"))
-    # NULL scopes must meet each other in joins
-    slim = stable(slim.select(F.to_json("__f", {"ignoreNullFields": "false"}).alias("__k"), "__f.s", "__id", "__v"))
-    groups = slim.groupBy("__k").agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.min_by("__v", "__id").alias("__first"), F.count("*").alias("n"))
-    repeated = groups.where("n > 1").select("__k", "first_id", "__first", "n", F.col("n").alias("__n"))
-    met = join_by_key(slim, repeated, ["__k"], "__n", slim.count())
+    """Fingerprint groups; the copies that equal their group's first; the content groups of those that don't; their records.
+
+    Content is only moved for the copies and firsts of repeated groups, which are found by fingerprints alone. The scope counts
+    as one more pair.
+    """
+    inside = F.coalesce(F.concat(F.lit("scope\x03"), F.col(scope)), F.lit("scope\x04"))
+    slim = records.select(F.col(scope).alias("s"), F.col(id).alias("__id"), F.concat(F.col(values), F.array(inside)).alias("__v"))
+    slim = stable(slim.select(multiset_hash(F.col("__v"), 11).alias("__a"), multiset_hash(F.col("__v"), 23).alias("__b"), "s", "__id", "__v"))
+    total, key = slim.count(), ["__a", "__b"]
+    groups = slim.groupBy(*key).agg(F.min("__id").alias("first_id"), F.count("*").alias("n"))
+    repeated = stable(groups.where("n > 1"))
+    if repeated.count() <= MOST_REPEATED:
+        members = slim.join(F.broadcast(repeated), key)
+    else:
+        members = join_by_key(slim, repeated.withColumn("__n", F.col("n")), key, "__n", total)
+    firsts = members.where("__id = first_id").select(*key, F.col("__v").alias("__first"), "n").dropDuplicates(key)
+    met = join_by_key(members.where("__id <> first_id").drop("n"), firsts, key, "n", total)
     equal = same_multiset(F.col("__v"), F.col("__first"))
     # equal fingerprints of different content: practically none, but resolved by the content itself
-    strange = met.where(~equal).select("__k", "s", "__id", F.array_sort("__v").alias("__v"))
-    others = strange.groupBy("__k", "__v").agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.count("*").alias("n"))
-    return groups, met.where(equal), others, strange
+    strange = met.where(~equal).select(*key, "s", "__id", F.array_sort("__v").alias("__v"))
+    others = strange.groupBy(*key, "__v").agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.count("*").alias("n"))
+    return slim.groupBy(*key).agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.count("*").alias("n")), met.where(equal), others, strange
 
 
 def copies(records: DataFrame, scope: str, id: str, values: str) -> DataFrame:
@@ -69,13 +83,13 @@ def copies(records: DataFrame, scope: str, id: str, values: str) -> DataFrame:
     share of all rows. An empty table gives no row.
     """
     _, equal, others, strange = _grouped(records, scope, id, values)
-    out = equal.select("s", "first_id", "__id").unionByName(strange.drop("s").join(others, ["__k", "__v"]).select("s", "first_id", "__id"))
+    out = equal.select("s", "first_id", "__id").unionByName(strange.drop("s").join(others, ["__a", "__b", "__v"]).select("s", "first_id", "__id"))
     return out.where("__id <> first_id").select(F.col("s").alias(scope), "first_id", F.col("__id").alias("copy_id"))
 
 
 def collapse(records: DataFrame, scope: str, id: str, values: str) -> DataFrame:
     """One row per distinct record: scope, first_id and copies, the number of records that are equal (1: no copy)."""
     groups, _, others, _ = _grouped(records, scope, id, values)
-    strangers = others.groupBy("__k").agg(F.sum("n").alias("__off"))
-    kept = groups.join(strangers, "__k", "left").select("s", "first_id", (F.col("n") - F.coalesce("__off", F.lit(0))).alias("copies"))
+    strangers = others.groupBy("__a", "__b").agg(F.sum("n").alias("__off"))
+    kept = groups.join(strangers, ["__a", "__b"], "left").select("s", "first_id", (F.col("n") - F.coalesce("__off", F.lit(0))).alias("copies"))
     return kept.unionByName(others.select("s", "first_id", F.col("n").alias("copies"))).withColumnRenamed("s", scope)

@@ -56,6 +56,13 @@ def test_copies_equal_brute_force(spark):
     assert dress.copies(df.limit(0), "scope", "id", "content").count() == 0 and dress.collapse(df.limit(0), "scope", "id", "content").count() == 0
 
 
+def test_many_repeated_groups_meet_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(dress, "MOST_REPEATED", 3)
+    rows = [("d", i, ["hot"] if i % 3 == 0 else [f"v{i % 40}"]) for i in range(900)]
+    df = spark.createDataFrame(rows, "scope string, id long, content array<string>").repartition(4)
+    assert {tuple(r) for r in dress.copies(df, "scope", "id", "content").collect()} == groups(rows)[0]
+
+
 def test_fingerprints_that_collide_are_resolved(spark, monkeypatch):
     monkeypatch.setattr(dress, "multiset_hash", lambda values, seed: F.size(values).cast("long"))
     rows = [("d", 1, ["a"]), ("d", 2, ["b"]), ("d", 3, ["b"]), ("d", 4, ["a"]), ("d", 5, ["c"]), ("d", 6, ["c", "b"]), ("d", 7, ["b", "c"])]
