@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, StructType, TimestampType
 
 from kugiri.functions.charfilters import CharacterFilter, character_filter, correct_offsets, size
 from kugiri.functions.tokenfilters import ByField, TokenFilter, token_filter
@@ -23,6 +24,10 @@ from kugiri.sources.dictionary import Dictionary, UserDictionary, load_dictionar
 
 #: Paths kept by a task, of texts between white space or of sentences, and the longest text kept.
 CACHED, CACHED_CHARS = 200_000, 100
+#: Characters of texts whose token rows are made at once.
+CHARS_AT_ONCE = 1_000_000
+#: Types of columns that go along with flat token rows.
+FLAT = (NumericType, StringType, BooleanType, DateType, TimestampType, BinaryType)
 TOKEN = pa.struct([("surface", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("position", pa.int32()), ("position_length", pa.int32()), ("word_id", pa.int64()), ("lex_type", pa.string()), ("is_unknown", pa.bool_()), ("details", pa.list_(pa.string()))])
 
 
@@ -314,14 +319,46 @@ class Tokenizer:
         return F.arrow_udf(candidates, f"array<struct<rank:int, cost:bigint, tokens:array<{token}>>>")(F.col(text) if isinstance(text, str) else text)
 
     def tokenize_rows(self, df: DataFrame, text: str, into: str = "token", details: bool = True) -> DataFrame:
-        """One row per token: df's other columns and the fields of the token, or one struct where names clash."""
+        """One row per token: df's other columns and the fields of the token, or one struct where names clash.
+
+        Chains whose filters look at one token alone give flat rows right from the Arrow pass, for
+        CHARS_AT_ONCE characters or one text at a time.
+        """
         rest = [c for c in df.columns if c != text]
+        if all(f.one_by_one for f in self.token_filters) and not {f.name.lower() for f in TOKEN} & {c.lower() for c in rest} and all(isinstance(df.schema[c].dataType, FLAT) for c in rest):
+            return self._flat_rows(df, rest, text, details)
         rows = df.select(*[F.col(f"`{c}`") for c in rest], F.explode(self.tokens(df.sparkSession, F.col(f"`{text}`"), details)).alias(into))
         if {f.name for f in TOKEN} & set(rest):
             return rows
         return rows.select(*[F.col(f"`{c}`") for c in rest], f"{into}.*")
 
 
+    def _flat_rows(self, df: DataFrame, rest: list[str], text: str, details: bool) -> DataFrame:
+        filters = [f for f in self.token_filters if not f.is_identity()]
+        shipped = df.sparkSession.sparkContext.broadcast(Tokenizer(self.segmenter, [f for f in self.character_filters if not f.is_identity()], filters))
+        names = [*rest, *(f.name for f in TOKEN)]
+
+        def rows(batches):
+            for b in batches:
+                texts = b.column(len(rest))
+                lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
+                at = 0
+                while at < len(texts):
+                    to = max(at + 1, int(lengths.searchsorted((lengths[at - 1] if at else 0) + CHARS_AT_ONCE, side="right")))
+                    offsets, arrays = word_columns(shipped.value, texts.slice(at, to - at).to_pylist(), details)
+                    owner = []
+                    starts = [o for o in offsets if o is not None]
+                    filled = [i for i, o in enumerate(offsets[:-1]) if o is not None]
+                    for i, first, last in zip(filled, starts, starts[1:]):
+                        owner += [at + i] * (last - first)
+                    own = pa.array(owner, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in range(len(rest))), *arrays], names)
+                    at = to
+
+        schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL(TOKEN_DDL).fields])
+        return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
+
+
 def _lists(found: list, inner: pa.Array) -> pa.Array:
     offsets, at = [], 0
     for own in found:
@@ -331,7 +368,13 @@ def _lists(found: list, inner: pa.Array) -> pa.Array:
 
 
 def word_arrays(tokenizer: Tokenizer, texts: list[str | None], with_details: bool = True) -> pa.Array:
-    """The tokens of each text, column by column, by a chain whose filters look at one token alone; each word's details are made once."""
+    """The tokens of each text by a chain whose filters look at one token alone."""
+    offsets, arrays = word_columns(tokenizer, texts, with_details)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(TOKEN)))
+
+
+def word_columns(tokenizer: Tokenizer, texts: list[str | None], with_details: bool = True) -> tuple[list[int | None], list[pa.Array]]:
+    """Where each text's tokens begin (None for no text), with the end of all; and the tokens' columns. Each word's details are made once."""
     offsets: list[int | None] = []
     surfaces, starts, ends, positions, words, kinds, own = [], [], [], [], [], [], []
     final, places = tokenizer._final(), {}
@@ -364,7 +407,7 @@ def word_arrays(tokenizer: Tokenizer, texts: list[str | None], with_details: boo
     kind = pa.array(kinds, pa.string())
     detail = pa.array(details, pa.list_(pa.string())).take(pa.array(own, pa.int32())) if with_details else pa.nulls(n, pa.list_(pa.string()))
     arrays = [pa.array(surfaces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(positions, pa.int32()), pa.repeat(pa.scalar(1, pa.int32()), n), pa.array(words, pa.int64()), kind, pc.equal(kind, UNKNOWN), detail]
-    return pa.ListArray.from_arrays(pa.array([*offsets, n], pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(TOKEN)))
+    return [*offsets, n], arrays
 
 
 def token_arrays(found: list[list[Token] | None], with_details: bool = True) -> pa.Array:

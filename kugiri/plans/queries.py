@@ -7,6 +7,7 @@ from kugiri.functions import formats
 from kugiri.operators import entries
 from kugiri.plans.analyzer import Tokenizer, TokenizerBuilder
 from kugiri.plans.shared import read, spread
+from kugiri.plans.skew import bounded
 from kugiri.sources.bundled import _SCRIPTS, bundled
 from kugiri.sources.dictionary import context_frequencies, group_entries
 from kugiri.streaming.tokens import windowed_counts
@@ -138,8 +139,12 @@ def nbest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decomposed(spark: SparkSession, d: str) -> DataFrame:
+    """Tags and surfaces in decompose mode; details meet the counts, not the tokens."""
     chain = tokenizer("function-words", mode="decompose")
-    return documents(spark, d).select(F.explode(chain.tokens(spark, "text")).alias("t")).groupBy(F.col("t.details")[0].alias("tag"), F.col("t.surface").alias("surface")).agg(F.count("*").alias("n"))
+    rows = chain.tokenize_rows(documents(spark, d).select("text"), "text", details=False)
+    counts = rows.groupBy("lex_type", "word_id", "surface").agg(F.count("*").alias("n"))
+    words = bounded(chain.segmenter.dictionary.details_table(spark))
+    return counts.join(words, ["lex_type", "word_id"]).groupBy(F.col("details")[0].alias("tag"), "surface").agg(F.sum("n").alias("n"))
 
 
 CHARACTERS = "DEFAULT 0 1 0\nHIRAGANA 1 1 0\nKATAKANA 1 1 0\nKANJI 0 0 2\nALPHA 1 1 0\nNUMERIC 1 1 0\n0x3041..0x3096 HIRAGANA\n0x30A1..0x30F6 KATAKANA\n0x4E00..0x9FAF KANJI\n0x0030..0x0039 NUMERIC\n0x0041..0x005A ALPHA\n0x0061..0x007A ALPHA\n"

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kugiri.model import FORMAT_VERSION, SYSTEM, USER, AnalysisError, ErrorKind, Metadata
+from kugiri.model import FORMAT_VERSION, SYSTEM, UNKNOWN, USER, AnalysisError, ErrorKind, Metadata
 from kugiri.operators import badrows
 from kugiri.operators.lattice import Trie
 from kugiri.plans.rank import with_rank
@@ -274,6 +274,13 @@ class Dictionary:
         (folder / "matrix.def").write_text(matrix_text(self.matrix), "utf-8")
         (folder / "metadata.json").write_text(self.metadata.to_json(), "utf-8")
 
+    def details_table(self, spark: SparkSession) -> DataFrame:
+        """lex_type, word_id and details of every word, for tokens that were made without details."""
+        rows = [(SYSTEM, i, w[4]) for i, w in enumerate(self.words) if w is not None] + [(UNKNOWN, i, r[4]) for i, r in enumerate(self.unknown_rows)]
+        rows += [(USER, i, r[4]) for i, r in enumerate(self.user_dictionary.rows)] if self.user_dictionary else []
+        width = len(self.schema.custom_fields)
+        return spark.createDataFrame([(k, i, [*d, *["*"] * (width - len(d))]) for k, i, d in rows], "lex_type string, word_id long, details array<string>")
+
     def words_table(self, spark: SparkSession) -> DataFrame:
         """The lexicon as a table, for joins on word_id and lookups by surface."""
         rows = [(i, *w) for i, w in enumerate(self.words) if w is not None]

@@ -49,6 +49,12 @@ def test_rows_with_clashing_names_and_empty_tables(spark):
     out = chain.tokenize_rows(df, "text")
     assert out.columns == ["id", "surface", "token"] and [r.token.surface for r in out.collect()] == ["東京", "都"]
     assert chain.tokenize_rows(df.limit(0), "text").count() == 0
+    many = spark.createDataFrame([(i, f"k{i}", None if i % 7 == 0 else "" if i % 5 == 0 else TEXTS[i % 2] * (1 + i % 3), [i]) for i in range(60)], "id int, k string, text string, a array<int>").repartition(3)
+    flat, nested = chain.tokenize_rows(many.drop("a"), "text"), chain.tokenize_rows(many, "text").drop("a")
+    assert flat.columns == nested.columns and sorted(map(tuple, flat.collect())) == sorted(map(tuple, nested.collect())) and flat.count() > 60
+    words = {(r.lex_type, r.word_id): r.details for r in dictionary().details_table(spark).collect()}
+    bare = chain.tokenize_rows(many.drop("a"), "text", details=False).collect()
+    assert all(r.details is None for r in bare) and [words[r.lex_type, r.word_id] for r in sorted(bare, key=lambda r: (r.id, r.position))] == [r.details for r in sorted(flat.collect(), key=lambda r: (r.id, r.position))]
     assert chain.tokenize_rows(df.drop("surface"), "text").columns[:2] == ["id", "surface"]
 
 
