@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,7 @@ class Segmenter:
 
     def set_keep_whitespace(self, keep: bool) -> None:
         self.keep_whitespace = keep
+        self.reset()
 
     def set_max_grouping_len(self, n: int | None) -> None:
         self.max_grouping_len = n or None
@@ -173,6 +175,108 @@ class Segmenter:
         return [(t, c) for t, c in ranks]
 
 
+class Pieces:
+    """Texts as numbers of pieces (spans between white space, and runs of it), from whose tokens columns are gathered at once.
+
+    A piece has a length in bytes and its kept tokens (number, first and end byte); a token's number stands for its surface, id
+    and type, and for what the token filters make of it. All are made when a piece is first seen.
+    """
+
+    def __init__(self, tokenizer: "Tokenizer"):
+        self.tokenizer, self.segmenter, self.final = tokenizer, tokenizer.segmenter, tokenizer._final()
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.alive, self.surfaces, self.words, self.kinds, self.details = [], [], [], [], []
+        self.sizes, self.begins, self.tokens, self.starts, self.ends = [], [0], [], [], []
+        memo = lambda first, last: _Numbers(lambda text: self._piece(self.segmenter._between(text, first, last) if text else ()))
+        self.spans = {(a, b): memo(a, b) for a in (False, True) for b in (False, True)}
+        self.gaps = _Numbers(lambda text: self._piece([(text, size(text), self.segmenter.gap[3], UNKNOWN, True)]))
+
+    def _piece(self, words) -> int:
+        at = 0
+        for surface, n, word, kind, blank in words:
+            if self.segmenter.keep_whitespace or not blank:
+                key = (surface, word, kind)
+                number = self.numbers.get(key)
+                if number is None:
+                    number = self.numbers[key] = len(self.alive)
+                    made = self.final[key]
+                    self.alive.append(made is not None)
+                    self.surfaces.append(made[0] if made else "")
+                    self.details.append(made[1] if made else [])
+                    self.words.append(word)
+                    self.kinds.append(kind)
+                self.tokens.append(number)
+                self.starts.append(at)
+                self.ends.append(at + n)
+            at += n
+        self.sizes.append(at)
+        self.begins.append(len(self.tokens))
+        return len(self.sizes) - 1
+
+    def _numbers_of(self, text: str, out: list[int]) -> None:
+        whole, begin, end, middle = self.spans[True, True], self.spans[True, False], self.spans[False, True], self.spans[False, False]
+        for sentence in sentences(text):
+            parts = self.segmenter.gaps.split(sentence)
+            if len(parts) == 1:
+                out.append(whole[sentence])
+                continue
+            own = [begin[parts[0]]] * len(parts)
+            own[1::2] = map(self.gaps.__getitem__, parts[1::2])
+            own[2:-1:2] = map(middle.__getitem__, parts[2:-1:2])
+            own[-1] = end[parts[-1]]
+            out += own
+
+    def columns(self, texts: list[str | None], with_details: bool) -> tuple[list[int | None], list[pa.Array]]:
+        if len(self.sizes) > CACHED:
+            self.clear()
+        pieces: list[int] = []
+        cuts = [0]
+        for text in texts:
+            if text:
+                self._numbers_of(text, pieces)
+            cuts.append(len(pieces))
+        ids, cut = np.array(pieces, np.int64), np.array(cuts, np.int64)
+        begins = np.array(self.begins, np.int64)
+        bytes_to = np.concatenate(([0], np.cumsum(np.array(self.sizes or [0], np.int64)[ids])))
+        count = begins[ids + 1] - begins[ids]
+        tokens_to = np.concatenate(([0], np.cumsum(count)))
+        n = int(tokens_to[-1])
+        at = np.repeat(begins[ids] - tokens_to[:-1], count) + np.arange(n)
+        # the text each piece is of, its first byte and first token
+        text_of = np.repeat(np.arange(len(texts)), np.diff(cut))
+        base = np.repeat(bytes_to[:-1] - bytes_to[cut[:-1]][text_of], count)
+        position = np.arange(n) - np.repeat(tokens_to[cut[:-1]][text_of], count)
+        number = np.array(self.tokens, np.int64)[at]
+        kept = np.array(self.alive, bool)[number]
+        kept_to = np.concatenate(([0], np.cumsum(kept)))[tokens_to[cut]].tolist()
+        offsets = [None if t is None else k for t, k in zip(texts, kept_to)]
+        number, at, base, position = number[kept], at[kept], base[kept], position[kept]
+        places = pa.array(number)
+        take = lambda values, kind: pa.array(values, kind).take(places)
+        kinds = take(self.kinds, pa.string())
+        int32 = lambda x: pa.array(x.astype(np.int32))
+        details = take(self.details, pa.list_(pa.string())) if with_details else pa.nulls(len(number), pa.list_(pa.string()))
+        arrays = [take(self.surfaces, pa.string()), int32(base + np.array(self.starts, np.int64)[at]), int32(base + np.array(self.ends, np.int64)[at]), int32(position), pa.repeat(pa.scalar(1, pa.int32()), len(number)), take(self.words, pa.int64()), kinds, pc.equal(kinds, UNKNOWN), details]
+        return [*offsets, kept_to[-1]], arrays
+
+
+class _Numbers(dict):
+    """The number of a piece, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> int:
+        number = self.make(text)
+        if len(text) <= CACHED_CHARS:
+            self[text] = number
+        return number
+
+
 @dataclass
 class Tokenizer:
     """A segmenter with filters around it."""
@@ -254,6 +358,11 @@ class Tokenizer:
             self._made_for, self._finals = self.segmenter, Memo(make)
         return self._finals
 
+    def _pieces(self) -> "Pieces":
+        if self.segmenter.cache is not self.__dict__.get("_pieces_of"):
+            self._pieces_of, self._made_pieces = self.segmenter.cache, Pieces(self)
+        return self._made_pieces
+
     def __getstate__(self):
         return self.segmenter, self.character_filters, self.token_filters
 
@@ -375,6 +484,8 @@ def word_arrays(tokenizer: Tokenizer, texts: list[str | None], with_details: boo
 
 def word_columns(tokenizer: Tokenizer, texts: list[str | None], with_details: bool = True) -> tuple[list[int | None], list[pa.Array]]:
     """Where each text's tokens begin (None for no text), with the end of all; and the tokens' columns. Each word's details are made once."""
+    if tokenizer.segmenter.gaps is not None and not tokenizer.character_filters:
+        return tokenizer._pieces().columns(texts, with_details)
     offsets: list[int | None] = []
     surfaces, starts, ends, positions, words, kinds, own = [], [], [], [], [], [], []
     final, places = tokenizer._final(), {}
