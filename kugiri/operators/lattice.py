@@ -218,26 +218,28 @@ class Lattice:
         return out[::-1], low
 
     def separators(self) -> "re.Pattern | None":
-        """Runs of white space, if every path must take each as one word: then what stands between is independent.
+        """Runs that every path must take as one word, white space among them: then what stands between is independent.
 
-        That holds when SPACE has one unknown word, groups without bound and ladder, its characters have no other category and
-        stand in no word.
+        That holds for the runs of a category with one unknown word that groups without bound and ladder, whose characters have
+        no other category and stand in no word. Only categories whose unknown word has the context ids of SPACE's are taken, so
+        that all spans have equal neighbours; without such a SPACE there are none.
         """
         cats = self.d.categories
-        s = cats.space
-        if s is None or not cats.group[s] or cats.length[s] and self.ladder or self.cap or len(self.d.unknown[s]) != 1:
-            return None
-        parts = []
-        for low, high, names in cats.rows():
-            if "SPACE" in names:
-                if len(names) > 1:
-                    return None
-                parts.append(f"{re.escape(chr(low))}-{re.escape(chr(high))}")
-        if not parts:
-            return None
-        pattern = re.compile(f"([{''.join(parts)}]+)")
         tries = [t for t in (self.d.system, self.d.user) if t is not None]
-        return None if any(t.holds(pattern) for t in tries) else pattern
+        patterns = {}
+        for k, name in enumerate(cats.names):
+            if not cats.group[k] or cats.length[k] and self.ladder or self.cap or len(self.d.unknown[k]) != 1:
+                continue
+            ranges = [(low, high, own) for low, high, own in cats.rows() if name in own]
+            if not ranges or any(len(own) > 1 for *_, own in ranges):
+                continue
+            pattern = "[" + "".join(f"{re.escape(chr(low))}-{re.escape(chr(high))}" for low, high, _ in ranges) + "]"
+            if not any(t.holds(re.compile(pattern)) for t in tries):
+                patterns[k] = pattern
+        if cats.space not in patterns:
+            return None
+        ids = self.d.unknown[cats.space][0][:2]
+        return re.compile("(" + "|".join(p + "+" for k, p in patterns.items() if self.d.unknown[k][0][:2] == ids) + ")")
 
     def paths(self, text: str) -> Iterator[tuple[list[tuple[int, int, int, str]], int]]:
         """All paths with their costs, the cheapest first: the forward costs guide a backward A* search."""

@@ -5,7 +5,6 @@ end of the chain that Spark can express are left to it as Column expressions.
 """
 
 import json
-import re
 from dataclasses import dataclass, field
 from itertools import chain
 from pathlib import Path
@@ -80,7 +79,6 @@ class Segmenter:
         self.gaps = self.lattice.separators()
         if self.gaps:
             self.gap = self.dictionary.unknown[self.dictionary.categories.space][0]
-            self.cuts = re.compile(self.gaps.pattern[1:-1])
 
     def set_mode(self, mode) -> None:
         self.mode = Mode.parse(mode)
@@ -119,7 +117,7 @@ class Segmenter:
         out, last = [], len(parts) - 1
         for i, part in enumerate(parts):
             if i & 1:
-                out.append((part, size(part), self.gap[3], UNKNOWN, True))
+                out.append(self._forced(part))
             elif part:
                 out += self._between(part, i == 0, i == last)
         return out
@@ -136,6 +134,11 @@ class Segmenter:
                 self.cache[key] = got
         return got
 
+    def _forced(self, text: str) -> tuple:
+        """The word of a run that every path takes whole."""
+        kind = self.dictionary.categories.of(text[0])[0]
+        return text, size(text), self.dictionary.unknown[kind][0][3], UNKNOWN, kind == self.dictionary.categories.space
+
     def _word(self, sentence: str, start: int, end: int, word: int, kind: str) -> tuple:
         text = sentence[start:end]
         space = self.dictionary.categories.space
@@ -192,7 +195,7 @@ class Pieces:
         self.sizes, self.begins, self.tokens, self.starts, self.ends = [], [0], [], [], []
         memo = lambda first, last: _Numbers(lambda text: self._piece(self.segmenter._between(text, first, last) if text else ()))
         self.spans = {(a, b): memo(a, b) for a in (False, True) for b in (False, True)}
-        self.gaps = _Numbers(lambda text: self._piece([(text, size(text), self.segmenter.gap[3], UNKNOWN, True)]))
+        self.gaps = _Numbers(lambda text: self._piece([self.segmenter._forced(text)]))
 
     def _piece(self, words) -> int:
         at = 0
@@ -332,16 +335,19 @@ class Tokenizer:
         if s.cache is not self.__dict__.get("_of"):  # new options bring a new cache
             made = lambda first, last: Memo(lambda word: [f[0] for w in (s._between(word, first, last) if word else ()) if not w[4] and (f := final[w[0], w[2], w[3]]) is not None])
             self._of, self._spans = s.cache, {(a, b): made(a, b) for a in (False, True) for b in (False, True)}
+            self._runs = Memo(lambda run: [f[0] for w in (s._forced(run),) if not w[4] and (f := final[w[0], w[2], w[3]]) is not None])
         spans, out = self._spans, []
-        middle, begin, end, whole, split = spans[False, False], spans[True, False], spans[False, True], spans[True, True], self.segmenter.cuts.split
+        middle, begin, end, whole, split, forced = spans[False, False], spans[True, False], spans[False, True], spans[True, True], s.gaps.split, self._runs.__getitem__
         for part in sentences(text):
             words = split(part)
             if len(words) == 1:
                 out += whole[part]
             else:
-                out += begin[words[0]]
-                out += chain.from_iterable(map(middle.__getitem__, words[1:-1]))
-                out += end[words[-1]]
+                own = [begin[words[0]]] * len(words)
+                own[1::2] = map(forced, words[1::2])
+                own[2:-1:2] = map(middle.__getitem__, words[2:-1:2])
+                own[-1] = end[words[-1]]
+                out += chain.from_iterable(own)
         return out
 
     def _final(self) -> Memo:
