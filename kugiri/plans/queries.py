@@ -1,18 +1,22 @@
 """Queries of the analysis operators over the driver's tables, and the SQL that checks them."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kugiri.functions import formats
 from kugiri.operators import entries
+from kugiri.operators.packed import known_values, split_column
 from kugiri.plans.analyzer import Tokenizer, TokenizerBuilder
-from kugiri.plans.shared import read, spread
+from kugiri.plans.shared import read, spread, stable
 from kugiri.plans.skew import bounded
 from kugiri.sources.bundled import _SCRIPTS, bundled
+from kugiri.sources.definitions import Categories
 from kugiri.sources.dictionary import context_frequencies, group_entries
 from kugiri.streaming.tokens import windowed_counts
 from kugiri.trainer.crf import CrfTrainer
-from kugiri.trainer.lexicon import CLASSES, LexiconTrainer, TrainingConfig, to_cost
+from kugiri.trainer.lexicon import CLASSES, Extractor, LexiconTrainer, Rewriter, TrainingConfig, to_cost
 
 STOP = ["the", "of", "and", "a", "one", "each", "said", "die", "eine", "jede", "de", "le", "un", "el"]
 TAGS = ["NUMERIC", "KATAKANA", "HANGUL"]
@@ -150,18 +154,38 @@ def decomposed(spark: SparkSession, d: str) -> DataFrame:
 CHARACTERS = "DEFAULT 0 1 0\nHIRAGANA 1 1 0\nKATAKANA 1 1 0\nKANJI 0 0 2\nALPHA 1 1 0\nNUMERIC 1 1 0\n0x3041..0x3096 HIRAGANA\n0x30A1..0x30F6 KATAKANA\n0x4E00..0x9FAF KANJI\n0x0030..0x0039 NUMERIC\n0x0041..0x005A ALPHA\n0x0061..0x007A ALPHA\n"
 
 
+def annotated_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of the training corpus: dict_name, sentence_id and tokens (surface, feature) in the order of the words.
+
+    Rows repeated under another row_id count once; packed features are split into their values and joined by commas.
+    """
+    words = read(spark, d, "corpus_words").select("dict_name", "sentence_id", "word_pos", "row_id", "surface", "feature")
+    known = known_values(read(spark, d, "lexicon"))
+    values = F.coalesce(F.array_join(split_column(F.col("feature"), known), ","), F.lit(""))
+    words = spread(words).withColumn("feature", values).repartition(spark.sparkContext.defaultParallelism, "dict_name", "sentence_id")
+    once = words.groupBy("dict_name", "sentence_id", "word_pos").agg(F.min_by(F.struct("surface", "feature"), "row_id").alias("word"))
+    rows = once.groupBy("dict_name", "sentence_id").agg(F.sort_array(F.collect_list(F.struct("word_pos", "word"))).alias("words"))
+    return rows.select("dict_name", "sentence_id", F.transform("words", lambda w: w["word"]).alias("tokens"))
+
+
 def trained_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """Costs of the function words, trained on the analyses of the evaluation passages' sentences."""
-    chain = tokenizer("function-words")
-    words = chain.segmenter.dictionary.words
-    seed = "\n".join(",".join([w[0], "0", "0", "0", *w[4]]) for w in words)
-    unk = "\n".join(f"{n},0,0,0,名詞,{n},*,*,*,*,*,*,*" for n in CLASSES)
-    config = TrainingConfig.parse(seed, CHARACTERS, unk, "UNIGRAM U:%F[0]\nUNIGRAM W:%w\nBIGRAM B:%L[0]/%R[0]\n", "")
-    parts = spread(read(spark, d, "eval_items").select(F.explode(F.split("text", r"(?<=[.,;]) ")).alias("text")))
-    tokens = F.transform(chain.tokens(spark, "text"), lambda t: F.struct(t["surface"].alias("surface"), F.array_join(t["details"], ",").alias("feature")))
-    model = LexiconTrainer(config, CrfTrainer("l2", 0.1, max_iter=8)).train(parts.select(tokens.alias("tokens")))
-    rows = [(s, left, right, to_cost(w, model.cost_factor)) for s, (w, left, right) in zip(model.surfaces, model.words)]
-    return spark.createDataFrame(rows, "surface string, left_id int, right_id int, cost int")
+    """Costs of every dictionary's words, each dictionary trained on all annotated sentences of its own."""
+    words: dict[str, list] = {}
+    for r in read(spark, d, "lexicon").orderBy("word_id").select("dict_name", "surface", "details").collect():
+        words.setdefault(r.dict_name, []).append((r.surface, ",".join(r.details)))
+    sentences = stable(annotated_sentences(spark, d))
+
+    def train(name: str) -> list[tuple]:
+        unknown = ",".join(["UNK", *["*"] * words[name][0][1].count(",")])
+        config = TrainingConfig(words[name], Categories(CHARACTERS), dict.fromkeys(CLASSES, unknown), Extractor("UNIGRAM U:%F[0]\nUNIGRAM W:%w\nBIGRAM B:%L[0]/%R[0]\n"), Rewriter())
+        own = spread(sentences.where(F.col("dict_name") == name))
+        model = LexiconTrainer(config, CrfTrainer("l2", 0.1)).train(own)
+        return [(name, s, left, right, to_cost(w, model.cost_factor)) for s, (w, left, right) in zip(model.surfaces, model.words)]
+
+    # the small steps of one training leave cores free for the others
+    with ThreadPoolExecutor(max(1, len(words))) as pool:
+        rows = [r for own in pool.map(train, words) for r in own]
+    return spark.createDataFrame(rows, "dict_name string, surface string, left_id int, right_id int, cost int")
 
 
 def _text_filter(kind: str, args: dict):

@@ -4,14 +4,19 @@ A label has unigram features, and left and right bigram features: those count wh
 of a pair. Lattices may lie in an RDD; then every evaluation is one pass whose partial sums meet in a tree.
 """
 
+from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
+from pyspark import StorageLevel
 
 from kugiri.model import AnalysisError, ErrorKind
 
 EPSILON = np.finfo(float).eps
+#: Lattices that are evaluated together.
+TOGETHER = 1024
 
 
 @dataclass
@@ -184,6 +189,103 @@ class Compiled:
         return self.a[own], pair[own] + score[b] + np.where(b >= 0, beta[b], 0.0)
 
 
+class Batch:
+    """Many lattices with the places of their weights, evaluated together place by place; loss and gradient are the sums of Compiled's.
+
+    Nodes are all words, then each lattice's end, then the common beginning. Scores are looked up by label and by pair of labels.
+    """
+
+    def __init__(self, lattices: Iterable[Lattice], sets: list[FeatureSet], weights: Weights):
+        labels: dict[int, int] = {}
+        kinds: dict[tuple[int | None, int | None], int] = {}
+        label, owner, level, a, b, kind, gold, gold_words = (array("i") for _ in range(8))
+        ends = array("i")
+        for j, lattice in enumerate(lattices):
+            at = []
+            for own in lattice.nodes:
+                at.append((len(label), own))
+                for _, x in own:
+                    label.append(labels.setdefault(x, len(labels)))
+                    owner.append(j)
+            correct, i = set(), 0
+            while i < lattice.n:
+                if not lattice.nodes[i]:
+                    raise AnalysisError(ErrorKind.ARGS, "the correct path breaks off")
+                correct.add(at[i][0])
+                i = lattice.nodes[i][0][0]
+            gold_words.extend(sorted(correct))
+
+            def pairs(place: int, before: int, left: int | None) -> None:
+                """The pairs of a word, or the beginning, with what starts at the place."""
+                if place == lattice.n:
+                    following = ((-1 - j, None),)
+                else:
+                    first, own = at[place]
+                    following = ((first + k, x) for k, (_, x) in enumerate(own))
+                right = before < 0 or before in correct
+                for k, x in following:
+                    level.append(place)
+                    a.append(before)
+                    b.append(k)
+                    kind.append(kinds.setdefault((left, x), len(kinds)))
+                    gold.append(right and (k < 0 or k in correct))
+
+            pairs(0, -1, None)
+            for first, own in at:
+                for k, (target, x) in enumerate(own, first):
+                    pairs(target, k, x)
+            ends.append(j)
+        n, self.lattices = len(label), len(ends)
+        self.size = n + self.lattices + 1
+        numbers = lambda x: np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32)
+        a, b, level = numbers(a), numbers(b), numbers(level)
+        a, b = np.where(a < 0, self.size - 1, a), np.where(b < 0, n - 1 - b, b)
+        order = np.lexsort((b, level))
+        self.a, self.b, self.kind = (x[order].astype(np.int32) for x in (a, b, numbers(kind)))
+        self.gold_pairs = np.flatnonzero(numbers(gold)[order])
+        self.label, self.owner, self.gold_words = numbers(label).copy(), np.append(numbers(owner), numbers(ends)), numbers(gold_words).copy()
+        cuts = np.flatnonzero(np.diff(level[order], prepend=-1)).tolist()
+        self.forward, self.backward = [], []
+        for low, high in zip(cuts, [*cuts[1:], len(order)]):
+            self.forward.append((low, high, *self._groups(self.b[low:high])))
+            by = low + np.argsort(self.a[low:high], kind="stable")
+            self.backward.append((by.astype(np.int32), *self._groups(self.a[by])))
+        self.n_labels, self.n_kinds = len(labels), len(kinds)
+        self.label_of, self.label_weight = Compiled._flat([[weights.unigram[f] for f in s.unigram if f in weights.unigram] if (s := _sets(sets, x)) else [] for x in labels])
+        self.kind_of, self.kind_weight = Compiled._flat([[weights.bigram[f] for f in bigrams(sets, *x) if f in weights.bigram] for x in kinds])
+
+    @staticmethod
+    def _groups(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each run of equal nodes begins, and the nodes."""
+        heads = np.flatnonzero(np.diff(nodes, prepend=-1))
+        return heads, nodes[heads]
+
+    def evaluate(self, w: np.ndarray, gradient: np.ndarray | None) -> float:
+        """Minus the log-likelihood of the correct paths; its gradient is added to `gradient`."""
+        n, a, b = len(self.label), self.a, self.b
+        score = np.zeros(self.size)
+        score[:n] = np.bincount(self.label_of, w[self.label_weight], self.n_labels)[self.label]
+        pair = np.bincount(self.kind_of, w[self.kind_weight], self.n_kinds)[self.kind]
+        alpha = np.full(self.size, -np.inf)
+        alpha[-1] = 0.0
+        for low, high, heads, nodes in self.forward:
+            alpha[nodes] = np.logaddexp.reduceat(alpha[a[low:high]] + pair[low:high], heads) + score[nodes]
+        z = alpha[n:-1]
+        if gradient is not None:
+            beta = np.full(self.size, -np.inf)
+            beta[n:-1] = 0.0
+            for by, heads, nodes in reversed(self.backward):
+                to = b[by]
+                beta[nodes] = np.logaddexp.reduceat(pair[by] + score[to] + beta[to], heads)
+            p = np.exp(alpha[a] + pair + score[b] + beta[b] - z[self.owner[b]])
+            p[self.gold_pairs] -= 1
+            q = np.exp(alpha[:n] + beta[:n] - z[self.owner[:n]])
+            q[self.gold_words] -= 1
+            np.add.at(gradient, self.kind_weight, np.bincount(self.kind, p, self.n_kinds)[self.kind_of])
+            np.add.at(gradient, self.label_weight, np.bincount(self.label, q, self.n_labels)[self.label_of])
+        return float(z.sum() - pair[self.gold_pairs].sum() - score[self.gold_words].sum())
+
+
 @dataclass
 class Model:
     """Trained weights of the features that have any."""
@@ -352,7 +454,7 @@ class CrfTrainer:
 
         if spread:
             context = lattices.context
-            compiled = lattices.map(lambda x: Compiled(x, sets, weights)).persist()
+            compiled = lattices.mapPartitions(lambda own: (Batch(some, sets, weights) for some in batched(own, TOGETHER))).persist(StorageLevel.MEMORY_AND_DISK)
 
             def data(w: np.ndarray) -> tuple[float, np.ndarray]:
                 sent = context.broadcast(w)
@@ -360,7 +462,7 @@ class CrfTrainer:
                 sent.unpersist()
                 return out
         else:
-            compiled = [Compiled(x, sets, weights) for x in lattices]
+            compiled = [Batch(some, sets, weights) for some in batched(lattices, TOGETHER)]
             data = lambda w: total(compiled, w)
 
         def objective(w: np.ndarray) -> tuple[float, np.ndarray]:

@@ -206,7 +206,7 @@ class LexiconTrainer:
             label = self.labels.get((feature, surface[0]), 0)
             if not label:
                 kind = character_class(surface[0])
-                if feature.startswith(f"名詞,{CLASSES[kind]}"):
+                if feature.startswith(f"名詞,{CLASSES[kind]}") or feature == self.config.unknown.get(CLASSES[kind]):
                     label = self.n_words + kind + 1
             out.add(at, at + len(surface), label)
             at += len(surface)

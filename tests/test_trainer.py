@@ -4,7 +4,7 @@ import pytest
 from kugiri.model import AnalysisError, Metadata, Schema
 from kugiri.plans.analyzer import Segmenter
 from kugiri.sources.dictionary import Dictionary
-from kugiri.trainer.crf import Compiled, CrfTrainer, FeatureSet, Lattice, Weights, bigrams, features_of, minimize
+from kugiri.trainer.crf import Batch, Compiled, CrfTrainer, FeatureSet, Lattice, Weights, bigrams, features_of, minimize
 from kugiri.trainer.lexicon import Extractor, LexiconModel, LexiconTrainer, Rewriter, TrainingConfig, to_cost
 from small import metadata
 
@@ -51,6 +51,33 @@ def test_loss_and_gradient():
         assert g[i] == pytest.approx((Compiled(x, SETS, where).evaluate(w + e, None) - Compiled(x, SETS, where).evaluate(w - e, None)) / 2e-6, abs=1e-6)
 
 
+def test_lattices_together_have_the_sums_of_single_ones():
+    short = Lattice(2)
+    for start, target, label in [(0, 2, 3), (0, 1, 1), (1, 2, 2)]:
+        short.add(start, target, label)
+    own = [lattice(), short, lattice()]
+    uni, bi = features_of(own, SETS)
+    where = Weights({f: i for i, f in enumerate(sorted(uni))}, {f: i + len(uni) for i, f in enumerate(sorted(bi))})
+    w = RNG.normal(size=len(where))
+    one, together = np.zeros(len(w)), np.zeros(len(w))
+    loss = sum(Compiled(x, SETS, where).evaluate(w, one) for x in own)
+    assert Batch(own, SETS, where).evaluate(w, together) == pytest.approx(loss, abs=1e-10) and np.allclose(one, together, atol=1e-10)
+
+
+def test_the_query_trains_on_every_annotated_sentence(spark, tmp_path):
+    from kugiri.plans.queries import annotated_sentences, trained_lexicon
+
+    lexicon = [(1, "a", "犬", ["N", "x,y"]), (2, "a", "が", ["P", "*"]), (3, "b", "犬", ["M"]), (4, "b", ",", ["S"])]
+    spark.createDataFrame(lexicon, "word_id long, dict_name string, surface string, details array<string>").write.parquet(str(tmp_path / "lexicon.parquet"))
+    rows = [(5, 7, 1, "a", "が", "P|*"), (1, 7, 0, "a", "犬", 'N;"x,y"'), (2, 7, 1, "a", "が", "P,*"), (3, 7, 0, "b", ",", "S"), (4, 8, 0, "b", "犬", None), (6, 8, 1, "b", None, "S")]
+    rows += [(10 + i, 20 + i, 0, "a", "犬", "N,x,y") for i in range(30)] + [(90, 90, 0, "a", "猫", "UNK,*")]
+    spark.createDataFrame(rows, "row_id long, sentence_id long, word_pos int, dict_name string, surface string, feature string").write.parquet(str(tmp_path / "corpus_words.parquet"))
+    got = {(r.dict_name, r.sentence_id): [tuple(t) for t in r.tokens] for r in annotated_sentences(spark, str(tmp_path)).collect()}
+    assert len(got) == 34 and got["a", 7] == [("犬", "N,x,y"), ("が", "P,*")] and got["b", 8] == [("犬", ""), (None, "S")] and got["a", 90] == [("猫", "UNK,*")]
+    costs = {(r.dict_name, r.surface): r.cost for r in trained_lexicon(spark, str(tmp_path)).collect()}
+    assert set(costs) == {(n, s) for _, n, s, _ in lexicon} and costs["a", "犬"] < costs["a", "が"] < 0 and costs["b", ","] < 0
+
+
 def test_minimize():
     a = np.diag([1.0, 10, 100])
     b = np.array([1.0, -20, 0.5])
