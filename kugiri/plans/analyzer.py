@@ -448,6 +448,45 @@ class Tokenizer:
         return rows.select(*[F.col(f"`{c}`") for c in rest], f"{into}.*")
 
 
+    def token_lists(self, df: DataFrame, text: str, into: str = "tokens") -> DataFrame:
+        """df's other columns and the tokens of the text as tokens() has them, made for CHARS_AT_ONCE characters or one text at a time."""
+        rest = [c for c in df.columns if c != text]
+        shipped = df.sparkSession.sparkContext.broadcast(Tokenizer(self.segmenter, self.character_filters, [f for f in self.token_filters if not f.is_identity()]))
+
+        def rows(batches):
+            for b in batches:
+                texts, own = b.column(len(rest)), shipped.value
+                for at, to in _at_once(texts):
+                    some = texts.slice(at, to - at).to_pylist()
+                    found = word_arrays(own, some) if all(f.one_by_one for f in own.token_filters) else token_arrays([None if t is None else own.tokenize(t) for t in some])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, to - at) for k in range(len(rest))), found], [*rest, into])
+
+        token = f"array<struct<{TOKEN_DDL.replace(' ', ':').replace(',:', ', ')}>>"
+        schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL(f"`{into}` {token}").fields])
+        return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
+
+    def nbest_rows(self, df: DataFrame, text: str, n: int, unique: bool = False, cost_threshold: int | None = None) -> DataFrame:
+        """One row per candidate: df's other columns, rank from 1, cost and the surfaces. One text's candidates at a time."""
+        rest = [c for c in df.columns if c != text]
+        shipped = df.sparkSession.sparkContext.broadcast(self)
+
+        def rows(batches):
+            for b in batches:
+                texts = b.column(len(rest))
+                for at, to in _at_once(texts):
+                    owner, ranks, costs, surfaces = [], [], [], []
+                    for i, t in enumerate(texts.slice(at, to - at).to_pylist(), at):
+                        for rank, (tokens, cost) in enumerate(shipped.value.tokenize_nbest(t, n, unique, cost_threshold) if t is not None else (), 1):
+                            owner.append(i)
+                            ranks.append(rank)
+                            costs.append(cost)
+                            surfaces.append([x.surface for x in tokens])
+                    own = pa.array(owner, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in range(len(rest))), pa.array(ranks, pa.int32()), pa.array(costs, pa.int64()), pa.array(surfaces, pa.list_(pa.string()))], [*rest, "rank", "cost", "surfaces"])
+
+        schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL("rank int, cost bigint, surfaces array<string>").fields])
+        return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
+
     def _flat_rows(self, df: DataFrame, rest: list[str], text: str, details: bool) -> DataFrame:
         filters = [f for f in self.token_filters if not f.is_identity()]
         shipped = df.sparkSession.sparkContext.broadcast(Tokenizer(self.segmenter, [f for f in self.character_filters if not f.is_identity()], filters))
@@ -456,10 +495,7 @@ class Tokenizer:
         def rows(batches):
             for b in batches:
                 texts = b.column(len(rest))
-                lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
-                at = 0
-                while at < len(texts):
-                    to = max(at + 1, int(lengths.searchsorted((lengths[at - 1] if at else 0) + CHARS_AT_ONCE, side="right")))
+                for at, to in _at_once(texts):
                     offsets, arrays = word_columns(shipped.value, texts.slice(at, to - at).to_pylist(), details)
                     owner = []
                     starts = [o for o in offsets if o is not None]
@@ -468,12 +504,21 @@ class Tokenizer:
                         owner += [at + i] * (last - first)
                     own = pa.array(owner, pa.int64())
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in range(len(rest))), *arrays], names)
-                    at = to
 
         schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL(TOKEN_DDL).fields])
         return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
 
 
+def _at_once(texts: pa.Array):
+    """(first, end) of texts of CHARS_AT_ONCE characters together, or of one longer text."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(lengths.searchsorted((lengths[at - 1] if at else 0) + CHARS_AT_ONCE, side="right")))
+        yield at, to
+        at = to
+
+
 def _lists(found: list, inner: pa.Array) -> pa.Array:
     offsets, at = [], 0
     for own in found:

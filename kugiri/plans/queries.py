@@ -76,9 +76,22 @@ def mecab(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", formats.mecab_column(tokenizer().tokens(spark, "text")).alias("lines"))
 
 
+def token_rows_documents(spark: SparkSession, d: str) -> DataFrame:
+    """token_rows of all documents."""
+    rows = tokenizer(keep_whitespace=True).tokenize_rows(documents(spark, d).select("doc_id", "text"), "text")
+    return rows.select("doc_id", "position", "surface", "byte_start", "byte_end", F.col("details")[0].alias("category"), "is_unknown")
+
+
+def mecab_documents(spark: SparkSession, d: str) -> DataFrame:
+    """output_mecab of all documents."""
+    rows = tokenizer().token_lists(documents(spark, d).select("doc_id", "text"), "text")
+    return rows.select("doc_id", formats.mecab_column(F.col("tokens")).alias("lines"))
+
+
 def json_output(spark: SparkSession, d: str) -> DataFrame:
     chain = tokenizer("function-words")
-    return read(spark, d, "eval_items").select("item_id", formats.json_column(chain.tokens(spark, "text"), chain.segmenter.dictionary.schema).alias("json"))
+    rows = chain.token_lists(documents(spark, d).select("doc_id", "text"), "text")
+    return rows.select("doc_id", formats.json_column(F.col("tokens"), chain.segmenter.dictionary.schema).alias("json"))
 
 
 def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -136,10 +149,9 @@ def yearly_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nbest(spark: SparkSession, d: str) -> DataFrame:
-    """Three cheapest analyses of each evaluation passage."""
-    items = read(spark, d, "eval_items").select("item_id", "text")
-    rows = items.select("item_id", F.explode(tokenizer("function-words").nbest(spark, "text", 3)).alias("c"))
-    return rows.select("item_id", "c.rank", "c.cost", F.array_join(F.transform("c.tokens", lambda t: t["surface"]), " ").alias("surfaces"))
+    """Three cheapest analyses of each document."""
+    rows = tokenizer("function-words").nbest_rows(documents(spark, d).select("doc_id", "text"), "text", 3)
+    return rows.select("doc_id", "rank", "cost", F.array_join("surfaces", " ").alias("surfaces"))
 
 
 def decomposed(spark: SparkSession, d: str) -> DataFrame:
@@ -199,10 +211,12 @@ QUERIES = {
     "tokenize_counts": tokenize_counts,
     "token_offsets": token_offsets,
     "token_rows": token_rows,
+    "token_rows_documents": token_rows_documents,
     "surfaces": _counted(),
     "surfaces_with_whitespace": _counted(keep_whitespace=True),
     "output_wakati": wakati,
     "output_mecab": mecab,
+    "output_mecab_documents": mecab_documents,
     "output_json": json_output,
     "sentences": sentence_rows,
     "character_categories": character_categories,
@@ -283,6 +297,8 @@ ORACLES = {
     "surfaces_with_whitespace": _count_sql(source="t"),
     "output_wakati": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (kept) || chr(10), '') AS line FROM (SELECT * FROM o UNION ALL SELECT doc_id, NULL, NULL, NULL, false FROM documents WHERE text IS NOT NULL) GROUP BY doc_id UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
     "output_mecab": f"WITH {_numbered('eval_items', 'item_id')} SELECT item_id, coalesce(string_agg(s || chr(9) || {_TAG} || ',*,*,*,*,*,*,*,*' || chr(10), '' ORDER BY i) FILTER (kept), '') || 'EOS' || chr(10) AS lines FROM o GROUP BY item_id",
+    "token_rows_documents": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, (i - 1)::INT AS position, s AS surface, (e - strlen(s))::INT AS byte_start, e::INT AS byte_end, {_TAG} AS category, true AS is_unknown FROM o",
+    "output_mecab_documents": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, coalesce(string_agg(s || chr(9) || {_TAG} || ',*,*,*,*,*,*,*,*' || chr(10), '' ORDER BY i) FILTER (kept), '') || 'EOS' || chr(10) AS lines FROM o GROUP BY doc_id UNION ALL SELECT doc_id, 'EOS' || chr(10) FROM documents WHERE text = '' UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
     "sentences": "WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\n\\t。、]*[\\n\\t。、]|[^\\n\\t。、]+')) AS s FROM documents) SELECT doc_id, count(*) AS n, max(strlen(s)) AS longest, sum(strlen(s))::BIGINT AS bytes FROM s GROUP BY doc_id",
     "character_categories": f"WITH c AS (SELECT unnest(string_split(text, '')) AS s FROM documents), g AS (SELECT s, count(*) AS n FROM c WHERE s <> '' GROUP BY s) SELECT {_TAG} AS category, sum(n)::BIGINT AS n FROM g GROUP BY 1",
     "filter_unicode_nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",

@@ -1,6 +1,7 @@
 import pytest
 
 from compare import compare
+from kugiri.functions.formats import mecab as general_mecab
 from kugiri.operators import queries as general
 from kugiri.plans import queries as analysis
 
@@ -17,3 +18,25 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and {n for n in QUERIES} <= set(entry.queries())
     assert entry.entry(spark).columns == ["lang", "surface", "n"]
+
+
+def test_outputs_pass_over_all_documents(spark, tmp_path):
+    """Japanese, NULL, empty and long texts through JSON, N-best, mecab and token rows, against the token lists."""
+    import json
+    from datetime import datetime
+
+    long = "the shaft of the 軸受、" * 9000
+    texts = {1: "the shaft 軸受は東京。\nune vis", 2: None, 3: "", 4: long, 5: "東京に いる"}
+    spark.createDataFrame([(k, "ja", t, datetime(2024, 1, 1)) for k, t in texts.items()], "doc_id long, lang string, text string, filed_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    chain, runs = analysis.tokenizer("function-words"), analysis.tokenizer()
+    collected = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    got = {r.doc_id: r.json for r in collected("output_json")}
+    assert set(got) == set(texts) and got[2] is None
+    for k in (1, 3, 4, 5):
+        assert [(t["surface"], t["byte_start"], t["word_id"]) for t in json.loads(got[k])] == [(t.surface, t.byte_start, t.word_id) for t in chain.tokenize(texts[k])]
+    assert {r.doc_id: r.lines for r in collected("output_mecab_documents")} == {k: None if t is None else general_mecab(runs.tokenize(t)) for k, t in texts.items()}
+    kept = analysis.tokenizer(keep_whitespace=True)
+    assert sorted((r.doc_id, r.position, r.surface, r.category) for r in collected("token_rows_documents")) == [(k, t.position, t.surface, t.details[0]) for k, x in texts.items() for t in kept.tokenize(x or "")]
+    ranks = {(r.doc_id, r["rank"]): (r.cost, r.surfaces) for r in collected("nbest")}
+    assert {k for k, _ in ranks} == {1, 4, 5} and all(ranks[k, 1][1] == " ".join(t.surface for t in chain.tokenize(texts[k])) for k in (1, 4))
+    assert all(ranks[k, n][0] <= ranks[k, n + 1][0] for k, n in ranks if (k, n + 1) in ranks)
