@@ -1,19 +1,21 @@
 """Queries of the analysis operators over the driver's tables, and the SQL that checks them."""
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kugiri.functions import formats
+from kugiri.functions.tokenfilters import token_filter
 from kugiri.operators import entries
 from kugiri.operators.packed import known_values, split_column
-from kugiri.plans.analyzer import Tokenizer, TokenizerBuilder
+from kugiri.plans.analyzer import Segmenter, Tokenizer, TokenizerBuilder
 from kugiri.plans.shared import read, spread, stable
 from kugiri.plans.skew import bounded
-from kugiri.sources.bundled import _SCRIPTS, bundled
+from kugiri.sources.bundled import _SCRIPTS, bundled, char_def
 from kugiri.sources.definitions import Categories
-from kugiri.sources.dictionary import context_frequencies, group_entries
+from kugiri.sources.dictionary import context_frequencies, from_tables, group_entries
 from kugiri.streaming.tokens import windowed_counts
 from kugiri.trainer.crf import CrfTrainer
 from kugiri.trainer.lexicon import CLASSES, Extractor, LexiconTrainer, Rewriter, TrainingConfig, to_cost
@@ -21,6 +23,10 @@ from kugiri.trainer.lexicon import CLASSES, Extractor, LexiconTrainer, Rewriter,
 STOP = ["the", "of", "and", "a", "one", "each", "said", "die", "eine", "jede", "de", "le", "un", "el"]
 TAGS = ["NUMERIC", "KATAKANA", "HANGUL"]
 MAPPING = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "軸受": "ベアリング", "軸": "シャフト"}
+#: Tags of words of the lexicon table.
+JAPANESE_TAGS, KOREAN_TAGS = ["助詞,格助詞", "助詞,格助詞,地域", "助詞,格助詞,組織", "名詞,一般"], ["JKS", "NNG"]
+#: Above every cost in the lexicon table, so that a word wins over the same text as an unknown word.
+UNKNOWN_COST = 10_000
 PATTERN = r"[0-9]+(?:\.[0-9]+)?"
 
 
@@ -48,6 +54,20 @@ def _counted(characters=(), tokens=(), **options):
     return query
 
 
+def _by_lexicon(kind: str | None, tokens=(), keys=()):
+    """As _counted, with the dictionaries of the lexicon table: those of one lang_group, or all; by dict_name and keys."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        chosen = read(spark, d, "dictionaries").where(F.lit(True) if kind is None else F.col("lang_group") == kind)
+        parts = []
+        for name, dictionary in from_tables(read(spark, d, "lexicon"), chosen, char_def(), UNKNOWN_COST).items():
+            chain = Tokenizer(Segmenter(dictionary), [], [token_filter(k, a) for k, a in tokens])
+            parts.append(documents(spark, d).select(F.lit(name).alias("dict_name"), *keys, F.explode(chain.surfaces(spark, "text")).alias("surface")))
+        return reduce(DataFrame.unionAll, parts).groupBy("dict_name", *keys, "surface").agg(F.count("*").alias("n"))
+
+    return query
+
+
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: lower-case words without stop words, by language."""
     chain = tokenizer(tokens=[("lowercase", {}), ("stop_words", {"words": STOP})])
@@ -243,6 +263,14 @@ QUERIES = {
     "tokens_korean_reading_form": _counted(tokens=[("korean_reading_form", {})]),
     "tokens_number": _counted(tokens=[("japanese_number", {})]),
     "tokens_compound_word": _counted(tokens=[("japanese_compound_word", {"tags": ["KATAKANA", "KANJI"], "new_tag": "COMPOUND"})]),
+    "tokenize_counts_lexicon": _by_lexicon(None, [("lowercase", {}), ("stop_words", {"words": STOP})], ["lang"]),
+    "tokens_base_form_lexicon": _by_lexicon("ja", [("japanese_base_form", {})]),
+    "tokens_reading_form_lexicon": _by_lexicon("ja", [("japanese_reading_form", {})]),
+    "tokens_korean_reading_form_lexicon": _by_lexicon("ko", [("korean_reading_form", {})]),
+    "tokens_japanese_keep_tags_lexicon": _by_lexicon("ja", [("japanese_keep_tags", {"tags": JAPANESE_TAGS})]),
+    "tokens_japanese_stop_tags_lexicon": _by_lexicon("ja", [("japanese_stop_tags", {"tags": JAPANESE_TAGS})]),
+    "tokens_korean_keep_tags_lexicon": _by_lexicon("ko", [("korean_keep_tags", {"tags": KOREAN_TAGS})]),
+    "tokens_korean_stop_tags_lexicon": _by_lexicon("ko", [("korean_stop_tags", {"tags": KOREAN_TAGS})]),
     "lexicon_prefixes": lexicon_prefixes,
     "lexicon_lookup": lexicon_lookup,
     "word_details": word_details,

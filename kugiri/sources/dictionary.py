@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kugiri.model import FORMAT_VERSION, SYSTEM, UNKNOWN, USER, AnalysisError, ErrorKind, Metadata
+from kugiri.model import FORMAT_VERSION, SYSTEM, UNKNOWN, USER, AnalysisError, ErrorKind, Metadata, Schema
 from kugiri.operators import badrows
 from kugiri.operators.lattice import Trie
 from kugiri.plans.rank import with_rank
@@ -329,6 +329,30 @@ def context_frequencies(words: DataFrame, side: str = "left_id") -> DataFrame:
     return ranked.unionByName(zero)
 
 
+def from_tables(lexicon: DataFrame, dictionaries: DataFrame, char_def: str, unknown_cost: int) -> dict[str, Dictionary]:
+    """A dictionary for each dict_name of the tables; word ids are places in the order of surfaces, as build() has them.
+
+    The tables hold neither connection costs nor unknown words: all connections cost 0, and an unknown word of any category costs
+    `unknown_cost` and has UNK. The lexicon comes to the driver, so it has at most MOST_WORDS words.
+    """
+    rows = lexicon.select("dict_name", "surface", "left_context_id", "right_context_id", "cost", "details").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise AnalysisError(ErrorKind.DICTIONARY, f"more than {MOST_WORDS} words")
+    own: dict[str, list] = {}
+    for r in rows:
+        own.setdefault(r.dict_name, []).append(r)
+    out = {}
+    for d in sorted(dictionaries.collect(), key=lambda d: d.dict_name):
+        flags = {k: bool(d[k]) for k in ("flexible_csv", "skip_invalid_cost_or_id", "normalize_details")}
+        meta = Metadata(d.dict_name, d.encoding, d.default_word_cost, d.default_left_context_id, d.default_right_context_id, d.default_field_value, **flags, dictionary_schema=Schema(tuple(d.dictionary_schema)), user_dictionary_schema=Schema(tuple(d.user_dictionary_schema)))
+        normal = (lambda s: s.translate(NORMAL)) if meta.normalize_details else (lambda s: s)
+        words = sorted((normal(r.surface), r.left_context_id, r.right_context_id, r.cost, [normal(x) for x in r.details]) for r in own.get(d.dict_name, ()))
+        size = 1 + max((x for w in words for x in w[1:3]), default=0)
+        unknown = parse_unknown("\n".join(f"{name},0,0,{unknown_cost},UNK" for name in Categories(char_def).names))
+        out[d.dict_name] = Dictionary(meta, char_def, unknown, np.zeros((size, size), np.int16), words)
+    return out
+
+
 # URIs -----------------------------------------------------------------------------------------------------------
 
 
