@@ -146,8 +146,8 @@ def split_rows(df: DataFrame, packed: str, pos: str = "pos", val: str = "val", k
     return out.select(*rest, F.posexplode("__values").alias(pos, val)).where(F.col(val) != "")
 
 
-def known_values(lexicon: DataFrame, details: str = "details", most: int = MOST_KNOWN) -> list[str]:
-    """The distinct detail values of a lexicon that hold a delimiter, which alone change a cover; [] when there are more than `most`."""
-    values = lexicon.select(F.explode(details).alias("v")).where(F.col("v").rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in separators()) + "]")).distinct().limit(most + 1)
-    got = [r.v for r in values.collect()]
-    return got if len(got) <= most else []
+def known_values(lexicon: DataFrame, details: str = "details", most: int | None = None) -> list[str]:
+    """The distinct detail values of a lexicon that hold a delimiter, which alone change a cover. Given `most`, [] when there are more."""
+    values = lexicon.select(F.explode(details).alias("v")).where(F.col("v").rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in separators()) + "]")).distinct()
+    got = [r.v for r in (values if most is None else values.limit(most + 1)).collect()]
+    return got if most is None or len(got) <= most else []

@@ -102,3 +102,11 @@ def test_rows(spark):
     assert clash.columns == ["id", "POS", "a.b", "pos_", "val"] and [tuple(r) for r in clash.collect()][0] == (1, 7, "o", 0, "a")
     lex = spark.createDataFrame([(["a", "b;c"],), (None,), ([None, "、"],)], "details array<string>")
     assert sorted(packed.known_values(lex)) == ["b;c", "、"] and packed.known_values(lex, most=1) == []
+
+
+def test_known_values_beyond_the_shipped_number_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(packed, "MOST_KNOWN", 1)
+    lex = spark.createDataFrame([(["b;c", "d", "、e", "f|g"],)], "details array<string>")
+    assert packed.known_values.__defaults__[1] is None and sorted(packed.known_values(lex)) == ["b;c", "f|g", "、e"]
+    rows = packed.split_rows(spark.createDataFrame([("b;c,f|g",)], "p string"), "p", known=packed.known_values(lex))
+    assert [r.val for r in rows.orderBy("pos").collect()] == ["b;c", "f|g"]
