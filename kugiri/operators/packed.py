@@ -74,11 +74,11 @@ class Splitter:
         n = len(text)
         cuts = [m.start() for m in self.sep.finditer(text)]
         quotes = '"' in text or "'" in text
-        spans: dict[int, int] = {}
+        spans: dict[int, list[int]] = {}
         if cuts and len(self.automaton):
             for last, length in self.automaton.iter(text):
                 start = last + 1 - length
-                spans[start] = max(spans.get(start, 0), length)
+                spans.setdefault(start, []).append(length)
         if not quotes and not spans:
             return [v.strip(self.blanks) for v in self.sep.split(text)]
         starts = [0, *(c + 1 for c in cuts)]
@@ -98,12 +98,12 @@ class Splitter:
             if first < n and text[first] in "\"'" and (quoted := self._quoted(text, first)):
                 edges = [(place[quoted[1]], QUOTED, quoted[0])]
             elif first in spans:
-                stop = first + spans[first]
-                k = stop
-                while k < n and text[k] in self.blanks:
-                    k += 1
-                if k in place:
-                    edges.append((place[k], KNOWN, text[first:stop]))
+                for length in spans[first]:
+                    k = stop = first + length
+                    while k < n and text[k] in self.blanks:
+                        k += 1
+                    if k in place:
+                        edges.append((place[k], KNOWN, text[first:stop]))
             for j, more, v in edges:
                 if best[j + 1] is None or cost + more < best[j + 1][0]:
                     best[j + 1] = (cost + more, i, v)

@@ -110,3 +110,8 @@ def test_known_values_beyond_the_shipped_number_are_kept(spark, monkeypatch):
     assert packed.known_values.__defaults__[1] is None and sorted(packed.known_values(lex)) == ["b;c", "f|g", "、e"]
     rows = packed.split_rows(spark.createDataFrame([("b;c,f|g",)], "p string"), "p", known=packed.known_values(lex))
     assert [r.val for r in rows.orderBy("pos").collect()] == ["b;c", "f|g"]
+
+
+def test_a_known_value_that_begins_another_is_found():
+    split = packed.Splitter(["x,y", "x,y;z"]).split
+    assert split("x,y;zz") == ["x,y", "zz"] and split("x,y;z") == ["x,y;z"] and split("a|x,y ;z|x,y") == ["a", "x,y", "z", "x,y"]
