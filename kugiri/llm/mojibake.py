@@ -116,8 +116,13 @@ class Restorer:
 
     def __init__(self, right: str, describer: Describer, words: frozenset[str] | None = None):
         self.right, self.describer, self.words = right, describer, words
-        self.blob = None
+        self.blob, self.blanked = None, {}
         if words is not None:
+            # lengths of texts that are nothing but lost characters: whole words read so
+            for w in sorted(words):
+                for wrong in dict.fromkeys(("ascii", "utf-8", *WRONG)) if (b := _encode(w, right)) else ():
+                    if not (got := b.decode(wrong, "replace")).strip(LOST):
+                        self.blanked.setdefault(len(got), wrong)
             self.blob = b"\n" + b"\n\n".join(b for w in sorted(words) if (b := _encode(w, right)) and b"\n" not in b) + b"\n"
 
     def restore(self, text: str) -> tuple[str | None, str, bool]:
@@ -137,6 +142,9 @@ class Restorer:
 
     def _lost(self, text: str) -> tuple[None, str, bool]:
         """Lost characters can't come back; the chain is the shortest description among those a word confirms."""
+        if not text.strip(LOST) and self.words is not None:
+            wrong = self.blanked.get(len(text))
+            return None, wrong or "", wrong is not None
         chains = []
         for wrong in dict.fromkeys((self.right, "ascii", *WRONG)):
             parts = [_encode(p, wrong) for p in text.split(LOST)]

@@ -84,3 +84,10 @@ def test_the_shortest_description_wins():
     assert r.restore(garble("夜道", "utf-8", "latin-1", 3))[0] == "夜道"
     assert mojibake.Restorer("utf-8", mojibake.Describer([])).restore("caf\xc3\xa9".encode().decode("utf-8"))[0] in ("café", None)
     assert [mojibake.codec_of(x) for x in ("UTF-8", "utf8", "Shift_JIS", "EUC-JP", "EUC KR", None, "nothing")] == ["utf-8", "utf-8", "shift_jis", "euc_jp", "euc_kr", "utf-8", "utf-8"]
+
+
+def test_words_of_which_nothing_is_left():
+    words = frozenset(["車", "東京", "夜a"])
+    own = mojibake.Restorer("utf-8", mojibake.Describer(sorted(words)), words)
+    assert own.restore("車".encode().decode("ascii", "replace")) == (None, "ascii", True) and own.restore("\ufffd" * 6)[2]
+    assert not own.restore("\ufffd" * 4)[2] and not own.restore("\ufffd" * 9)[2]
