@@ -133,11 +133,11 @@ class Restorer:
         if not found:
             return None, "", False
         as_is = self.describer.bits(text)
-        shorter = sorted(f for f in found if f[0] < as_is)
-        if not shorter:
+        # the shortest description that is a word, else the shortest of those shorter than the text's own
+        found.sort()
+        best = next((f for f in found if self.words and f[2] in self.words), found[0] if found[0][0] < as_is else None)
+        if best is None:
             return None, "", False
-        # of the descriptions shorter than the text's own: the shortest that is a word, else the shortest
-        best = next((f for f in shorter if self.words and f[2] in self.words), shorter[0])
         return best[2], ">".join(best[3]), False
 
     def _lost(self, text: str) -> tuple[None, str, bool]:

@@ -91,3 +91,11 @@ def test_words_of_which_nothing_is_left():
     own = mojibake.Restorer("utf-8", mojibake.Describer(sorted(words)), words)
     assert own.restore("車".encode().decode("ascii", "replace")) == (None, "ascii", True) and own.restore("\ufffd" * 6)[2]
     assert not own.restore("\ufffd" * 4)[2] and not own.restore("\ufffd" * 9)[2]
+
+
+def test_words_behind_the_describers_prefix_are_restored(monkeypatch):
+    words = ["abc", "ñ", "é", "ü"]
+    monkeypatch.setattr(mojibake, "DICTIONARY_BYTES", 1)
+    own = mojibake.Restorer("utf-8", mojibake.Describer(words), frozenset(words))
+    monkeypatch.setattr(own.describer, "bits", lambda text: 8)
+    assert [own.restore(w.encode().decode("latin-1"))[0] for w in words[1:]] == words[1:]
