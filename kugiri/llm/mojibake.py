@@ -178,6 +178,8 @@ class Restorer:
         return re.search(rb"\n(?:" + b"|".join(ways) + rb")\n", self.blob) is not None
 
 
+#: Dictionaries whose encodings are shipped to the workers.
+MOST_DICTIONARIES = 100_000
 RESTORED_DDL = "text string, chain string, lost boolean"
 RESTORED = pa.struct([("text", pa.string()), ("chain", pa.string()), ("lost", pa.bool_())])
 
@@ -227,7 +229,9 @@ def restore_rows(rows: DataFrame, lexicon: DataFrame, dictionaries: DataFrame) -
     spark = rows.sparkSession
     if lexicon.limit(MOST_WORDS + 1).count() > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words: split the dictionaries")
-    known = {r.dict_name: (r.encoding, r.lang_group) for r in dictionaries.select("dict_name", "encoding", "lang_group").limit(100_000).collect()}
+    known = {r.dict_name: (r.encoding, r.lang_group) for r in dictionaries.select("dict_name", "encoding", "lang_group").limit(MOST_DICTIONARIES + 1).collect()}
+    if len(known) > MOST_DICTIONARIES:
+        raise ValueError(f"more than {MOST_DICTIONARIES} dictionaries")
     words: dict[str, list[str]] = {}
     for r in lexicon.select("dict_name", "surface", "word_id").where("surface IS NOT NULL").orderBy("word_id").collect():
         words.setdefault(r.dict_name, []).append(r.surface)

@@ -58,6 +58,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_rows(_surfaces(spark, d), read(spark, d, "lexicon"), read(spark, d, "dictionaries")).select("tbl", "row_id", "word_id")
 
 
+#: Common words that are shipped to the workers.
+MOST_COMMON = 100_000
+
+
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """Texts in containers of 2,048 tokens."""
     return packing.pack(packing.token_counts(read(spark, d, "documents"), "doc_id", "text"), 2048)
@@ -69,7 +73,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every document."""
-    words = [r.word for r in read(spark, d, "common_words").select("word").where("word IS NOT NULL").distinct().limit(100_000).collect()]
+    words = [r.word for r in read(spark, d, "common_words").select("word").where("word IS NOT NULL").distinct().limit(MOST_COMMON + 1).collect()]
+    if len(words) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     return quality.measure(read(spark, d, "documents").select("doc_id", "text"), words)
 
 

@@ -99,3 +99,16 @@ def test_words_behind_the_describers_prefix_are_restored(monkeypatch):
     own = mojibake.Restorer("utf-8", mojibake.Describer(words), frozenset(words))
     monkeypatch.setattr(own.describer, "bits", lambda text: 8)
     assert [own.restore(w.encode().decode("latin-1"))[0] for w in words[1:]] == words[1:]
+
+
+def test_bounds_are_errors(spark, monkeypatch, tmp_path):
+    from kugiri.llm import queries
+
+    monkeypatch.setattr(queries, "MOST_COMMON", 1)
+    spark.createDataFrame([("a",), ("b",)], "word string").write.parquet(str(tmp_path / "common_words.parquet"))
+    with pytest.raises(ValueError):
+        queries.p9_stats(spark, str(tmp_path))
+    monkeypatch.setattr(mojibake, "MOST_DICTIONARIES", 1)
+    lexicon = spark.createDataFrame([(1, "a", "x")], "word_id long, dict_name string, surface string")
+    with pytest.raises(ValueError):
+        mojibake.restore_rows(lexicon, lexicon, spark.createDataFrame([("a", "utf-8", "la"), ("b", "utf-8", "la")], "dict_name string, encoding string, lang_group string"))
