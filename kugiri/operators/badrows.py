@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kugiri.plans.names import columns, free
-from kugiri.plans.skew import bounded
+from kugiri.plans.skew import join_table
 
 NUMBER = re.compile(r"-?[0-9]+", re.ASCII)
 #: Fields that every record must have: surface, left id, right id, cost and one detail.
@@ -179,11 +179,10 @@ def parse_lines(lines: DataFrame, dictionaries: DataFrame, line: str = "c0", int
 
     Every row of lines comes out once, other columns untouched. Where lines has a column named `into`, an underscore is put
     behind the new one's name.
-    dictionaries has one row per dictionary, so it is broadcast below a checked number of rows.
+    dictionaries has one row per dictionary, so it is broadcast when that is small enough, see plans.skew.
     """
-    rules = dictionaries.select(F.col("dict_name").alias("__d"), F.struct("n_fields", "flexible_csv", "skip_invalid_cost_or_id").alias("__rule")).dropDuplicates(["__d"])
-    rules = bounded(rules)
-    joined = lines.join(rules, F.col("dict_name") == F.col("__d"), "left")
+    rules = dictionaries.select("dict_name", F.struct("n_fields", "flexible_csv", "skip_invalid_cost_or_id").alias("__rule")).dropDuplicates(["dict_name"])
+    joined = join_table(lines, rules, ["dict_name"], "left")
     rule = F.col("__rule")
     return joined.select(*columns(lines), parse_column(F.col(f"`{line}`"), rule["n_fields"], rule["flexible_csv"], rule["skip_invalid_cost_or_id"]).alias(free(lines, into)))
 

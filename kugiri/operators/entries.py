@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kugiri.functions.charfilters import character_filter
 from kugiri.operators.lattice import MOST_BYTES, sentences
-from kugiri.plans.skew import bounded
+from kugiri.plans.skew import join_table
 
 
 def sentence_rows(df: DataFrame, text: str) -> DataFrame:
@@ -53,8 +53,8 @@ def prefix_matches(texts: DataFrame, lexicon: DataFrame, by: list[str], surface:
     longest = lexicon.agg(F.max(F.char_length(surface)).alias("n")).first().n or 0
     ends = F.explode(F.sequence(F.lit(1), F.least(F.char_length(surface), F.lit(longest)))) if longest else F.explode(F.array().cast("array<int>"))
     parts = texts.where(F.char_length(surface) > 0).select("*", ends.alias("end_char")).withColumn("__prefix", F.substring(F.col(surface), F.lit(1), F.col("end_char")))
-    known = bounded(lexicon.withColumnRenamed(surface, "__prefix"))
-    return parts.join(known, [*by, "__prefix"]).withColumn("end_byte", F.octet_length("__prefix")).drop("__prefix")
+    known = lexicon.withColumnRenamed(surface, "__prefix")
+    return join_table(parts, known, [*by, "__prefix"]).withColumn("end_byte", F.octet_length("__prefix")).drop("__prefix")
 
 
 def details_by_id(tokens: DataFrame, lexicon: DataFrame, widths: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ def details_by_id(tokens: DataFrame, lexicon: DataFrame, widths: DataFrame) -> D
 
     A system word without an entry has none before padding, any other token has UNK.
     """
-    words = bounded(lexicon.select("word_id", F.col("details").alias("__own")).dropDuplicates(["word_id"]))
-    joined = tokens.join(bounded(widths.dropDuplicates(["dict_name"])), "dict_name").join(words, "word_id", "left")
+    words = lexicon.select("word_id", F.col("details").alias("__own")).dropDuplicates(["word_id"])
+    joined = join_table(join_table(tokens, widths.dropDuplicates(["dict_name"]), ["dict_name"]), words, ["word_id"], "left")
     own = F.when(F.col("lex_type") == "System", F.coalesce("__own", F.array().cast("array<string>"))).otherwise(F.array(F.lit("UNK")))
     return joined.withColumn("details", F.concat(own, F.array_repeat(F.lit("*"), F.greatest(F.col("width") - F.size(own), F.lit(0))))).drop("__own", "width")
 
@@ -74,8 +74,7 @@ def simple_user_words(users: DataFrame, dictionaries: DataFrame) -> DataFrame:
     users: dict_name, surface, part_of_speech, reading and others; the dictionary's user schema names what they are. Words
     without a surface are left out.
     """
-    d = bounded(dictionaries.dropDuplicates(["dict_name"]))
-    j = users.where(F.trim("surface") != "").join(d, "dict_name")
+    j = join_table(users.where(F.trim("surface") != ""), dictionaries.dropDuplicates(["dict_name"]), ["dict_name"])
     missing = F.col("default_field_value")
     place = lambda f: F.when(f == F.col("user_dictionary_schema")[1], F.coalesce("part_of_speech", missing)).when(f == F.col("user_dictionary_schema")[2], F.coalesce("reading", missing)).otherwise(missing)
     details = F.transform(F.slice("dictionary_schema", 5, F.greatest(F.size("dictionary_schema") - 4, F.lit(0))), place)

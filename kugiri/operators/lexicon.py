@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kugiri.plans.skew import bounded
+from kugiri.plans.skew import join_table
 
 
 def outside(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The rows whose surface isn't NULL and is no lexicon surface of their dict_name."""
-    known = bounded(lexicon.select("dict_name", "surface").distinct())
-    return rows.where(F.col("surface").isNotNull() & F.col("dict_name").isNotNull()).join(known, ["dict_name", "surface"], "left_anti")
+    known = lexicon.select("dict_name", "surface").distinct()
+    return join_table(rows.where(F.col("surface").isNotNull() & F.col("dict_name").isNotNull()), known, ["dict_name", "surface"], "left_anti")
 
 
 def surfaces(views: DataFrame, words: DataFrame, *more: str) -> DataFrame:

@@ -12,7 +12,7 @@ from kugiri.operators import entries
 from kugiri.operators.packed import known_values, split_column
 from kugiri.plans.analyzer import Segmenter, Tokenizer, TokenizerBuilder
 from kugiri.plans.shared import read, spread, stable
-from kugiri.plans.skew import bounded
+from kugiri.plans.skew import join_table
 from kugiri.sources.bundled import _SCRIPTS, bundled, char_def
 from kugiri.sources.definitions import Categories
 from kugiri.sources.dictionary import context_frequencies, from_tables, group_entries
@@ -132,7 +132,7 @@ def lexicon_prefixes(spark: SparkSession, d: str) -> DataFrame:
 def lexicon_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the surfaces that are words of their dictionary, by how often they are seen."""
     seen = read(spark, d, "token_views").where("surface IS NOT NULL").groupBy("dict_name", "surface").agg(F.count("*").alias("seen"))
-    return seen.join(read(spark, d, "lexicon"), ["dict_name", "surface"]).select("dict_name", "surface", "seen", "word_id", "left_context_id", "right_context_id", F.col("cost").cast("int").alias("cost"))
+    return join_table(seen, read(spark, d, "lexicon"), ["dict_name", "surface"]).select("dict_name", "surface", "seen", "word_id", "left_context_id", "right_context_id", F.col("cost").cast("int").alias("cost"))
 
 
 def word_details(spark: SparkSession, d: str) -> DataFrame:
@@ -179,8 +179,7 @@ def decomposed(spark: SparkSession, d: str) -> DataFrame:
     chain = tokenizer("function-words", mode="decompose")
     rows = chain.tokenize_rows(documents(spark, d).select("text"), "text", details=False)
     counts = rows.groupBy("lex_type", "word_id", "surface").agg(F.count("*").alias("n"))
-    words = bounded(chain.segmenter.dictionary.details_table(spark))
-    return counts.join(words, ["lex_type", "word_id"]).groupBy(F.col("details")[0].alias("tag"), "surface").agg(F.sum("n").alias("n"))
+    return join_table(counts, chain.segmenter.dictionary.details_table(spark), ["lex_type", "word_id"]).groupBy(F.col("details")[0].alias("tag"), "surface").agg(F.sum("n").alias("n"))
 
 
 CHARACTERS = "DEFAULT 0 1 0\nHIRAGANA 1 1 0\nKATAKANA 1 1 0\nKANJI 0 0 2\nALPHA 1 1 0\nNUMERIC 1 1 0\n0x3041..0x3096 HIRAGANA\n0x30A1..0x30F6 KATAKANA\n0x4E00..0x9FAF KANJI\n0x0030..0x0039 NUMERIC\n0x0041..0x005A ALPHA\n0x0061..0x007A ALPHA\n"

@@ -11,9 +11,13 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests, a single machine) a folder of our own."""
+    """The session's spark.checkpoint.dir. On a single machine where it is unset, a folder of our own; on a cluster an error, as
+    executors would write to their own disks."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is not set, and executors of {master} share no folder without it")
         place = tempfile.mkdtemp(prefix="kugiri-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -23,7 +27,7 @@ def stable(df: DataFrame) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs no recomputation of what lies before, and fixes row
-    partitioning and ids that a recomputation could change. The table is deleted when the application ends.
+    partitioning and ids that a recomputation could change. release() deletes it early; else it goes when the application ends.
     """
     at = f"{folder(df.sparkSession)}/kugiri-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
@@ -32,6 +36,15 @@ def stable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def release(table: DataFrame) -> None:
+    """Deletes a table that stable() made and nothing reads any more."""
+    spark = table.sparkSession
+    for place in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if place.rsplit("/", 1)[-1].startswith("kugiri-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores when it comes in fewer partitions, as a small file does; else as it is, without a shuffle.
 
