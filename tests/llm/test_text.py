@@ -77,28 +77,68 @@ def test_garbled_words_come_back(spark, tables):
     assert mojibake.restore_rows(frame(spark, rows), lexicon.limit(0), dictionaries).count() == 0
 
 
+def test_cells_and_samples_of_any_size_give_the_same_rows(spark, tables, monkeypatch):
+    lexicon, dictionaries, _ = tables
+    rows = [("ja", "車".encode()[:-1].decode("utf-8", "replace") + "庫"), ("la", "m�rlen"), ("jis", "夜�"), ("ja", garble("車庫", "utf-8", "cp437")), ("la", "x�y")] * 20
+    collected = lambda: sorted(map(tuple, mojibake.restore_rows(frame(spark, rows), lexicon, dictionaries).select("row_id", "word_id_", "chain").collect()))
+    whole = collected()
+    assert len(whole) == 80
+    monkeypatch.setattr(mojibake, "CELL_WORDS", 1)
+    monkeypatch.setattr(mojibake, "CELL_TEXTS", 1)
+    monkeypatch.setattr("kugiri.plans.skew.MOST_ROWS", 0)
+    assert collected() == whole
+    monkeypatch.setattr(mojibake, "DICTIONARY_BYTES", 24)
+    samples = mojibake.language_samples(lexicon, {n: (e, g) for n, g, e, _ in DICTS})
+    assert set(samples) <= {"ja", "la"} and all(sum(2 * len(w) + 4 for w in own) <= 24 for own in samples.values())
+
+
 def test_the_shortest_description_wins():
     words = ["岸辺", "夜道", "車庫", "東京"]
-    r = mojibake.Restorer("utf-8", mojibake.Describer(words), frozenset(words))
-    assert r.restore("東京".encode().decode("koi8-r")) == ("東京", "koi8-r", False) and r.restore("ordinary") == (None, "", False)
-    assert r.restore(garble("夜道", "utf-8", "latin-1", 3))[0] == "夜道"
-    assert mojibake.Restorer("utf-8", mojibake.Describer([])).restore("caf\xc3\xa9".encode().decode("utf-8"))[0] in ("café", None)
+    d = mojibake.Describer(words)
+    assert mojibake.restore("東京".encode().decode("koi8-r"), "utf-8", d) == ("東京", "koi8-r") and mojibake.restore("ordinary", "utf-8", d) == (None, "")
+    assert mojibake.restore(garble("夜道", "utf-8", "latin-1", 3), "utf-8", d)[0] == "夜道"
+    assert mojibake.restore("caf\xc3\xa9", "utf-8", mojibake.Describer([]))[0] in ("café", None)
+    # a chain costs more than one byte of description, so a word of the language stays as it is
+    assert mojibake.chain_bits(("cp1252",)) > 8 and mojibake.restore("東京", "utf-8", d) == (None, "")
     assert [mojibake.codec_of(x) for x in ("UTF-8", "utf8", "Shift_JIS", "EUC-JP", "EUC KR", None, "nothing")] == ["utf-8", "utf-8", "shift_jis", "euc_jp", "euc_kr", "utf-8", "utf-8"]
 
 
 def test_words_of_which_nothing_is_left():
-    words = frozenset(["車", "東京", "夜a"])
-    own = mojibake.Restorer("utf-8", mojibake.Describer(sorted(words)), words)
-    assert own.restore("車".encode().decode("ascii", "replace")) == (None, "ascii", True) and own.restore("\ufffd" * 6)[2]
-    assert not own.restore("\ufffd" * 4)[2] and not own.restore("\ufffd" * 9)[2]
-
-
-def test_words_behind_the_describers_prefix_are_restored(monkeypatch):
-    words = ["abc", "ñ", "é", "ü"]
-    monkeypatch.setattr(mojibake, "DICTIONARY_BYTES", 1)
-    own = mojibake.Restorer("utf-8", mojibake.Describer(words), frozenset(words))
-    monkeypatch.setattr(own.describer, "bits", lambda text: 8)
-    assert [own.restore(w.encode().decode("latin-1"))[0] for w in words[1:]] == words[1:]
+    own = mojibake.ByteIndex(words := ["車", "東京", "夜a"], "utf-8")
+    lost = lambda text: own.lost(text, mojibake.Describer(words))
+    assert lost("車".encode().decode("ascii", "replace"))[1] == "ascii" and lost("\ufffd" * 6)
+    assert not lost("\ufffd" * 4) and not lost("\ufffd" * 9)
+
+
+def test_the_byte_index_equals_the_pattern():
+    """Against a regular expression over all words, for random parts; words of over WIDTH bytes too."""
+    import re
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcあい車") for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["長い" * 20 + x for x in "abc"]
+    index = mojibake.ByteIndex(words, "utf-8")
+    raw = [w.encode() for w in words]
+
+    def fits(parts):
+        gap = rb".{1,3}"
+        ways = [gap.join(map(re.escape, parts))]
+        for i, p in enumerate(parts):
+            ways += [gap.join([*map(re.escape, parts[:i]), re.escape(p[:j]) + gap + re.escape(p[j:]), *map(re.escape, parts[i + 1 :])]) for j in range(len(p) + 1)]
+        pattern = re.compile(b"|".join(b"(?:" + w + b")" for w in ways), re.S)
+        return {w for w, b in zip(words, raw) if pattern.fullmatch(b)}
+
+    hits = 0
+    for _ in range(1500):
+        b, parts, at = rng.choice(raw), [], 0
+        while at <= len(b) and len(parts) < 4:
+            n = rng.randint(0, 6) if rng.random() < 0.9 else len(b)
+            parts.append(b[at : at + n])
+            at += n + rng.randint(1, 5)
+        if any(parts):
+            expected, got = fits(parts), index.fitting(parts)
+            assert got in expected if expected else got is None
+            hits += bool(expected)
+    assert hits > 300
 
 
 def test_bounds_are_errors(spark, monkeypatch, tmp_path):
