@@ -3,23 +3,26 @@
 A leak is a run of at least RUN consecutive words of an item that stands in a document with at most one word in TOLERANCE
 changed, missing or added. Two such changes leave a window of 20 words at least 6 of its 16 shingles of five words.
 
-1. One pass over the documents turns each text into word numbers of the items' vocabulary and keeps the stretches where an
-   item's shingles lie close enough (length bound); stretches and shingles are written to the shared folder.
-2. The items' shingles are ordered by rarity over all documents. Of each item window only the necessary prefix, its rarest
-   16 - 6 + 1 shingles, is joined with the stretches.
-3. Candidates must share enough shingles on neighbouring diagonals (positional bound), and the words of every item-sized
-   window are verified by exact alignment.
+1. Words and shingles are numbers by hashes of their characters. The items' are marked in two bit tables of fixed size.
+2. One pass over the documents, whatever the number of items, keeps the stretches where marked shingles lie close enough
+   (length bound), cut into pieces of bounded length, and counts every marked shingle over all documents.
+3. The items' shingles are ordered by rarity over all documents. Of each item window only the necessary prefix, its rarest
+   16 - 6 + 1 shingles, is joined with those of the stretches, by equality; hot shingles are split (plans.skew).
+4. Each candidate's words are verified by exact alignment over item-sized windows (positional bound).
 """
 
 import re
+import sys
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kugiri.plans.shared import stable
+from kugiri.plans.skew import join_table
 
 SHINGLE, RUN, TOLERANCE = 5, 20, 10
 #: Shingles that a run of RUN words keeps at least.
@@ -29,18 +32,23 @@ PREFIX = RUN - SHINGLE + 1 - NEEDED + 1
 MARGIN = 2 * RUN
 #: Changes of a run of under 2 * RUN words.
 MOST_EDITS = (2 * RUN - 1) // TOLERANCE
-#: Item words handled at once; more items are taken in blocks, each against all documents.
-BLOCK_WORDS = 1_000_000
+#: Words of a piece of a stretch; neighbouring pieces share 2 * MARGIN, so that each run of under 2 * RUN words is in one.
+PIECE = 1024
+#: Bits of the tables that mark the items' words and shingles; more items fill them, which lets more through but loses nothing.
+WORD_BITS, SHINGLE_BITS = 22, 24
+#: Characters of texts that are split into words at once.
+CHARS_AT_ONCE = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 PARAGRAPH = re.compile(r"[\[【〔]\s*\d{1,6}\s*[\]】〕]")
 PAGE = re.compile(r"(?m)^[^\S\r\n]*(?:[-–—]+[^\S\r\n]*\d{1,5}[^\S\r\n]*[-–—]+|\d{1,5}|(?:page|seite|página|p\.)[^\S\r\n]*\d{1,5}(?:[^\S\r\n]*(?:/|of|von|de|sur)[^\S\r\n]*\d{1,5})?)[^\S\r\n]*$")
 HYPHEN = re.compile(r"(?<=\w)[-‐‑­]\s*(?=\w)")
 WORDS = re.compile(r"[^\W_]+")
+_TABLE: list[np.ndarray] = []
 
 
-def words(text: str) -> list[str]:
-    """The words that count: without case, punctuation, hyphens, page and paragraph numbers."""
+def plain(text: str) -> str:
+    """The text of which WORDS are the words that count: without case, hyphens, page and paragraph numbers."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
@@ -50,46 +58,84 @@ def words(text: str) -> list[str]:
         text = PARAGRAPH.sub(" ", text)
     if "\n" in text:
         text = PAGE.sub("", text)
-    return WORDS.findall(HYPHEN.sub("", text))
+    return HYPHEN.sub("", text)
 
 
-def shingles(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of all shingles that hold no unknown word (number 0)."""
-    n = len(ids) - SHINGLE + 1
+def words(text: str) -> list[str]:
+    """The words that count."""
+    return WORDS.findall(plain(text))
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points belong to words, and the weights of places in a word; made once in a process."""
+    if not _TABLE:
+        member = np.zeros(sys.maxunicode + 1, bool)
+        for m in WORDS.finditer("".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, sys.maxunicode + 1)))):
+            member[m.start() : m.end()] = True
+        _TABLE.extend([member, np.multiply.accumulate(np.full(64, MULTIPLIER))])
+    return _TABLE[0], _TABLE[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * MULTIPLIER
+    return h ^ h >> np.uint64(29)
+
+
+def numbers(texts: list[str]) -> list[np.ndarray]:
+    """The words of each text as numbers from 1 up, all texts at once; equal words have equal numbers."""
+    member, weight = _tables()
+    parts = [plain(t) for t in texts]
+    codes = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = member[codes]
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(first):
+        return [np.empty(0, np.uint64) for _ in texts]
+    size = last - first
+    begin = np.cumsum(size) - size
+    own = codes[inside].astype(np.uint64)
+    at = np.arange(len(own)) - np.repeat(begin, size)
+    # each character's part depends on its place
+    h = np.add.reduceat((own + np.uint64(1)) * (weight[at & 63] ^ (own << np.uint64(20))) + (at >> 6).astype(np.uint64) * own, begin)
+    h = _mixed(h) | np.uint64(1)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return np.split(h, np.searchsorted(first, ends[:-1]))
+
+
+def blocks(ids: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions and hashes of all runs of `size` words that hold no unknown word (number 0)."""
+    n = len(ids) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     known = np.concatenate(([0], np.cumsum(ids != 0)))
-    at = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE)
+    at = np.flatnonzero(known[size:] - known[:-size] == size)
     h = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        h = (h ^ ids[at + k].astype(np.uint64)) * MULTIPLIER
-        h ^= h >> np.uint64(29)
+    for k in range(size):
+        h = _mixed(h ^ ids[at + k])
     return at, h
 
 
-class Index:
-    """The items of a block: vocabulary, word numbers, shingles."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, vocabulary = {}, {}
-        for item, text in items:
-            self.ids[item] = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.int64)
-        self.vocabulary = vocabulary
-        hashes = [shingles(v)[1] for v in self.ids.values()]
-        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def stretches(self, text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Word numbers of each stretch that may hold a run, and places and hashes of the items' shingles in it."""
-        ids = np.fromiter(map(self.get, words(text)), np.int64)
-        at, h = shingles(ids)
-        hit = self.filter[(h >> np.uint64(44)).astype(np.int64)]
-        at, h = at[hit], h[hit]
-        if len(at) < NEEDED:
-            return []
-        hit = self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
-        at, h = at[hit], h[hit]
+class Marks:
+    """Bit tables of the items' words and shingles. A number that isn't marked is none of theirs."""
+
+    def __init__(self, word_table: np.ndarray, shingle_table: np.ndarray):
+        self.word_table, self.shingle_table = word_table, shingle_table
+
+    @staticmethod
+    def _marked(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = h & np.uint64(len(table) * 64 - 1)
+        return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids with 0 for words of no item; places and hashes of the marked shingles."""
+        ids = np.where(self._marked(self.word_table, ids), ids, np.uint64(0))
+        at, h = blocks(ids)
+        hit = self._marked(self.shingle_table, h)
+        return ids, at[hit], h[hit]
+
+    @staticmethod
+    def stretches(ids: np.ndarray, at: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words of each piece of a stretch that may hold a run, and its marked shingles."""
         if len(at) < NEEDED:
             return []
         # length bound: NEEDED shingles within the words that a shortest run, with its changes, can take
@@ -97,37 +143,22 @@ class Index:
         near = at[NEEDED - 1 :] - at[: len(at) - NEEDED + 1] <= reach
         if not near.any():
             return []
-        keep = np.zeros(len(at), bool)
-        for i in np.flatnonzero(near):
-            keep[i : i + NEEDED] = True
+        keep = np.zeros(len(at) + 1, np.int32)
+        starts = np.flatnonzero(near)
+        np.add.at(keep, starts, 1)
+        np.add.at(keep, starts + NEEDED, -1)
+        keep = np.cumsum(keep[:-1]) > 0
         at, h = at[keep], h[keep]
         cuts = np.flatnonzero(np.diff(at) > 2 * MARGIN) + 1
-        return [(ids[(first := max(0, a[0] - MARGIN)) : a[-1] + SHINGLE + MARGIN], a - first, g) for a, g in zip(np.split(at, cuts), np.split(h, cuts))]
-
-    def get(self, word: str) -> int:
-        return self.vocabulary.get(word, 0)
-
-
-def prefixes(index: Index, rarity: dict[int, int]) -> dict[int, set[int]]:
-    """Items by shingle, for the necessary prefix of every item window."""
-    out: dict[int, set[int]] = {}
-    for item, ids in index.ids.items():
-        own = shingles(ids)[1].view(np.int64).tolist()
-        for i in range(len(own) - (RUN - SHINGLE)):
-            window = own[i : i + RUN - SHINGLE + 1]
-            for h in sorted(window, key=lambda h: (rarity.get(h, 0), h))[:PREFIX]:
-                out.setdefault(h, set()).add(item)
-    return out
-
-
-def places(index: Index) -> dict[int, dict[int, list[int]]]:
-    """The positions of every item's shingles."""
-    out: dict[int, dict[int, list[int]]] = {}
-    for item, ids in index.ids.items():
-        own = out[item] = {}
-        for p, h in enumerate(shingles(ids)[1].view(np.int64).tolist()):
-            own.setdefault(h, []).append(p)
-    return out
+        out = []
+        for a, g in zip(np.split(at, cuts), np.split(h, cuts)):
+            first, last = max(0, int(a[0]) - MARGIN), min(len(ids), int(a[-1]) + SHINGLE + MARGIN)
+            for p in range(first, max(first + 1, last - 2 * MARGIN), PIECE - 2 * MARGIN):
+                end = min(last, p + PIECE)
+                own = g[(a >= p) & (a + SHINGLE <= end)]
+                if len(own) >= NEEDED:
+                    out.append((ids[p:end], np.unique(own)))
+        return out
 
 
 def _reach(a: list[int], i: int, b: list[int], j: int, step: int) -> list[int]:
@@ -155,78 +186,135 @@ def _reach(a: list[int], i: int, b: list[int], j: int, step: int) -> list[int]:
     return out
 
 
-def contains_run(item: list[int], stretch: list[int], shared: list[tuple[int, int]]) -> bool:
-    """Whether the stretch holds a run of the item; shared: item and stretch positions of their common shingles.
+def contains_run(item: np.ndarray, stretch: np.ndarray) -> bool:
+    """Whether the stretch holds a run of the item.
 
     A run of RUN to 2 * RUN - 1 words with its changes has an exact block of SHINGLE + 1 words, and a longer run holds such
-    a run. So every such block is extended to both sides by the furthest-reaching alignment.
+    a run. So every such block is extended to both sides by the furthest-reaching alignment. Blocks repeated within the same
+    surroundings are extended once.
     """
-    here = set(shared)
-    for i, j in shared:
-        if (i - 1, j - 1) in here or (i + 1, j + 1) not in here:
-            continue
-        k = 1
-        while (i + k, j + k) in here:
-            k += 1
-        k += SHINGLE - 1
-        if k >= RUN:
-            return True
-        left, right = _reach(item, i - 1, stretch, j - 1, -1), _reach(item, i + k, stretch, j + k, 1)
-        for x in range(MOST_EDITS + 1):
-            for y in range(MOST_EDITS + 1 - x):
-                if left[x] + k + right[y] >= max(RUN, TOLERANCE * (x + y)):
-                    return True
+    at, own = blocks(item, SHINGLE + 1)
+    here, theirs = blocks(stretch, SHINGLE + 1)
+    met = np.isin(theirs, own)
+    if not met.any():
+        return False
+    by: dict[int, list[int]] = {}
+    for p, h in zip(at.tolist(), own.tolist()):
+        by.setdefault(h, []).append(p)
+    a, b = item.tolist(), stretch.tolist()
+    context = 2 * RUN + MOST_EDITS
+    around = lambda ids, p: ids[max(0, p - context) : p + context].tobytes() + bytes([max(0, context - p)])
+    seen = set()
+    for j, h in zip(here[met].tolist(), theirs[met].tolist()):
+        for i in by[h]:
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            if len(by[h]) > 1:
+                key = (around(item, i), around(stretch, j))
+                if key in seen:
+                    continue
+                seen.add(key)
+            k = SHINGLE + 1
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if k >= RUN:
+                return True
+            left, right = _reach(a, i - 1, b, j - 1, -1), _reach(a, i + k, b, j + k, 1)
+            for x in range(MOST_EDITS + 1):
+                for y in range(MOST_EDITS + 1 - x):
+                    if left[x] + k + right[y] >= max(RUN, TOLERANCE * (x + y)):
+                        return True
     return False
 
 
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
+
+
+def _item_words(batches):
+    for b in batches:
+        ids = numbers(b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), _longs(ids), _longs([np.unique(blocks(x)[1]) for x in ids])], ["item", "ids", "shingles"])
+
+
+def _item_places(batches):
+    for b in batches:
+        own = [blocks(np.array(x, np.int64).view(np.uint64)) for x in b.column(1).to_pylist()]
+        n = [len(at) for at, _ in own]
+        at, h = (np.concatenate([o[i] for o in own]) if own else np.empty(0, np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(own)), n))), pa.array(at, pa.int32()), pa.array(h.view(np.int64), pa.int64())], ["t", "pos", "h"])
+
+
+def _item_prefixes(batches):
+    """The necessary prefix of every item window, of shingles in their order with their counts."""
+    width = RUN - SHINGLE + 1
+    for b in batches:
+        texts, found = [], []
+        for t, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ranked = [(x["n"], x["h"]) for x in own]
+            prefix = {h for i in range(len(ranked) - width + 1) for _, h in sorted(ranked[i : i + width])[:PREFIX]}
+            texts += [t] * len(prefix)
+            found += prefix
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(found, pa.int64())], ["t", "h"])
+
+
+def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2 ^ bits bits with those of the hashes set; at most 2 ^ (bits - 6) rows come to the driver."""
+    at = F.col("h").bitwiseAND((1 << bits) - 1)
+    rows = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, int((h & {(1 << bits) - 1}) & 63)))").alias("m")).toPandas()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item whose run of words it holds: the two ids.
 
     NULL and empty texts hold nothing; an item of under RUN words can't leak. Equal documents and equal items each get their
-    own rows. Ids must be whole numbers. Other columns are ignored.
+    own rows. Ids must be whole numbers. Other columns are ignored. Documents are read once; neither items nor shingles are gathered.
     """
     spark = documents.sparkSession
-    total = items.agg(F.sum(F.length(text)).alias("n")).first().n or 0
-    blocks = max(1, -(-total // (BLOCK_WORDS * 4)))
-    out = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).where(F.col(text).isNotNull()).select(F.col(item).cast("long"), text)
-        found = _leaks(spark, documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL"), [tuple(r) for r in own.collect()])
-        out = found if out is None else out.unionByName(found)
-    return out.distinct().select(F.col("doc").alias(doc), F.col("item").alias(item))
-
+    whole = lambda df, id, name: df.where(F.col(text).isNotNull()).select(F.col(id).cast("long").alias(name), F.col(text).alias("text"))
+    own = whole(items, item, "item").mapInArrow(_item_words, "item long, ids array<long>, shingles array<long>").where(F.size("ids") >= RUN)
+    own = stable(own.withColumn("t", F.xxhash64("ids")))
+    marks = spark.sparkContext.broadcast(Marks(_bits(own.select(F.explode("ids").alias("h")), WORD_BITS), _bits(own.select(F.explode("shingles").alias("h")), SHINGLE_BITS)))
 
-def _leaks(spark, documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    index = Index(items)
-    shipped = spark.sparkContext.broadcast(index)
-
-    def stretch(batches):
-        for b in batches:
-            docs, ids, places, own = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for numbers, at, h in shipped.value.stretches(t):
-                    docs.append(d)
-                    ids.append(numbers.astype(np.int32))
-                    places.append(at.astype(np.int32))
-                    own.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int64()))], ["doc", "ids", "places", "shingles"])
-
-    kept = stable(documents.mapInArrow(stretch, "doc long, ids array<int>, places array<int>, shingles array<long>"))
-    # at most one row per item shingle
-    rarity = {r.h: r.n for r in kept.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).toLocalIterator()}
-    joined = spark.sparkContext.broadcast((prefixes(index, rarity), places(index), {i: v.tolist() for i, v in index.ids.items()}))
-
-    def verify(batches):
+    def pieces(batches):
         for b in batches:
-            docs, found = [], []
-            by, own, ids = joined.value
-            for d, numbers, at, h in zip(*(c.to_pylist() for c in b.columns)):
-                for i in set().union(*(by[x] for x in set(h) if x in by)):
-                    mine = own[i]
-                    shared = [(p, q) for q, x in zip(at, h) if x in mine for p in mine[x]]
-                    if len(shared) >= NEEDED and contains_run(ids[i], numbers, shared):
+            texts = b.column(1)
+            lengths = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + CHARS_AT_ONCE, side="right")))
+                docs, order, ids, own, hits = [], [], [], [], []
+                for d, n in zip(b.column(0).slice(at, to - at).to_pylist(), numbers(texts.slice(at, to - at).to_pylist())):
+                    n, places, h = marks.value.hits(n)
+                    hits.append(h)
+                    for k, (part, shingles) in enumerate(marks.value.stretches(n, places, h)):
                         docs.append(d)
-                        found.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["doc", "item"])
-
-    return kept.mapInArrow(verify, "doc long, item long")
+                        order.append(k)
+                        ids.append(part)
+                        own.append(shingles)
+                # one row of counts, without a document
+                values, counts = np.unique(np.concatenate(hits), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([*docs, None], pa.int64()), pa.array([*order, -1], pa.int32()), _longs([*ids, counts.astype(np.int64)]), _longs([*own, values])], ["doc", "k", "ids", "shingles"])
+                at = to
+
+    kept = stable(whole(documents, doc, "doc").mapInArrow(pieces, "doc long, k int, ids array<long>, shingles array<long>"))
+    stretches = kept.where("k >= 0")
+    counted = kept.where("k < 0").select(F.explode(F.arrays_zip("shingles", "ids")).alias("x"))
+    rarity = counted.groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.ids").alias("n"))
+    texts = own.select("t", "ids").dropDuplicates(["t"])
+    places = texts.mapInArrow(_item_places, "t long, pos int, h long")
+    ranked = join_table(places, rarity, ["h"], "left").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n"), "h"))).alias("own"))
+    prefix = stable(ranked.mapInArrow(_item_prefixes, "t long, h long"))
+    met = join_table(stretches.select("doc", "k", F.explode("shingles").alias("h")), prefix, ["h"]).select("doc", "k", "t").distinct()
+    pairs = join_table(met, texts.select("t", F.col("ids").alias("item_ids")), ["t"]).join(stretches.select("doc", "k", "ids"), ["doc", "k"])
+
+    def verify(a: pa.Array, b: pa.Array) -> pa.Array:
+        arrays = ([np.array(x, np.int64).view(np.uint64) for x in c.to_pylist()] for c in (a, b))
+        return pa.array([contains_run(x, y) for x, y in zip(*arrays)], pa.bool_())
+
+    found = pairs.where(F.arrow_udf(verify, "boolean")("item_ids", "ids")).select("doc", "t").distinct()
+    out = join_table(found, own.select("t", "item").distinct(), ["t"])
+    return out.select(F.col("doc").alias(doc), F.col("item").alias(item)).distinct()

@@ -130,7 +130,9 @@ def test_what_does_not_count(spark):
 
 
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(leakage, "PIECE", 120)
+    monkeypatch.setattr(leakage, "SHINGLE_BITS", 8)
+    monkeypatch.setattr("kugiri.plans.skew.MOST_ROWS", 0)
     text = [" ".join(f"a{k}b{i}" for i in range(30)) for k in range(6)]
     items = spark.createDataFrame(list(enumerate(text)), "item_id long, text string")
     docs = spark.createDataFrame([(k, f"{t} {text[0]}") for k, t in enumerate(text)], "doc_id long, text string")
