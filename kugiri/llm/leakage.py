@@ -186,31 +186,57 @@ def _reach(a: list[int], i: int, b: list[int], j: int, step: int) -> list[int]:
     return out
 
 
-def contains_run(item: np.ndarray, stretch: np.ndarray) -> bool:
-    """Whether the stretch holds a run of the item.
-
-    A run of RUN to 2 * RUN - 1 words with its changes has an exact block of SHINGLE + 1 words, and a longer run holds such
-    a run. So every such block is extended to both sides by the furthest-reaching alignment. Blocks repeated within the same
-    surroundings are extended once.
+class Words:
+    """A text's word numbers with its shingles and its blocks of one word more."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.at, self.shingles = blocks(ids)
+        self._longer: tuple | None = None
+        self._places: dict[int, list[int]] | None = None
+
+    @property
+    def own(self) -> np.ndarray:
+        return np.unique(self.shingles)
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        if self._longer is None:
+            self._longer = (*blocks(self.ids, SHINGLE + 1), self.ids.tolist())
+        return self._longer
+
+    def places(self) -> dict[int, list[int]]:
+        if self._places is None:
+            self._places = {}
+            at, h, _ = self.longer()
+            for p, x in zip(at.tolist(), h.tolist()):
+                self._places.setdefault(x, []).append(p)
+        return self._places
+
+
+def contains_run(item: Words, own: np.ndarray, stretch: Words) -> bool:
+    """Whether the stretch holds a run of the item; own: the item's distinct shingles, sorted.
+
+    NEEDED of them must lie within the words that a shortest run can take. A run of RUN to 2 * RUN - 1 words with its changes
+    has an exact block of SHINGLE + 1 words, and a longer run holds such a run. So every such block is extended to both
+    sides by the furthest-reaching alignment. Blocks repeated within the same surroundings are extended once.
     """
-    at, own = blocks(item, SHINGLE + 1)
-    here, theirs = blocks(stretch, SHINGLE + 1)
-    met = np.isin(theirs, own)
-    if not met.any():
+    if not len(own):
+        return False
+    shared = stretch.at[own[np.minimum(np.searchsorted(own, stretch.shingles), len(own) - 1)] == stretch.shingles]
+    if len(shared) < NEEDED or not (shared[NEEDED - 1 :] - shared[: len(shared) - NEEDED + 1] <= RUN + RUN // TOLERANCE - SHINGLE).any():
         return False
-    by: dict[int, list[int]] = {}
-    for p, h in zip(at.tolist(), own.tolist()):
-        by.setdefault(h, []).append(p)
-    a, b = item.tolist(), stretch.tolist()
+    by = item.places()
+    here, theirs, b = stretch.longer()
+    a = item.longer()[2]
     context = 2 * RUN + MOST_EDITS
     around = lambda ids, p: ids[max(0, p - context) : p + context].tobytes() + bytes([max(0, context - p)])
     seen = set()
-    for j, h in zip(here[met].tolist(), theirs[met].tolist()):
-        for i in by[h]:
+    for j, h in zip(here.tolist(), theirs.tolist()):
+        for i in by.get(h, ()):
             if i and j and a[i - 1] == b[j - 1]:
                 continue
             if len(by[h]) > 1:
-                key = (around(item, i), around(stretch, j))
+                key = (around(item.ids, i), around(stretch.ids, j))
                 if key in seen:
                     continue
                 seen.add(key)
@@ -227,6 +253,32 @@ def contains_run(item: np.ndarray, stretch: np.ndarray) -> bool:
     return False
 
 
+def _rows(lists: pa.Array) -> list[np.ndarray]:
+    values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
+
+
+#: Texts whose shingles are kept while pairs are verified.
+KEPT = 4096
+
+
+def _verified(items: pa.Array, ids: pa.Array, stretches: pa.Array, state: dict) -> pa.Array:
+    """Pairs of neighbouring rows often have a text in common, so its shingles are made once."""
+    out = []
+    for t, x, y in zip(items.to_pylist(), _rows(ids), _rows(stretches)):
+        if (known := state.get(t)) is None:
+            if len(state) >= KEPT:
+                state.clear()
+            w = Words(x)
+            known = state[t] = (w, w.own)
+        if (stretch := state.get(key := y.tobytes())) is None:
+            if len(state) >= KEPT:
+                state.clear()
+            stretch = state[key] = Words(y)
+        out.append(contains_run(*known, stretch))
+    return pa.array(out, pa.bool_())
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
 
@@ -311,10 +363,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
     met = join_table(stretches.select("doc", "k", F.explode("shingles").alias("h")), prefix, ["h"]).select("doc", "k", "t").distinct()
     pairs = join_table(met, texts.select("t", F.col("ids").alias("item_ids")), ["t"]).join(stretches.select("doc", "k", "ids"), ["doc", "k"])
 
-    def verify(a: pa.Array, b: pa.Array) -> pa.Array:
-        arrays = ([np.array(x, np.int64).view(np.uint64) for x in c.to_pylist()] for c in (a, b))
-        return pa.array([contains_run(x, y) for x, y in zip(*arrays)], pa.bool_())
+    state: dict = {}
+
+    def verify(t: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        return _verified(t, a, b, state)
 
-    found = pairs.where(F.arrow_udf(verify, "boolean")("item_ids", "ids")).select("doc", "t").distinct()
+    found = pairs.where(F.arrow_udf(verify, "boolean")("t", "item_ids", "ids")).select("doc", "t").distinct()
     out = join_table(found, own.select("t", "item").distinct(), ["t"])
     return out.select(F.col("doc").alias(doc), F.col("item").alias(item)).distinct()
