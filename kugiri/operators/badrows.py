@@ -6,11 +6,16 @@
     quoted  = '"' { any | '""' } '"'      which a comma or the record's end must follow
     plain   = { any but "," }             quotes inside are text
 
-In a source of several lines a quoted field may run over line ends. After a broken quote parsing resumes at the next
-record-start anchor: a line start behind the error from which the structural fields (surface, two ids, cost) are valid.
+In a source of several lines a quoted field may run over line ends, but not over a record-start anchor: a line that parses by
+itself, has no stray quote and whose structural fields (surface, two ids, cost) are valid begins a record, whatever stands
+open before it.
+After a broken quote parsing resumes at the next anchor. So a source falls into anchored lines, which parse one by one, and
+the gaps between them, and a source of any length is parsed by many tasks. Where every row is known to be one record,
+the rows' starts are the anchors.
 """
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,11 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kugiri.plans.names import columns, free
+from kugiri.plans.rank import with_rank
 from kugiri.plans.skew import join_table
 
 NUMBER = re.compile(r"-?[0-9]+", re.ASCII)
 #: Fields that every record must have: surface, left id, right id, cost and one detail.
 LEAST_FIELDS = 5
+#: A line whose quotes all belong to quoted fields; one that closes a field of the line before has others.
+CLEAR = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
+LINE = re.compile(r"([^\r\n]*)(\r\n|\r|\n|$)")
 
 
 class BrokenQuote(Exception):
@@ -101,19 +110,16 @@ def structural(fields: list[str]) -> tuple[int, int, int] | None:
     return tuple(out) if len(out) == 3 else None
 
 
-def _anchor(text: str, at: int) -> int:
-    """The first record start behind the line of `at`."""
-    while (at := _line_end(text, at)) < len(text):
-        at += 2 if text.startswith("\r\n", at) else 1
-        head = text[at : _line_end(text, at)]
-        record = parse_line(head)
-        if record.fields and len(record.fields) >= LEAST_FIELDS and structural(record.fields):
-            return at
-    return len(text)
+def anchored(line: str) -> list[str] | None:
+    """The fields of a line that is a record-start anchor, else None."""
+    if '"' in line and not CLEAR.fullmatch(line):
+        return None
+    fields = parse_line(line).fields
+    return fields if fields and len(fields) >= LEAST_FIELDS and structural(fields) else None
 
 
-def parse_source(text: str) -> Iterator[Record]:
-    """All records of a source; a Record without fields is a syntax error, with its position. Blank lines are left out."""
+def _gap(text: str) -> Iterator[Record]:
+    """The records of a text without anchors; behind a broken quote nothing can be told until the next anchor."""
     at = 0
     while at < len(text):
         if text[at] in "\r\n":
@@ -122,11 +128,23 @@ def parse_source(text: str) -> Iterator[Record]:
         start = at
         try:
             fields, at = _record(text, at, True)
-            if any(f.strip() for f in fields) or len(fields) > 1:
-                yield Record(start, fields, None)
         except BrokenQuote as e:
             yield Record(start, None, e.at)
-            at = _anchor(text, start)
+            return
+        if any(f.strip() for f in fields) or len(fields) > 1:
+            yield Record(start, fields, None)
+
+
+def parse_source(text: str) -> Iterator[Record]:
+    """All records of a source; a Record without fields is a syntax error, with its position. Blank lines are left out."""
+    gap = at = 0
+    for m in LINE.finditer(text):
+        if (fields := anchored(m[1])) is not None:
+            yield from (Record(gap + r.start, r.fields, None if r.error_at is None else gap + r.error_at) for r in _gap(text[gap : m.start()]))
+            yield Record(m.start(), fields, None)
+            gap = m.end()
+        at = m.end()
+    yield from (Record(gap + r.start, r.fields, None if r.error_at is None else gap + r.error_at) for r in _gap(text[gap:at]))
 
 
 def reason_of(record: Record, n_fields: int | None, flexible: bool, skip: bool) -> tuple[str | None, tuple | None]:
@@ -146,13 +164,21 @@ PARSED = pa.struct([("fields", pa.list_(pa.string())), ("left_id", pa.int32()),
 PARSED_DDL = "fields array<string>, left_id int, right_id int, cost int, reason string, error_at int"
 
 
+def parse_rows(rows: list[str | None]) -> Iterator[Record | None]:
+    """The record of each row of a source whose anchors are the rows' starts; None for a NULL or blank row.
+
+    Behind a broken quote parsing resumes at the next row.
+    """
+    for row in rows:
+        yield None if row is None or not row.strip() else parse_line(row)
+
+
 def _parse_batch(lines: pa.Array, n_fields: pa.Array, flexible: pa.Array, skip: pa.Array) -> pa.Array:
     out = []
-    for line, n, flex, sk in zip(lines.to_pylist(), n_fields.to_pylist(), flexible.to_pylist(), skip.to_pylist()):
-        if line is None or not line.strip():
+    for record, n, flex, sk in zip(parse_rows(lines.to_pylist()), n_fields.to_pylist(), flexible.to_pylist(), skip.to_pylist()):
+        if record is None:
             out.append(None)
             continue
-        record = parse_line(line)
         reason, numbers = reason_of(record, n, bool(flex), bool(sk))
         left, right, cost = numbers or (None, None, None)
         out.append({"fields": None if reason else record.fields, "left_id": left, "right_id": right, "cost": cost, "reason": reason, "error_at": record.error_at})
@@ -187,21 +213,62 @@ def parse_lines(lines: DataFrame, dictionaries: DataFrame, line: str = "c0", int
     return joined.select(*columns(lines), parse_column(F.col(f"`{line}`"), rule["n_fields"], rule["flexible_csv"], rule["skip_invalid_cost_or_id"]).alias(free(lines, into)))
 
 
-def source_records(sources: DataFrame, text: str) -> DataFrame:
-    """One row per record of sources of several lines: the other columns, place (from 0), start, fields and error_at.
+def source_lines(sources: DataFrame, text: str) -> DataFrame:
+    """The lines of whole sources: the other columns, line (from 0) and value. A NULL source has none."""
+    rest = columns(sources, (text,))
+    name = lambda n: free(sources, n, (text,))
+    return sources.select(*rest, F.posexplode(F.split(F.col(f"`{text}`"), "\\r\\n|\\r|\\n")).alias(name("line"), name("value")))
+
+
+_RECORD = pa.struct([("line", pa.int64()), ("fields", pa.list_(pa.string())), ("left_id", pa.int32()), ("right_id", pa.int32()), ("cost", pa.int32()), ("error_line", pa.int64()), ("error_at", pa.int32())])
+_RECORD_DDL = "line:bigint, fields:array<string>, left_id:int, right_id:int, cost:int, error_line:bigint, error_at:int"
+
+
+def _typed(line: int, fields: list[str] | None, error_line: int | None = None, error_at: int | None = None) -> dict:
+    left, right, cost = fields and len(fields) >= LEAST_FIELDS and structural(fields) or (None, None, None)
+    return {"line": line, "fields": fields, "left_id": left, "right_id": right, "cost": cost, "error_line": error_line, "error_at": error_at}
+
 
-    A record whose quoting broke has no fields and the character where it broke; the records behind it come from the next
-    record start on. A NULL or blank source gives no row. Each source is parsed whole, as a quoted field may run over lines.
+def _gap_records(numbers: list[int], lines: list[str]) -> list[dict]:
+    """The records of consecutive lines without anchors; numbers are those of the lines."""
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    place = lambda at: (k := bisect_right(starts, at) - 1, numbers[k], at - starts[k])[1:]
+    return [_typed(place(r.start)[0], r.fields, *((None, None) if r.error_at is None else place(r.error_at))) for r in _gap("\n".join(lines))]
+
+
+def source_records(lines: DataFrame, source: str, line: str, value: str) -> DataFrame:
+    """The records of sources given as lines (source, number of the line, its text): typed records and located syntax errors.
+
+    One row per record: source, line (the one it starts in), fields, left_id, right_id and cost (NULL where they aren't
+    valid), anchored (whether an anchor begins it), error_line and error_at (character in that line) where a quote broke; then there are no fields. The numbers
+    of a source's lines are distinct whole numbers in their order. A NULL or blank line has no record. Anchored lines are parsed
+    where they are; only the lines between are brought together, gap by gap, by their places in the sorted order, so a source
+    may hold any share of all lines. A gap is parsed by one task.
     """
-    record = pa.struct([("start", pa.int32()), ("fields", pa.list_(pa.string())), ("error_at", pa.int32())])
+    c = lambda n: F.col(f"`{n}`")
 
     def parsed(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [r._asdict() for r in parse_source(t)] for t in texts.to_pylist()], pa.list_(record))
-
-    rest = columns(sources, (text,))
-    rows = sources.select(*rest, F.posexplode(F.arrow_udf(parsed, "array<struct<start:int, fields:array<string>, error_at:int>>")(F.col(f"`{text}`"))).alias("__place", "__record"))
-    name = lambda n: free(sources, n, (text,))
-    return rows.select(*rest, F.col("__place").alias(name("place")), *[F.col(f"__record.{n}").alias(name(n)) for n in ("start", "fields", "error_at")])
+        out = []
+        for t in texts.to_pylist():
+            fields = None if t is None else anchored(t)
+            out.append(None if fields is None else {k: v for k, v in _typed(0, fields).items() if k in ("fields", "left_id", "right_id", "cost")})
+        return pa.array(out, pa.struct([f for f in _RECORD if f.name in ("fields", "left_id", "right_id", "cost")]))
+
+    rows = lines.select(c(source).alias("s"), c(line).cast("long").alias("n"), F.coalesce(c(value), F.lit("")).alias("v"))
+    placed = with_rank(rows.withColumn("a", F.arrow_udf(parsed, "struct<fields:array<string>, left_id:int, right_id:int, cost:int>")("v")), ["s", "n"], "g")
+    whole = placed.where("a IS NOT NULL").select("s", F.col("n").alias("line"), "a.*", F.lit(None).cast("long").alias("error_line"), F.lit(None).cast("int").alias("error_at"), F.lit(True).alias("anchored"))
+    # lines of one gap follow each other both among all lines and among the loose ones
+    loose = with_rank(placed.where("a IS NULL").select("s", "n", "v", "g"), ["g"], "h")
+    gaps = loose.groupBy("s", (F.col("g") - F.col("h")).alias("gap")).agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("own"))
+
+    def between(own: pa.Array) -> pa.Array:
+        return pa.array([_gap_records([x["n"] for x in g], [x["v"] for x in g]) for g in own.to_pylist()], pa.list_(_RECORD))
+
+    rest = gaps.select("s", F.explode(F.arrow_udf(between, f"array<struct<{_RECORD_DDL}>>")("own")).alias("r")).select("s", "r.*", F.lit(False).alias("anchored"))
+    return whole.unionByName(rest).withColumnRenamed("s", source)
 
 
 def rejected(parsed: DataFrame, into: str = "parsed") -> DataFrame:

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from kugiri.plans.names import columns, free
 
-#: Costs of the cover: a quoted value, a known value, any other value. A known value beats two plain ones.
+#: Costs of the cover: a quoted value, a known value that holds delimiters, any other value. A known value beats two plain ones.
 QUOTED, KNOWN, PLAIN = 1, 2, 4
-#: Known values are shipped to the workers up to this many; beyond it only those that hold a delimiter, the others don't change a cover.
-MOST_KNOWN = 200_000
+#: Known values that hold a delimiter and are shipped to the workers; more are an error. Others change no cover and aren't shipped.
+MOST_KNOWN = 2_000_000
 
 
 @lru_cache(1)
@@ -94,7 +94,7 @@ class Splitter:
             while first < n and text[first] in self.blanks:
                 first += 1
             value = text[s : ends[i]].strip(self.blanks)
-            edges = [(i, KNOWN if value in self.known else PLAIN, value)]
+            edges = [(i, PLAIN, value)]
             if first < n and text[first] in "\"'" and (quoted := self._quoted(text, first)):
                 edges = [(place[quoted[1]], QUOTED, quoted[0])]
             elif first in spans:
@@ -119,10 +119,8 @@ def split_column(packed: Column, known: list[str] | tuple = ()) -> Column:
 
     Equal strings of a batch are split once.
     """
-    known = sorted(v for v in set(known) if v)
-    if len(known) > MOST_KNOWN:
-        sep = Splitter().sep
-        known = [v for v in known if sep.search(v)]
+    sep = Splitter().sep
+    known = sorted(v for v in set(known) if v and sep.search(v))
     state: dict = {}
 
     def split(a: pa.Array) -> pa.Array:
@@ -146,8 +144,13 @@ def split_rows(df: DataFrame, packed: str, pos: str = "pos", val: str = "val", k
     return out.select(*rest, F.posexplode("__values").alias(pos, val)).where(F.col(val) != "")
 
 
-def known_values(lexicon: DataFrame, details: str = "details", most: int | None = None) -> list[str]:
-    """The distinct detail values of a lexicon that hold a delimiter, which alone change a cover. Given `most`, [] when there are more."""
+def known_values(lexicon: DataFrame, details: str = "details") -> list[str]:
+    """The distinct detail values of a lexicon that hold a delimiter, which alone change a cover.
+
+    They are shipped to the workers, so more than MOST_KNOWN of them are an error.
+    """
     values = lexicon.select(F.explode(details).alias("v")).where(F.col("v").rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in separators()) + "]")).distinct()
-    got = [r.v for r in (values if most is None else values.limit(most + 1)).collect()]
-    return got if most is None or len(got) <= most else []
+    got = [r.v for r in values.limit(MOST_KNOWN + 1).collect()]
+    if len(got) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} values that hold a delimiter")
+    return got

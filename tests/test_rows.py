@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -35,11 +36,51 @@ def test_recovery_at_the_next_record_start():
     assert [r.fields[0] for r in badrows.parse_source("a,1\r\nb,2\r\n")] == ["a", "b"] and list(badrows.parse_source("")) == []
 
 
-def test_sources(spark):
-    df = spark.createDataFrame([(1, 'a,1\n"b\nc",2\n"x"y\nd,1,2,3,n\n', "s"), (2, None, "s"), (3, " \n", "s"), (4, "", "s")], "id int, text string, start string")
-    got = [(r.id, r.place, r.start_, r.fields, r.error_at) for r in badrows.source_records(df, "text").orderBy("id", "place").collect()]
-    assert got == [(1, 0, 0, ["a", "1"], None), (1, 1, 4, ["b\nc", "2"], None), (1, 2, 12, None, 14), (1, 3, 17, ["d", "1", "2", "3", "n"], None)]
-    assert badrows.source_records(df.limit(0), "text").count() == 0
+def by_brute_force(lines):
+    """(line, fields, line and character of the error) of one source, line by line with the gaps between anchors."""
+    out, gap = [], []
+
+    def close():
+        text, starts = "\n".join(v for _, v in gap), []
+        for k in range(len(gap)):
+            starts.append(sum(len(v) + 1 for _, v in gap[:k]))
+        for r in badrows.parse_source(text):
+            k = max(i for i, s in enumerate(starts) if s <= r.start)
+            e = None if r.error_at is None else max(i for i, s in enumerate(starts) if s <= r.error_at)
+            out.append((gap[k][0], r.fields, None if e is None else gap[e][0], None if e is None else r.error_at - starts[e]))
+        gap.clear()
+
+    for n, v in lines:
+        if badrows.anchored(v or "") is not None:
+            close()
+            out.append((n, badrows.anchored(v), None, None))
+        else:
+            gap.append((n, v or ""))
+    close()
+    return out
+
+
+def test_sources_in_many_tasks(spark):
+    rng = random.Random(3)
+    pool = ["w,1,2,-3,n", '"two', 'lines",1,1,1,n', '"x"y', "not a start", "", None, "a,b", '"q,1",2,3,4,z', '"open', "w2,70000,1,1,n", "w3,1,1,1,n,m"]
+    # one source holds most of the lines
+    lines = [("big" if rng.random() < 0.7 else f"s{rng.randrange(9)}", i * 3, rng.choice(pool)) for i in range(600)]
+    lines += [("big", 5000 + i, v) for i, v in enumerate(["w,1,2,-3,n", '"two', 'lines",1,1,1,n', "w,1,2,-3,n"])]
+    df = spark.createDataFrame(lines, "source string, line long, c0 string").repartition(7)
+    got = sorted((r.source, r.line, r.fields, r.error_line, r.error_at) for r in badrows.source_records(df, "source", "line", "c0").collect())
+    expected = sorted((s, *x) for s in {s for s, *_ in lines} for x in by_brute_force([(n, v) for t, n, v in lines if t == s]))
+    assert list(map(repr, got)) == list(map(repr, expected)) and any(x[3] is not None for x in got) and any(x[2] and "\n" in x[2][0] for x in got)
+    typed = badrows.source_records(df, "source", "line", "c0").where("fields[0] = 'w'").select("left_id", "right_id", "cost").distinct().collect()
+    assert [tuple(r) for r in typed] == [(1, 2, -3)]
+    assert badrows.source_records(df.limit(0), "source", "line", "c0").count() == 0
+
+
+def test_whole_sources(spark):
+    df = spark.createDataFrame([(1, 'a,1\r\n"b\nc",2\n"x"y\nlost\nd,1,2,3,n\n', "s"), (2, None, "s"), (3, " \n", "s"), (4, "", "s")], "id int, text string, line string")
+    lines = badrows.source_lines(df, "text")
+    assert lines.columns == ["id", "line", "line_", "value"]
+    got = [(r.id, r.line, r.fields, r.error_line, r.error_at) for r in badrows.source_records(lines, "id", "line_", "value").orderBy("id", "line").collect()]
+    assert got == [(1, 0, ["a", "1"], None, None), (1, 1, ["b\nc", "2"], None, None), (1, 3, None, 3, 2), (1, 5, ["d", "1", "2", "3", "n"], None, None)]
 
 
 def test_numbers():
@@ -101,15 +142,16 @@ def test_rows(spark):
     clash = packed.split_rows(df.select("id", F.lit(7).alias("POS"), F.lit("o").alias("a.b"), "packed"), "packed").where("id = 1").orderBy("pos_")
     assert clash.columns == ["id", "POS", "a.b", "pos_", "val"] and [tuple(r) for r in clash.collect()][0] == (1, 7, "o", 0, "a")
     lex = spark.createDataFrame([(["a", "b;c"],), (None,), ([None, "、"],)], "details array<string>")
-    assert sorted(packed.known_values(lex)) == ["b;c", "、"] and packed.known_values(lex, most=1) == []
+    assert sorted(packed.known_values(lex)) == ["b;c", "、"]
 
 
-def test_known_values_beyond_the_shipped_number_are_kept(spark, monkeypatch):
-    monkeypatch.setattr(packed, "MOST_KNOWN", 1)
+def test_too_many_known_values_are_an_error(spark, monkeypatch):
     lex = spark.createDataFrame([(["b;c", "d", "、e", "f|g"],)], "details array<string>")
-    assert packed.known_values.__defaults__[1] is None and sorted(packed.known_values(lex)) == ["b;c", "f|g", "、e"]
     rows = packed.split_rows(spark.createDataFrame([("b;c,f|g",)], "p string"), "p", known=packed.known_values(lex))
     assert [r.val for r in rows.orderBy("pos").collect()] == ["b;c", "f|g"]
+    monkeypatch.setattr(packed, "MOST_KNOWN", 1)
+    with pytest.raises(ValueError):
+        packed.known_values(lex)
 
 
 def test_a_known_value_that_begins_another_is_found():
