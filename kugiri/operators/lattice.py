@@ -36,46 +36,67 @@ def is_kanji(c: str) -> bool:
 
 
 class Trie:
-    """Common-prefix search; the entries of a surface stay in the order in which they were added."""
+    """Common-prefix search; the entries of a surface stay in the order in which they were added.
+
+    Surfaces are hashed whole, and for the first two characters the lengths that occur behind them are known, so a search tries
+    few of a text's prefixes. Large lexicons keep row numbers here, from which entries are made when first found.
+    """
 
     def __init__(self):
-        self.root: dict = {}
+        self.own: dict[str, list | int] = {}
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        self.entry = None
+
+    @classmethod
+    def of_rows(cls, surfaces: list[str | None], entry) -> "Trie":
+        """From surfaces by row number (None for no word); entry makes a row's entry."""
+        out = cls()
+        out.entry, own = entry, out.own
+        seen: dict[str, set[int]] = {}
+        for i, s in enumerate(surfaces):
+            if s is None:
+                continue
+            if (old := own.get(s)) is None:
+                own[s] = i
+                seen.setdefault(s[:2], set()).add(len(s))
+            elif isinstance(old, int):
+                own[s] = [entry(old), entry(i)]
+            else:
+                old.append(entry(i))
+        shared: dict[tuple, tuple] = {}
+        out.lengths = {k: shared.setdefault(t := tuple(sorted(v)), t) for k, v in seen.items()}
+        return out
 
     def add(self, surface: str, entry: tuple) -> None:
-        node = self.root
-        for c in surface:
-            node = node.setdefault(c, {})
-        node.setdefault("", []).append(entry)
+        self.own.setdefault(surface, []).append(entry)
+        old = self.lengths.get(surface[:2], ())
+        if len(surface) not in old:
+            self.lengths[surface[:2]] = tuple(sorted((*old, len(surface))))
 
     def holds(self, pattern: "re.Pattern") -> bool:
         """Whether a character of the pattern stands in a surface."""
-        stack = [self.root]
-        while stack:
-            for c, node in stack.pop().items():
-                if c:
-                    if pattern.match(c):
-                        return True
-                    stack.append(node)
-        return False
+        return any(map(pattern.match, set().union(*self.own)))
+
+    def _found(self, surface: str) -> list[tuple] | None:
+        got = self.own.get(surface)
+        if isinstance(got, int):
+            got = self.own[surface] = [self.entry(got)]
+        return got
 
     def prefixes(self, text: str, at: int = 0) -> list[tuple[int, list[tuple]]]:
         """(end, entries) of every surface that text holds from `at`, the shortest first."""
-        node, out = self.root, []
-        for i in range(at, len(text)):
-            node = node.get(text[i])
-            if node is None:
+        out, head = [], text[at : at + 2]
+        if len(head) == 2 and (own := self._found(head[0])) is not None:
+            out.append((at + 1, own))
+        for n in self.lengths.get(head, ()):
+            if at + n > len(text):
                 break
-            if own := node.get(""):
-                out.append((i + 1, own))
+            if (own := self._found(text[at : at + n])) is not None:
+                out.append((at + n, own))
         return out
 
     def find(self, surface: str) -> list[tuple]:
-        node = self.root
-        for c in surface:
-            node = node.get(c)
-            if node is None:
-                return []
-        return node.get("", [])
+        return self._found(surface) or []
 
 
 class Lattice:

@@ -1,14 +1,18 @@
 """Dictionaries: built from definition files, written to and read from folders, found by URI."""
 
+import io
 import os
 import re
 from collections import Counter
+from collections.abc import Callable, Sequence
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,22 +113,83 @@ def read_records(path: str | Path, encoding: str = "UTF-8") -> list[list[str]]:
     return out
 
 
+class Words(Sequence):
+    """The words of a lexicon by id, as columns; each is (surface, left id, right id, cost, details), or None for a row without a word.
+
+    Columns are shipped to the workers as they are, and a row is made only when it is asked for.
+    """
+
+    def __init__(self, surface: pa.Array, left: np.ndarray, right: np.ndarray, cost: np.ndarray, details: pa.Array):
+        self.surface, self.left, self.right, self.cost, self.details = surface, left, right, cost, details
+
+    @classmethod
+    def of(cls, rows) -> "Words":
+        if isinstance(rows, cls):
+            return rows
+        columns = list(zip(*(r or (None, 0, 0, 0, None) for r in rows))) or [[]] * 5
+        return cls(pa.array(columns[0], pa.string()), *(np.array(c, np.int32) for c in columns[1:4]), pa.array(columns[4], pa.list_(pa.string())))
+
+    @classmethod
+    def from_table(cls, table: pa.Table) -> "Words":
+        """From columns surface, left_id, right_id, cost and details in the order of the ids."""
+        column = lambda name: table.column(name).combine_chunks()
+        numbers = (pc.fill_null(column(n), 0).to_numpy(zero_copy_only=False).astype(np.int32) for n in ("left_id", "right_id", "cost"))
+        return cls(column("surface").cast(pa.string()), *numbers, column("details"))
+
+    def __len__(self) -> int:
+        return len(self.surface)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(len(self)))]
+        surface = self.surface[i].as_py()
+        return None if surface is None else (surface, int(self.left[i]), int(self.right[i]), int(self.cost[i]), self.details[i].as_py())
+
+    def __iter__(self):
+        for at in range(0, len(self), 10_000):
+            part = slice(at, at + 10_000)
+            for s, *rest in zip(self.surface[part].to_pylist(), self.left[part].tolist(), self.right[part].tolist(), self.cost[part].tolist(), self.details[part].to_pylist()):
+                yield None if s is None else (s, *rest)
+
+    def __eq__(self, other) -> bool:
+        return len(self) == len(other) and all(a == b for a, b in zip(self, other))
+
+    __hash__ = None
+
+    def entry(self, i: int) -> tuple[int, int, int, int]:
+        return int(self.left[i]), int(self.right[i]), int(self.cost[i]), i
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Left and right ids of the rows that are words."""
+        there = self.surface.is_valid().to_numpy(zero_copy_only=False)
+        return self.left[there], self.right[there]
+
+
+class _Rows(dict):
+    """Rows of the connection costs as lists, each made when first asked for."""
+
+    def __init__(self, matrix: np.ndarray):
+        super().__init__()
+        self.matrix = matrix
+
+    def __missing__(self, left: int) -> list[int]:
+        row = self[left] = self.matrix[left].tolist()
+        return row
+
+
 class Dictionary:
     """What segmentation needs: categories, words, unknown words, connection costs, metadata."""
 
-    def __init__(self, metadata: Metadata, char_def: str, unknown_rows, matrix: np.ndarray, words: list[tuple[str, int, int, int, list[str]] | None], user: UserDictionary | None = None):
+    def __init__(self, metadata: Metadata, char_def: str, unknown_rows, matrix: np.ndarray, words: Words | list[tuple[str, int, int, int, list[str]] | None], user: UserDictionary | None = None):
         self.metadata, self.schema = metadata, metadata.dictionary_schema
-        self.char_def, self.unknown_rows, self.matrix, self.words = char_def, list(unknown_rows), matrix, words
+        self.char_def, self.unknown_rows, self.matrix, self.words = char_def, list(unknown_rows), matrix, Words.of(words)
         self.categories = Categories(char_def)
         self._index(user)
 
     def _index(self, user: UserDictionary | None) -> None:
         if len(self.words) > MOST_WORDS:
             raise AnalysisError(ErrorKind.DICTIONARY, f"more than {MOST_WORDS} words")
-        self.system = Trie()
-        for i, w in enumerate(self.words):
-            if w is not None:
-                self.system.add(w[0], (w[1], w[2], w[3], i))
+        self.system = Trie.of_rows(self.words.surface.to_pylist(), self.words.entry)
         names = self.categories.names
         self.unknown: list[list[tuple]] = [[] for _ in names]
         for i, (name, left, right, cost, _) in enumerate(self.unknown_rows):
@@ -134,10 +199,10 @@ class Dictionary:
             for c in own:
                 if not self.unknown[c]:
                     raise AnalysisError(ErrorKind.DICTIONARY, f"category {names[c]} has no unknown word, so some texts have no path")
-        self.costs = self.matrix.tolist() if self.matrix.size <= 4_000_000 else self.matrix
-        ids = [e for own in self.unknown for e in own] + [w[1:4] for w in self.words if w is not None]
+        self.costs = _Rows(self.matrix)
         backward, forward = self.matrix.shape
-        if any(e[0] >= backward or e[1] >= forward for e in ids):
+        left, right = self.words.ids()
+        if any(e[0] >= backward or e[1] >= forward for own in self.unknown for e in own) or len(left) and (left.max() >= backward or right.max() >= forward):
             raise AnalysisError(ErrorKind.BUILD, "a context id lies outside the connection matrix")
         self.user_dictionary = user
         if user is not None and self.metadata.connection_id_mapping:
@@ -235,31 +300,41 @@ class Dictionary:
 
     # folders --------------------------------------------------------------------------------------------------
 
-    def save(self, folder: str | Path) -> None:
-        folder = Path(folder)
-        folder.mkdir(parents=True, exist_ok=True)
-        (folder / "metadata.json").write_text(self.metadata.to_json(), "utf-8")
-        (folder / "char.def").write_text(self.char_def, "utf-8")
-        np.save(folder / "matrix.npy", self.matrix)
+    def save(self, folder: str | Path, spark: SparkSession | None = None) -> None:
+        """To a folder; with a session also to any place that its file systems reach."""
+        files = _Folder(folder, spark)
+
+        def put(name: str, table: pa.Table) -> None:
+            sink = pa.BufferOutputStream()
+            pq.write_table(table, sink)
+            files.write(name, sink.getvalue().to_pybytes())
+
+        files.write("metadata.json", self.metadata.to_json().encode())
+        files.write("char.def", self.char_def.encode())
+        matrix = io.BytesIO()
+        np.save(matrix, self.matrix)
+        files.write("matrix.npy", matrix.getvalue())
         kinds = [("left_id", pa.int32()), ("right_id", pa.int32()), ("cost", pa.int32()), ("details", pa.list_(pa.string()))]
 
         def write(name: str, first: str, rows) -> None:
             columns = list(zip(*rows)) or [[]] * 6
-            pq.write_table(pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), *(pa.array(c, t) for c, (_, t) in zip(columns[2:], kinds))], names=["word_id", first, *(k for k, _ in kinds)]), folder / name)
+            put(name, pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), *(pa.array(c, t) for c, (_, t) in zip(columns[2:], kinds))], names=["word_id", first, *(k for k, _ in kinds)]))
 
-        write("words.parquet", "surface", [(i, *(w or (None, None, None, None, None))) for i, w in enumerate(self.words)])
+        w = self.words
+        number = lambda x: pa.array(x, pa.int32(), mask=w.surface.is_null().to_numpy(zero_copy_only=False))
+        put("words.parquet", pa.table({"word_id": pa.array(np.arange(len(w)), pa.int64()), "surface": w.surface, "left_id": number(w.left), "right_id": number(w.right), "cost": number(w.cost), "details": w.details}))
         write("unknown.parquet", "category", [(i, *r) for i, r in enumerate(self.unknown_rows)])
 
     @classmethod
-    def load(cls, folder: str | Path) -> "Dictionary":
-        folder = Path(folder)
-        metadata = Metadata.load(folder / "metadata.json")
+    def load(cls, folder: str | Path, spark: SparkSession | None = None) -> "Dictionary":
+        files = _Folder(folder, spark)
+        metadata = Metadata.from_json(files.read("metadata.json").decode())
         if metadata.format_version != FORMAT_VERSION:
             raise AnalysisError(ErrorKind.DESERIALIZE, f"format version {metadata.format_version}, not {FORMAT_VERSION}")
         try:
-            rows = lambda name: list(zip(*(c.to_pylist() for c in pq.read_table(folder / name).sort_by("word_id").columns[1:])))
-            words = [None if r[0] is None else r for r in rows("words.parquet")]
-            return cls(metadata, (folder / "char.def").read_text("utf-8"), rows("unknown.parquet"), np.load(folder / "matrix.npy"), words)
+            table = lambda name: pq.read_table(pa.BufferReader(files.read(name))).sort_by("word_id")
+            unknown = list(zip(*(c.to_pylist() for c in table("unknown.parquet").columns[1:])))
+            return cls(metadata, files.read("char.def").decode(), unknown, np.load(io.BytesIO(files.read("matrix.npy"))), Words.from_table(table("words.parquet")))
         except (OSError, ValueError) as e:
             raise AnalysisError(ErrorKind.IO, str(e)) from e
 
@@ -329,11 +404,12 @@ def context_frequencies(words: DataFrame, side: str = "left_id") -> DataFrame:
     return ranked.unionByName(zero)
 
 
-def from_tables(lexicon: DataFrame, dictionaries: DataFrame, char_def: str, unknown_cost: int) -> dict[str, Dictionary]:
+def from_tables(lexicon: DataFrame, dictionaries: DataFrame, char_def: str, unknown_cost: int, connection: Callable | None = None) -> dict[str, Dictionary]:
     """A dictionary for each dict_name of the tables; word ids are places in the order of surfaces, as build() has them.
 
-    The tables hold neither connection costs nor unknown words: all connections cost 0, and an unknown word of any category costs
-    `unknown_cost` and has UNK. The lexicon comes to the driver, so it has at most MOST_WORDS words.
+    The tables hold neither connection costs nor unknown words: an unknown word of any category costs `unknown_cost` and has UNK,
+    and a connection costs what `connection` says of arrays of right ids (of the words before) and left ids (of those behind),
+    by default 0. The lexicon comes to the driver, so it has at most MOST_WORDS words.
     """
     rows = lexicon.select("dict_name", "surface", "left_context_id", "right_context_id", "cost", "details").limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
@@ -349,10 +425,44 @@ def from_tables(lexicon: DataFrame, dictionaries: DataFrame, char_def: str, unkn
         words = sorted((normal(r.surface), r.left_context_id, r.right_context_id, r.cost, [normal(x) for x in r.details]) for r in own.get(d.dict_name, ()))
         size = 1 + max((x for w in words for x in w[1:3]), default=0)
         unknown = parse_unknown("\n".join(f"{name},0,0,{unknown_cost},UNK" for name in Categories(char_def).names))
-        out[d.dict_name] = Dictionary(meta, char_def, unknown, np.zeros((size, size), np.int16), words)
+        out[d.dict_name] = Dictionary(meta, char_def, unknown, np.zeros((size, size), np.int16) if connection is None else np.asarray(connection(np.arange(size)[None, :], np.arange(size)[:, None]), np.int16), words)
     return out
 
 
+class _Folder:
+    """Files of a dictionary folder, local or, with a session, wherever Hadoop's file systems reach (an object store, HDFS)."""
+
+    def __init__(self, folder: str | Path, spark: SparkSession | None):
+        self.folder, self.spark = str(folder).rstrip("/"), spark
+
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def read(self, name: str) -> bytes:
+        try:
+            if self.spark is None:
+                return (Path(self.folder) / name).read_bytes()
+            path, system = self._hadoop(name)
+            stream = system.open(path)
+            try:
+                return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+        except (OSError, Py4JError) as e:
+            raise AnalysisError(ErrorKind.IO, f"{self.folder}/{name}: {type(e).__name__}") from e
+
+    def write(self, name: str, data: bytes) -> None:
+        if self.spark is None:
+            Path(self.folder).mkdir(parents=True, exist_ok=True)
+            (Path(self.folder) / name).write_bytes(data)
+            return
+        path, system = self._hadoop(name)
+        stream = system.create(path, True)
+        stream.write(bytearray(data))
+        stream.close()
+
+
 # URIs -----------------------------------------------------------------------------------------------------------
 
 
@@ -367,12 +477,14 @@ def _path(uri: str, embedded: bool = True) -> Path:
     raise AnalysisError(ErrorKind.DICTIONARY, f"invalid dictionary scheme {parsed.scheme}")
 
 
-def load_dictionary(uri: str) -> Dictionary:
-    """embedded://NAME (see kugiri.sources.bundled), file:///PATH or a path."""
+def load_dictionary(uri: str, spark: SparkSession | None = None) -> Dictionary:
+    """embedded://NAME (see kugiri.sources.bundled), file:///PATH or a path; with a session any URI of its file systems."""
     if uri.startswith("embedded://"):
         from kugiri.sources.bundled import bundled
 
         return bundled(uri.removeprefix("embedded://").strip("/"))
+    if spark is not None and "://" in uri:
+        return Dictionary.load(uri, spark)
     path = _path(uri)
     if not path.is_dir():
         raise AnalysisError(ErrorKind.IO, f"no dictionary folder {path}")
