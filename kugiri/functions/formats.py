@@ -40,14 +40,21 @@ def wakati_column(tokens: Column) -> Column:
 
 
 def json_column(tokens: Column, schema: Schema) -> Column:
-    """One compact array; details that are numbers become numbers."""
-    number = r"^-?(?:0|[1-9][0-9]{0,17})$"
+    """One compact array; details that are numbers become numbers, as Token.as_value has them."""
+    integer = r"^[+-]?[0-9]+\z"
+    # no blanks, no suffix of a type, no word for infinity or none
+    real = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+
+    def coerced(value: Column, quoted: Column) -> Column:
+        whole, broken = value.try_cast("long"), value.try_cast("double")
+        finite = F.abs(broken) < F.lit(float("inf"))
+        return F.when(value.rlike(integer) & whole.isNotNull(), whole.cast("string")).when(value.rlike(real) & finite, F.to_json(F.struct(broken.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(broken.alias("v")))) - 6)).otherwise(quoted)
 
     def one(t: Column) -> Column:
         def pair(i: int, name: str) -> Column:
             value = F.try_element_at(t["details"], F.lit(i + 1))
-            quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
-            return F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), F.when(value.rlike(number), value).otherwise(quoted))
+            quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+            return F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), coerced(value, quoted))
 
         head = F.regexp_extract(F.to_json(F.struct(t["surface"].alias("surface"), t["byte_start"].alias("byte_start"), t["byte_end"].alias("byte_end"), t["word_id"].alias("word_id"))), r"(?s)^(.*)\}$", 1)
         return F.concat_ws(",", head, *[pair(i, n) for i, n in enumerate(schema.custom_fields)])

@@ -5,7 +5,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from kugiri.model import TOKEN_DDL
-from kugiri.plans.analyzer import Tokenizer, token_arrays
+from kugiri.plans.analyzer import Tokenizer, token_arrays, word_arrays
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "") -> None:
@@ -14,7 +14,10 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "") -> Non
     struct = f"array<struct<{TOKEN_DDL.replace(' ', ':').replace(',:', ', ')}>>"
 
     def tokenize(texts: pa.Array) -> pa.Array:
-        return token_arrays([None if t is None else shipped.value.tokenize(t) for t in texts.to_pylist()])
+        own = shipped.value
+        if all(f.one_by_one for f in own.token_filters):
+            return word_arrays(own, texts.to_pylist())
+        return token_arrays([None if t is None else own.tokenize(t) for t in texts.to_pylist()])
 
     def surfaces(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else shipped.value.tokenize_surfaces(t) for t in texts.to_pylist()], pa.list_(pa.string()))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from kugiri.functions import formats
 from kugiri.functions.tokenfilters import token_filter
+from kugiri.model import Schema
 from kugiri.operators import entries
+from kugiri.plans import paths
 from kugiri.operators.packed import known_values, split_column
 from kugiri.plans.analyzer import Segmenter, Tokenizer, TokenizerBuilder
 from kugiri.plans.shared import read, spread, stable
@@ -109,7 +111,7 @@ def mecab_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_output(spark: SparkSession, d: str) -> DataFrame:
-    chain = tokenizer("function-words")
+    chain = tokenizer()
     rows = chain.token_lists(documents(spark, d).select("doc_id", "text"), "text")
     return rows.select("doc_id", formats.json_column(F.col("tokens"), chain.segmenter.dictionary.schema).alias("json"))
 
@@ -219,6 +221,24 @@ def trained_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "dict_name string, surface string, left_id int, right_id int, cost int")
 
 
+def _by_field(kind: str, group: str):
+    """Surfaces that a filter by field makes of all token rows of one language group, whose details are looked up by word id."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        chosen = read(spark, d, "dictionaries").where(F.col("lang_group") == group)
+        views = read(spark, d, "token_views").drop("details").where("surface IS NOT NULL")
+        tokens = entries.details_by_id(views, read(spark, d, "lexicon"), chosen.select("dict_name", (F.col("n_fields") - 4).alias("width")))
+        fields = ("surface", "byte_start", "byte_end", "position", "position_length", "word_id", "lex_type", "is_unknown", "details")
+        parts = []
+        for r in chosen.select("dict_name", "dictionary_schema").collect():
+            made = token_filter(kind, {}).column_for(Schema(tuple(r.dictionary_schema)))
+            own = tokens.where(F.col("dict_name") == r.dict_name)
+            parts.append(own.select("dict_name", made(F.array(F.struct(*fields)))[0]["surface"].alias("surface")))
+        return reduce(DataFrame.unionAll, parts).groupBy("dict_name", "surface").agg(F.count("*").alias("n"))
+
+    return query
+
+
 def _text_filter(kind: str, args: dict):
     def query(spark: SparkSession, d: str) -> DataFrame:
         return documents(spark, d).select("doc_id", entries.filter_column(kind, args)(F.col("text")).alias("text"))
@@ -257,9 +277,9 @@ QUERIES = {
     "tokens_kana": _counted(tokens=[("japanese_kana", {"kind": "katakana"})]),
     "tokens_mapping": _counted(tokens=[("mapping", {"mapping": MAPPING})]),
     "tokens_remove_diacritical_mark": _counted(tokens=[("remove_diacritical_mark", {})]),
-    "tokens_base_form": _counted(tokens=[("japanese_base_form", {})]),
-    "tokens_reading_form": _counted(tokens=[("japanese_reading_form", {})]),
-    "tokens_korean_reading_form": _counted(tokens=[("korean_reading_form", {})]),
+    "tokens_base_form": _by_field("japanese_base_form", "ja"),
+    "tokens_reading_form": _by_field("japanese_reading_form", "ja"),
+    "tokens_korean_reading_form": _by_field("korean_reading_form", "ko"),
     "tokens_number": _counted(tokens=[("japanese_number", {})]),
     "tokens_compound_word": _counted(tokens=[("japanese_compound_word", {"tags": ["KATAKANA", "KANJI"], "new_tag": "COMPOUND"})]),
     "tokenize_counts_lexicon": _by_lexicon(None, [("lowercase", {}), ("stop_words", {"words": STOP})], ["lang"]),
@@ -281,6 +301,7 @@ QUERIES = {
     "nbest": nbest,
     "decomposed": decomposed,
     "trained_lexicon": trained_lexicon,
+    **paths.QUERIES,
 }
 
 
@@ -312,11 +333,19 @@ def _numbered(table: str, id: str) -> str:
     return f"a AS (SELECT {id}, regexp_extract_all(text, '{_RUNS}') AS l FROM {table} WHERE text IS NOT NULL), u AS (SELECT {id}, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM a), o AS (SELECT *, sum(strlen(s)) OVER (PARTITION BY {id} ORDER BY i) AS e, NOT regexp_full_match(s, '[{_class('SPACE')}]+') AS kept FROM u)"
 
 
+def _field_sql(field: str, group: str) -> str:
+    value = f"l.details[list_position(dictionary_schema, '{field}') - 4]"
+    return f"SELECT v.dict_name, CASE WHEN NOT is_unknown AND lex_type = 'System' AND {value} <> '*' THEN {value} ELSE v.surface END AS surface, count(*) AS n FROM token_views v JOIN dictionaries d ON d.dict_name = v.dict_name AND lang_group = '{group}' LEFT JOIN lexicon l USING (word_id) WHERE v.surface IS NOT NULL GROUP BY ALL"
+
+
 _MAPPED = "replace(replace(replace(replace(replace(replace({}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '軸受', 'ベアリング'), '軸', 'シャフト')"
 _HIRAGANA, _KATAKANA = "".join(map(chr, range(0x3041, 0x3097))), "".join(map(chr, range(0x30A1, 0x30F7)))
+_FIELDS = "part_of_speech part_of_speech_subcategory_1 part_of_speech_subcategory_2 part_of_speech_subcategory_3 conjugation_form conjugation_type base_form reading pronunciation".split()
+_JSON = "'{\"surface\":' || to_json(s) || ',\"byte_start\":' || (e - strlen(s)) || ',\"byte_end\":' || e || ',\"word_id\":' || (list_position([" + ", ".join(f"'{n}'" for n in _SCRIPTS) + f"], {_TAG}) - 1) || ',\"{_FIELDS[0]}\":\"' || {_TAG} || '\"' || '" + "".join(f',\"{n}\":\"*\"' for n in _FIELDS[1:]) + "}'"
 _SAME_UPPER = "replace(upper({}), 'ẞ', 'SS')"
 
 ORACLES = {
+    **paths.ORACLES,
     "tokenize_counts": f"WITH {_TOKENS} SELECT lang, lower(s) AS surface, count(*) AS n FROM k WHERE lower(s) NOT IN ({_WORDS}) GROUP BY ALL",
     "token_offsets": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, count(*) AS n, sum(e - strlen(s))::BIGINT AS starts, sum(e)::BIGINT AS ends, (count(*) - 1)::INT AS last, count(*) AS lengths FROM o WHERE kept GROUP BY doc_id",
     "token_rows": f"WITH {_numbered('eval_items', 'item_id')} SELECT item_id, (i - 1)::INT AS position, s AS surface, (e - strlen(s))::INT AS byte_start, e::INT AS byte_end, {_TAG} AS category, true AS is_unknown FROM o",
@@ -326,6 +355,7 @@ ORACLES = {
     "output_mecab": f"WITH {_numbered('eval_items', 'item_id')} SELECT item_id, coalesce(string_agg(s || chr(9) || {_TAG} || ',*,*,*,*,*,*,*,*' || chr(10), '' ORDER BY i) FILTER (kept), '') || 'EOS' || chr(10) AS lines FROM o GROUP BY item_id",
     "token_rows_documents": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, (i - 1)::INT AS position, s AS surface, (e - strlen(s))::INT AS byte_start, e::INT AS byte_end, {_TAG} AS category, true AS is_unknown FROM o",
     "output_mecab_documents": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, coalesce(string_agg(s || chr(9) || {_TAG} || ',*,*,*,*,*,*,*,*' || chr(10), '' ORDER BY i) FILTER (kept), '') || 'EOS' || chr(10) AS lines FROM o GROUP BY doc_id UNION ALL SELECT doc_id, 'EOS' || chr(10) FROM documents WHERE text = '' UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
+    "output_json": f"WITH {_numbered('documents', 'doc_id')}, j AS (SELECT doc_id, '[' || coalesce(string_agg({_JSON}, ',' ORDER BY i) FILTER (kept), '') || ']' AS json FROM o GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(json, '[]') END AS json FROM documents LEFT JOIN j USING (doc_id)",
     "sentences": "WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\n\\t。、]*[\\n\\t。、]|[^\\n\\t。、]+')) AS s FROM documents) SELECT doc_id, count(*) AS n, max(strlen(s)) AS longest, sum(strlen(s))::BIGINT AS bytes FROM s GROUP BY doc_id",
     "character_categories": f"WITH c AS (SELECT unnest(string_split(text, '')) AS s FROM documents), g AS (SELECT s, count(*) AS n FROM c WHERE s <> '' GROUP BY s) SELECT {_TAG} AS category, sum(n)::BIGINT AS n FROM g GROUP BY 1",
     "filter_unicode_nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
@@ -344,9 +374,9 @@ ORACLES = {
     "tokens_kana": _count_sql(f"translate(s, '{_HIRAGANA}', '{_KATAKANA}')"),
     "tokens_mapping": _count_sql(_MAPPED.format("s")),
     "tokens_remove_diacritical_mark": _count_sql("CASE WHEN tag = 'ALPHA' THEN list_aggregate(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 592 THEN strip_accents(c) ELSE c END), 'string_agg', '') ELSE s END"),
-    "tokens_base_form": _count_sql(),
-    "tokens_reading_form": _count_sql(),
-    "tokens_korean_reading_form": _count_sql(),
+    "tokens_base_form": _field_sql("base_form", "ja"),
+    "tokens_reading_form": _field_sql("reading", "ja"),
+    "tokens_korean_reading_form": _field_sql("reading", "ko"),
     "tokens_compound_word": f"WITH {_numbered('documents', 'doc_id')}, g AS (SELECT doc_id, i, s, {_TAG} IN ('KATAKANA', 'KANJI') AS m FROM o WHERE kept), h AS (SELECT *, CASE WHEN m THEN row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, m ORDER BY i) ELSE i END AS run FROM g), j AS (SELECT string_agg(s, '' ORDER BY i) AS surface FROM h GROUP BY doc_id, m, run) SELECT surface, count(*) AS n FROM j GROUP BY surface",
     "lexicon_prefixes": "WITH s AS (SELECT DISTINCT dict_name, surface FROM token_views WHERE surface IS NOT NULL) SELECT s.dict_name, s.surface, l.word_id, length(l.surface)::INT AS end_char, strlen(l.surface)::INT AS end_byte FROM s JOIN lexicon l ON s.dict_name = l.dict_name AND starts_with(s.surface, l.surface)",
     "lexicon_lookup": "WITH s AS (SELECT dict_name, surface, count(*) AS seen FROM token_views WHERE surface IS NOT NULL GROUP BY ALL) SELECT s.dict_name, s.surface, seen, word_id, left_context_id, right_context_id, cost::INT AS cost FROM s JOIN lexicon l USING (dict_name, surface)",

@@ -383,12 +383,12 @@ def scan_lexicon(spark: SparkSession, path: str, metadata: Metadata) -> DataFram
     Rows are sorted by surface (the normalized one if the metadata say so), then by file and line; word_id is their place. A row
     that doesn't load keeps its id and has its reason; see operators.badrows.
     """
-    lines = spark.read.option("encoding", metadata.encoding).text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("line") != "")
+    lines = spark.read.option("encoding", metadata.encoding).text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("line") != "")
     parsed = lines.withColumn("p", badrows.parse_column(F.col("line"), F.lit(len(metadata.dictionary_schema.fields)), F.lit(metadata.flexible_csv), F.lit(metadata.skip_invalid_cost_or_id)))
     normal = (lambda c: F.translate(c, "―～", "—〜")) if metadata.normalize_details else (lambda c: c)
     p = F.col("p")
-    rows = parsed.select("file", "at", normal(F.trim(p["fields"][0])).alias("surface"), p["left_id"].alias("left_id"), p["right_id"].alias("right_id"), p["cost"].alias("cost"), F.transform(F.slice(p["fields"], 5, F.greatest(F.size(p["fields"]) - 4, F.lit(0))), normal).alias("details"), p["reason"].alias("reason"))
-    return with_rank(rows, ["surface", "file", "at"], "word_id").drop("file", "at")
+    rows = parsed.select("file", "block", "at", normal(F.trim(p["fields"][0])).alias("surface"), p["left_id"].alias("left_id"), p["right_id"].alias("right_id"), p["cost"].alias("cost"), F.transform(F.slice(p["fields"], 5, F.greatest(F.size(p["fields"]) - 4, F.lit(0))), normal).alias("details"), p["reason"].alias("reason"))
+    return with_rank(rows, ["surface", "file", "block", "at"], "word_id").drop("file", "block", "at")
 
 
 def group_entries(words: DataFrame) -> DataFrame:

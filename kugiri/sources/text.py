@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kugiri.plans.rank import with_rank
+
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of text files, trimmed, one analysis each; empty lines stay."""
@@ -30,11 +32,13 @@ def annotated_sentences(text: str) -> list[list[tuple[str, str]]]:
 
 
 def annotated_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of corpus files as rows: file, sentence, tokens (surface, feature). A file is one corpus, read whole."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    @F.udf("array<array<struct<surface:string, feature:string>>>")
-    def parse(text):
-        return annotated_sentences(text)
-
-    return files.select("file", F.posexplode(parse("value")).alias("sentence", "tokens"))
+    """Sentences of corpus files as rows: file, sentence (a number that grows along the files) and tokens (surface, feature).
+
+    The lines of a file are read by many tasks; a sentence's lines meet by the number of sentence ends before them.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.expr(r"regexp_replace(value, '^\\s+|\\s+$', '')").alias("line"))
+    placed = with_rank(lines, ["file", "block", "at"], "g")
+    kept = with_rank(placed.where("line NOT IN ('', 'EOS')").select("file", "g", F.split("line", "\t").alias("parts")), ["g"], "h")
+    words = kept.where(F.size("parts") >= 2).select("file", (F.col("g") - F.col("h")).alias("sentence"), "g", F.struct(F.col("parts")[0].alias("surface"), F.col("parts")[1].alias("feature")).alias("word"))
+    rows = words.groupBy("file", "sentence").agg(F.sort_array(F.collect_list(F.struct("g", "word"))).alias("words"))
+    return rows.select("file", "sentence", F.transform("words", lambda w: w["word"]).alias("tokens"))

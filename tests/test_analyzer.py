@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import kugiri.__main__ as cli
 from kugiri.functions import formats, sql
-from kugiri.model import AnalysisError, ErrorKind
+from kugiri.model import STRUCTURAL, TOKEN_DDL, AnalysisError, ErrorKind, Schema
 from kugiri.operators import entries
 from kugiri.plans.analyzer import Segmenter, Tokenizer, TokenizerBuilder, parse_filter_flag, read_config
 from kugiri.plans.rank import with_rank
@@ -155,7 +155,7 @@ def test_sources(spark, tmp_path):
     text = "外国\t名詞\nbad\n人\t接尾\nEOS\n\nこれ\t代名詞"
     assert annotated_sentences(text) == [[("外国", "名詞"), ("人", "接尾")], [("これ", "代名詞")]]
     (tmp_path / "c.txt").write_text(text, "utf-8")
-    assert [[tuple(t) for t in r.tokens] for r in annotated_corpus(spark, str(tmp_path / "c.txt")).collect()] == annotated_sentences(text)
+    assert [[tuple(t) for t in r.tokens] for r in annotated_corpus(spark, str(tmp_path / "c.txt")).orderBy("sentence").collect()] == annotated_sentences(text)
 
 
 def test_lexicon_joins(spark):
@@ -179,3 +179,28 @@ def test_ranks_and_skewed_joins(spark):
     keyed = rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0").select("k", "n", F.lit("v").alias("v"))
     out = join_by_key(rows, keyed, ["k"], "n", 3000)
     assert out.count() == 1000 + sum(1 for i in range(1000, 3000) if i % 2 == 0) and out.where("k = 0").count() == 1000
+
+
+def test_json_numbers_are_those_of_the_rows(spark):
+    """The Column form against the row form, for numbers in all spellings, line breaks of all kinds and blanks."""
+    from kugiri.model import number_or_text
+
+    values = ["007", "+5", "-3", "1.5", "1e3", ".5", "5.", "1_000", " 1", "1d", "1f", "NaN", "inf", "1e999", "9" * 25, str(2**63 - 1), str(2**63), "", "*", "a\x85b", "a\u2028b", 'q"\\', "1\n", "0x10", "１"]
+    schema = Schema(STRUCTURAL + ("v",))
+    df = spark.createDataFrame([(i, [("s", 0, 1, 0, 1, 3, "System", False, [v])]) for i, v in enumerate(values)], f"i int, t array<struct<{TOKEN_DDL.replace(' ', ':').replace(',:', ', ')}>>")
+    got = {r.i: json.loads(r.j)[0]["v"] for r in df.select("i", formats.json_column(F.col("t"), schema).alias("j")).collect()}
+    assert got == {i: number_or_text(v) for i, v in enumerate(values)} and all(type(got[i]) is type(number_or_text(v)) for i, v in enumerate(values))
+
+
+def test_a_pattern_gives_the_same_text_in_both_forms(spark):
+    from kugiri.functions.charfilters import character_filter
+    from kugiri.operators.entries import SAME_PATTERN, filter_column
+
+    texts = ["a\rb", "a\u2028b x", "x\r\n", "x", "abc&[", "12.5 and 7", "aab", "😀a", "", None, "(x)y-z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for pattern in ("a.b", "x$", "^x", "[a-c&&[^b]]", "[0-9]+(?:\\.[0-9]+)?", "[a-c]{2}", "\\s", "a*", "[^a-z]", "y-z", "(?:x)\\)"):
+        args = {"pattern": pattern, "replacement": "#$1\\"}
+        made = character_filter("regex", args)
+        got = {r.i: r.o for r in df.select("i", filter_column("regex", args)(F.col("t")).alias("o")).collect()}
+        assert got == {i: None if t is None else made.apply(t)[0] for i, t in enumerate(texts)}, pattern
+    assert SAME_PATTERN.fullmatch("[0-9]+(?:\\.[0-9]+)?") and not any(map(SAME_PATTERN.fullmatch, ("a.b", "x$", "[a-c&&[^b]]", "\\s", "a+?")))
