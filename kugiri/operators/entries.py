@@ -81,7 +81,7 @@ def simple_user_words(users: DataFrame, dictionaries: DataFrame) -> DataFrame:
     return j.select(*users.columns, F.col("default_left_context_id").alias("left_id"), F.col("default_right_context_id").alias("right_id"), F.col("default_word_cost").alias("cost"), details.alias("details"))
 
 
-#: Patterns that mean the same in Java and in Python: literals, escaped punctuation, plain classes and groups, and greedy quantifiers.
+#: Patterns that, unless they match nothing at all, mean the same in Java and in Python: literals, escaped punctuation, plain classes and groups, and greedy quantifiers.
 SAME_PATTERN = re.compile(r"(?:(?:[^\\.^$*+?{}\[\]()|&~#]|\\[\\.^$*+?{}()|\[\]-]|\[\^?(?:[^\[\]\\^&~|-](?:-[^\[\]\\^&~|-])?)+\]|\(\?:|\))(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})?)*")
 
 
@@ -90,7 +90,7 @@ def filter_column(kind: str, args: dict) -> Callable[[Column], Column]:
     made = character_filter(kind, args)
     if made.is_identity():
         return lambda c: c
-    if kind == "regex" and SAME_PATTERN.fullmatch(args["pattern"]):
+    if kind == "regex" and SAME_PATTERN.fullmatch(args["pattern"]) and not made.pattern.fullmatch(""):
         literal = re.sub(r"([\\$])", r"\\\1", args["replacement"])
         return lambda c: F.regexp_replace(c, args["pattern"], literal)
     if kind == "mapping" and all(len(k) == 1 == len(v) for k, v in made.mapping.items()):
