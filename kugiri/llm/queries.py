@@ -76,7 +76,8 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     words = [r.word for r in read(spark, d, "common_words").select("word").where("word IS NOT NULL").distinct().limit(MOST_COMMON + 1).collect()]
     if len(words) > MOST_COMMON:
         raise ValueError(f"more than {MOST_COMMON} common words")
-    return quality.measure(read(spark, d, "documents").select("doc_id", "text"), words)
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return quality.measure(docs, words, parameters=quality.fit(docs, words))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

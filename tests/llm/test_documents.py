@@ -206,3 +206,50 @@ def test_viterbi_equals_brute_force():
         e = emission[start : start + n]
         score = lambda p: model.start[p[0]] + sum(model.transition[a, b] for a, b in zip(p, p[1:])) + sum(e[i, k] for i, k in enumerate(p))
         assert tuple(got[start : start + n]) == max(product(range(5), repeat=n), key=score)
+
+
+HELD_OUT = {
+    "prose": ["The pump is driven by a motor that is\nmounted on the frame. When the motor is\nstarted the rotor turns and the liquid is\ndrawn in through the inlet.", "I wandered lonely in the wood\nwhere all the paths were old and good\nand in the evening came the rain\nto sing of the quiet sea again"],
+    "table": ["city,mayor,since\nOslo,Berg,2011\nRiga,Ozols,2014\nBrno,Novak,2009\nGent,Maes,2017", "load | 12 | 4.5\nspan | 80 | 2.2\ndepth | 31 | 9.1\nwidth | 15 | 7.7"],
+    "list": ["\n".join("anchor beacon copper dagger ember falcon garnet hollow ivory jasper kernel".split()), "- two brackets\n- one hinge\n- six screws\n- a wooden board"],
+    "junk": ["def add(items, x):\n    result = []\n    for i in items:\n        result.append(i.value + x)\n    return result\n\nprint(add(load('a.json'), 3))", "\n".join(["QmFzZTY0IGVuY29kZWQgZGF0YSB3aXRob3V0IGFueSBibGFua3M9PUJhc2U2NA"] * 5)],
+}
+
+
+def test_labels_of_held_out_texts():
+    model = quality.Model(COMMON)
+    for label, texts in HELD_OUT.items():
+        for text in texts:
+            got = model.measure([text])
+            chars = {name: int(got[f"{name}_chars"][0]) for name in quality.LABELS}
+            assert chars[label] >= 0.75 * sum(chars.values()), (label, text, chars)
+
+
+def test_expected_labels_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    p = quality.Parameters.given()
+    chains = [rng.integers(0, 2, (n, len(quality.EMISSION))).astype(float) for n in (3, 1, 2)]
+    labels, moves, first = quality.Fit.expected(p, np.concatenate(chains), np.array([3, 1, 2]))
+    expected, steps, starts, at = np.zeros_like(labels), np.zeros_like(moves), np.zeros_like(first), 0
+    for c in chains:
+        like = np.exp(p.scores(c))
+        ways = {w: p.start[w[0]] * np.prod([like[i, k] for i, k in enumerate(w)]) * np.prod([p.transition[a, b] for a, b in zip(w, w[1:])]) for w in itertools.product(range(5), repeat=len(c))}
+        total = sum(ways.values())
+        for w, v in ways.items():
+            starts[w[0]] += v / total
+            for i, k in enumerate(w):
+                expected[at + i, k] += v / total
+            for a, b in zip(w, w[1:]):
+                steps[a, b] += v / total
+        at += len(c)
+    assert np.allclose(labels, expected) and np.allclose(moves, steps) and np.allclose(first, starts)
+
+
+def test_the_fit_sees_a_bounded_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, SENTENCES[i % 4] + "\nnext line of the text") for i in range(400)] + [(900, None), (901, "")], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(quality, "SAMPLE_DOCUMENTS", 50)
+    a, b = quality.fit(docs, COMMON), quality.fit(docs.repartition(2), COMMON)
+    assert np.allclose(a.emission, b.emission) and np.allclose(a.transition.sum(1), 1) and not np.allclose(a.emission, quality.Parameters.given().emission)
+    assert quality.fit(docs.limit(0), COMMON).emission.shape == a.emission.shape
