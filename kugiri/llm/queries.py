@@ -22,9 +22,8 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and records of every distinct surface, and its mark."""
-    rows = _records(spark, d)
-    total = rows.select("tbl", "record").distinct().count()
-    return termcount.mark_values(termcount.count_values(rows, "surface", ["tbl", "record"]), total)
+    counts, total = termcount.census(_records(spark, d), "surface", ["tbl", "record"])
+    return termcount.mark_values(counts, total)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

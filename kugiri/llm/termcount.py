@@ -1,9 +1,10 @@
 """Frequency of every distinct value by heavy-light aggregation.
 
-Heavy values are detected in one pass by the mergeable frequent-items sketch. They are joined by broadcast to a bit each;
-every record's heavy bits are united into one mask, and the masks are summed into one exact counter array per task. So a
-heavy value never travels as rows. Only the light values are shuffled, first as distinct (value, record) pairs, then as
-partial counts. The two count tables are united.
+Three passes over two columns. Heavy values are detected by the mergeable frequent-items sketch and joined by broadcast to a
+bit each. In the second pass every record's heavy bits are united into one mask, and the masks are summed into one exact
+counter array per task; the masks also count the records. In the third pass a heavy value's rows fall into one count per task,
+and only the light values are shuffled, as distinct (value, record) pairs and then as partial counts. The heavy values' records
+are put to the counts at the end.
 """
 
 import numpy as np
@@ -27,46 +28,50 @@ def heavy_values(rows: DataFrame, value: str, most: int = HEAVY) -> list[str]:
 
 def _sum_bits(n: int, words: int):
     def sums(batches):
-        total = np.zeros(words * WORD, np.int64)
+        total, masks_seen = np.zeros(words * WORD, np.int64), 0
         for b in batches:
+            masks_seen += b.num_rows
             for w in range(words):
                 masks = b.column(w).to_numpy(zero_copy_only=False).astype("<i8")
                 bits = np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 total[w * WORD : (w + 1) * WORD] += bits[:, :WORD].sum(0, dtype=np.int64)
         at = np.flatnonzero(total[:n])
-        yield pa.RecordBatch.from_pydict({"bit": pa.array(at, pa.int32()), "records": pa.array(total[at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"bit": pa.array([-1, *at], pa.int32()), "records": pa.array([masks_seen, *total[at]], pa.int64())})
 
     return sums
 
 
+def census(rows: DataFrame, value: str, record: list[str]) -> tuple[DataFrame, int]:
+    """count_values() and the number of all records, those without any value among them."""
+    spark = rows.sparkSession
+    rows = rows.select(F.col(value).alias("v"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(record)])
+    keys = [f"r{i}" for i in range(len(record))]
+    heavy = heavy_values(rows, "v")
+    bits = spark.createDataFrame([(v, i) for i, v in enumerate(heavy)], "v string, bit int").coalesce(1)
+    words = max(1, -(-len(heavy) // WORD))
+    # NULL joins no bit, so a record without heavy values has an empty mask
+    marked = rows.join(F.broadcast(bits), "v", "left")
+    masks = marked.groupBy(*keys).agg(*[F.expr(f"bit_or(if(bit div {WORD} = {w}, shiftleft(1L, int(bit % {WORD})), 0L))").alias(f"m{w}") for w in range(words)])
+    sums = masks.select(*[F.coalesce(f"m{w}", F.lit(0)).alias(f"m{w}") for w in range(words)]).mapInArrow(_sum_bits(len(heavy), words), "bit int, records long").groupBy("bit").agg(F.sum("records").alias("records"))
+    # at most one row per heavy value
+    found = {r.bit: r.records for r in sums.collect()}
+    total = found.pop(-1, 0)
+    # a heavy value's record doesn't matter here, so that its rows become one in each task
+    light = [F.when(F.col("bit").isNull(), F.col(k)).alias(k) for k in keys]
+    pairs = marked.where("v IS NOT NULL").groupBy("v", "bit", *light).agg(F.count("*").alias("n"))
+    counts = pairs.groupBy("v", "bit").agg(F.sum("n").alias("occurrences"), F.count("*").alias("pairs"))
+    records = spark.createDataFrame(list(found.items()), "bit int, records long").coalesce(1)
+    out = counts.join(F.broadcast(records), "bit", "left").select(F.col("v").alias(value), "occurrences", F.coalesce("records", "pairs").alias("records"))
+    return out, total
+
+
 def count_values(rows: DataFrame, value: str, record: list[str]) -> DataFrame:
     """One row per distinct non-NULL value: value, occurrences, records (distinct combinations of the record columns).
 
     rows may hold any further columns. NULL values are no values; a NULL record column is a record of its own like any
     other value. Values are compared exactly as stored. An empty table gives no row.
     """
-    spark = rows.sparkSession
-    rows = rows.select(F.col(value).alias("v"), *[F.col(c).alias(f"r{i}") for i, c in enumerate(record)]).where("v IS NOT NULL")
-    keys = [f"r{i}" for i in range(len(record))]
-    heavy = heavy_values(rows, "v")
-    if not heavy:
-        return _light(rows, keys).withColumnRenamed("v", value)
-    bits = spark.createDataFrame([(v, i) for i, v in enumerate(heavy)], "v string, bit int").coalesce(1)
-    words = -(-len(heavy) // WORD)
-    marked = rows.join(F.broadcast(bits), "v", "left")
-    # heavy: a mask per record, occurrences beside it
-    hot = marked.where("bit IS NOT NULL")
-    masks = hot.groupBy(*keys).agg(*[F.expr(f"bit_or(if(bit div {WORD} = {w}, shiftleft(1L, int(bit % {WORD})), 0L))").alias(f"m{w}") for w in range(words)])
-    records = masks.select(*[f"m{w}" for w in range(words)]).mapInArrow(_sum_bits(len(heavy), words), "bit int, records long").groupBy("bit").agg(F.sum("records").alias("records"))
-    times = hot.groupBy("bit").agg(F.count("*").alias("occurrences"))
-    heavy_counts = times.join(F.broadcast(records), "bit").join(F.broadcast(bits), "bit").select("v", "occurrences", "records")
-    light = _light(rows.join(F.broadcast(bits), "v", "left_anti"), keys)
-    return heavy_counts.unionByName(light).withColumnRenamed("v", value)
-
-
-def _light(rows: DataFrame, keys: list[str]) -> DataFrame:
-    pairs = rows.groupBy("v", *keys).agg(F.count("*").alias("n"))
-    return pairs.groupBy("v").agg(F.sum("n").alias("occurrences"), F.count("*").alias("records"))
+    return census(rows, value, record)[0]
 
 
 def mark_values(counts: DataFrame, total_records: int, rare_records: int = 2, common_share: float = 0.1) -> DataFrame:

@@ -21,6 +21,7 @@ def test_counts_equal_brute_force(spark):
     assert "hot" in termcount.heavy_values(df, "surface")
     got = {r.surface: (r.occurrences, r.records) for r in termcount.count_values(df, "surface", ["tbl", "record"]).collect()}
     assert got == brute(rows)
+    assert termcount.census(df, "surface", ["tbl", "record"])[1] == len({tuple(r) for _, *r in rows}) and termcount.census(df.limit(0), "surface", ["record"])[1] == 0
     few = df.where("surface <> 'hot'").limit(50)
     assert termcount.count_values(few, "surface", ["tbl", "record"]).agg(F.sum("occurrences")).first()[0] == few.where("surface IS NOT NULL").count()
     assert termcount.count_values(df.limit(0), "surface", ["record"]).count() == 0
