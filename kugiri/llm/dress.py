@@ -23,15 +23,18 @@ def bare(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.upper(text), r"[^\p{L}\p{Nd}]+", ""))
 
 
-def pairs(named: dict[str, Column], free: Column, names: list[str] | None = None) -> Column:
+def pairs(named: dict[str, Column], free: Column, texts: dict[str, Column] | None = None) -> Column:
     """The array of a record's (name, value) pairs.
 
-    named: values that belong to their field, of which NULL equals NULL; free: array of text values that may stand in any
-    order, of which NULL and those without letters and digits are dropped.
+    named: numbers and other exact values that belong to their field, of which NULL equals NULL; texts: text values that belong
+    to theirs; free: array of text values that may stand in any field. Texts are compared by letters and digits, and those
+    without any are dropped, as NULL is.
     """
     fixed = [F.coalesce(F.concat(F.lit(n + "\x01"), c.cast("string")), F.lit(n + "\x02")) for n, c in named.items()]
+    own = [F.concat(F.lit(n + "\x04"), bare(c)) for n, c in (texts or {}).items()]
+    own = F.filter(F.array(*own).cast("array<string>"), lambda v: v.isNotNull() & ~v.endswith("\x04"))
     text = F.filter(F.transform(free, lambda v: F.coalesce(bare(v), F.lit(""))), lambda v: v != "")
-    return F.concat(F.array(*fixed).cast("array<string>"), F.transform(text, lambda v: F.concat(F.lit("text\x01"), v)))
+    return F.concat(F.array(*fixed).cast("array<string>"), own, F.transform(text, lambda v: F.concat(F.lit("text\x01"), v)))
 
 
 def multiset_hash(values: Column, seed: int) -> Column:
@@ -50,29 +53,31 @@ def same_multiset(a: Column, b: Column) -> Column:
 MOST_REPEATED = 1_000_000
 
 
-def _grouped(records: DataFrame, scope: str, id: str, values: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Fingerprint groups; the copies that equal their group's first; the content groups of those that don't; their records.
+def _grouped(records: DataFrame, scope: str, id: str, values: str) -> tuple[DataFrame, DataFrame]:
+    """All records by fingerprint, and those that repeat one: with the group's first id, and their sorted content where it
+    differs from the first's (else NULL).
 
-    Content is only moved for the copies and firsts of repeated groups, which are found by fingerprints alone. The scope counts
-    as one more pair.
+    Content is only moved for the copies and firsts of repeated groups, which are found by fingerprints alone, and compared
+    once. The scope counts as one more pair.
     """
     inside = F.coalesce(F.concat(F.lit("scope\x03"), F.col(scope)), F.lit("scope\x04"))
     slim = records.select(F.col(scope).alias("s"), F.col(id).alias("__id"), F.concat(F.col(values), F.array(inside)).alias("__v"))
     slim = stable(slim.select(multiset_hash(F.col("__v"), 11).alias("__a"), multiset_hash(F.col("__v"), 23).alias("__b"), "s", "__id", "__v"))
     total, key = slim.count(), ["__a", "__b"]
-    groups = slim.groupBy(*key).agg(F.min("__id").alias("first_id"), F.count("*").alias("n"))
-    repeated = stable(groups.where("n > 1"))
+    repeated = stable(slim.groupBy(*key).agg(F.min("__id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     if repeated.count() <= MOST_REPEATED:
         members = slim.join(F.broadcast(repeated), key)
     else:
         members = join_by_key(slim, repeated.withColumn("__n", F.col("n")), key, "__n", total)
-    firsts = members.where("__id = first_id").select(*key, F.col("__v").alias("__first"), "n").dropDuplicates(key)
+    firsts = members.where("__id = first_id").select(*key, F.col("__v").alias("__first"), "n")
     met = join_by_key(members.where("__id <> first_id").drop("n"), firsts, key, "n", total)
-    equal = same_multiset(F.col("__v"), F.col("__first"))
-    # equal fingerprints of different content: practically none, but resolved by the content itself
-    strange = met.where(~equal).select(*key, "s", "__id", F.array_sort("__v").alias("__v"))
-    others = strange.groupBy(*key, "__v").agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.count("*").alias("n"))
-    return slim.groupBy(*key).agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.count("*").alias("n")), met.where(equal), others, strange
+    differs = ~same_multiset(F.col("__v"), F.col("__first"))
+    return slim, stable(met.select(*key, "s", "__id", "first_id", F.when(differs, F.array_sort("__v")).alias("__other")))
+
+
+def _others(met: DataFrame) -> DataFrame:
+    """Groups of records whose fingerprint is that of other content (practically none), by the content itself, which holds the scope."""
+    return met.where("__other IS NOT NULL").groupBy("__a", "__b", "__other", "s").agg(F.min("__id").alias("first_id"), F.count("*").alias("n"))
 
 
 def copies(records: DataFrame, scope: str, id: str, values: str) -> DataFrame:
@@ -82,14 +87,17 @@ def copies(records: DataFrame, scope: str, id: str, values: str) -> DataFrame:
     The first of a group is the one with the smallest id. Records without any pair equal each other. A group may hold any
     share of all rows. An empty table gives no row.
     """
-    _, equal, others, strange = _grouped(records, scope, id, values)
-    out = equal.select("s", "first_id", "__id").unionByName(strange.drop("s").join(others, ["__a", "__b", "__v"]).select("s", "first_id", "__id"))
+    _, met = _grouped(records, scope, id, values)
+    resolved = met.where("__other IS NOT NULL").drop("first_id").join(_others(met).drop("s"), ["__a", "__b", "__other"])
+    out = met.where("__other IS NULL").select("s", "first_id", "__id").unionByName(resolved.select("s", "first_id", "__id"))
     return out.where("__id <> first_id").select(F.col("s").alias(scope), "first_id", F.col("__id").alias("copy_id"))
 
 
 def collapse(records: DataFrame, scope: str, id: str, values: str) -> DataFrame:
     """One row per distinct record: scope, first_id and copies, the number of records that are equal (1: no copy)."""
-    groups, _, others, _ = _grouped(records, scope, id, values)
+    slim, met = _grouped(records, scope, id, values)
+    others = _others(met)
     strangers = others.groupBy("__a", "__b").agg(F.sum("n").alias("__off"))
+    groups = slim.groupBy("__a", "__b").agg(F.first("s").alias("s"), F.min("__id").alias("first_id"), F.count("*").alias("n"))
     kept = groups.join(strangers, ["__a", "__b"], "left").select("s", "first_id", (F.col("n") - F.coalesce("__off", F.lit(0))).alias("copies"))
     return kept.unionByName(others.select("s", "first_id", F.col("n").alias("copies"))).withColumnRenamed("s", scope)

@@ -79,3 +79,5 @@ def test_dress(spark):
     assert got[1] == got[2] and len(got[1]) == 2 and got[3] == []
     named = {r.id: r.p for r in df.select("id", dress.pairs({"n": F.lit(5), "m": F.lit(None).cast("int")}, F.array("b")).alias("p")).collect()}
     assert named[3][0] == "n\x015"
+    texts = {r.id: r.p for r in df.select("id", dress.pairs({}, F.array("b"), {"t": F.col("a"), "u": F.lit("--")}).alias("p")).collect()}
+    assert texts[1] == ["t\x04strasse7"] and texts[3] == []
