@@ -13,14 +13,13 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kugiri.operators.lexicon import outside
 from kugiri.plans.names import columns, free
-from kugiri.plans.skew import bounded
+from kugiri.plans.skew import join_table
 
 INVISIBLE = regex.compile(r"[\s\p{Zs}\p{Zl}\p{Zp}\p{Cc}\p{Cf}\p{Default_Ignorable_Code_Point}⠀]+")
 #: Strokes drawn like the prolonged sound mark or a dash, beside all of category Pd.
@@ -42,20 +41,42 @@ def confusables(spark: SparkSession) -> dict[str, str]:
     return table | {c: "ー" for c in dashes}
 
 
+@lru_cache(1)
+def _script_tests() -> list[tuple[str, "regex.Pattern"]]:
+    """A pattern for each script, by its Script_Extensions; the names are those that the names of letters begin with."""
+    heads = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] == "L":
+            words = unicodedata.name(c, "").split(" ")
+            heads |= dict.fromkeys((words[0], "_".join(words[:2])))
+    out = {}
+    for name in ["Han", *heads]:
+        try:
+            out[name.upper()] = regex.compile(rf"\p{{Script_Extensions={name}}}")
+        except regex.error:
+            continue
+    return list(out.items())
+
+
+#: Scripts of the characters that were shipped from the driver.
+_KNOWN: dict[str, frozenset[str] | None] = {}
+
+
 @lru_cache(65536)
-def scripts(c: str) -> frozenset[str] | None:
-    """The scripts a character is written in; None when it goes with any (digits, marks, punctuation)."""
+def _scripts(c: str) -> frozenset[str] | None:
     if unicodedata.category(c)[0] != "L":
         return None
-    name = unicodedata.name(c, "").replace("HALFWIDTH ", "").replace("FULLWIDTH ", "")
-    first = {"IDEOGRAPHIC": "CJK", "KANGXI": "CJK", "KATAKANA-HIRAGANA": "KATAKANA"}.get(name.split(" ")[0], name.split(" ")[0])
+    out = {"CJK" if name == "HAN" else name for name, test in _script_tests() if test.match(c)}
     if c == "ー":
-        return frozenset({"KATAKANA", "HIRAGANA", "CJK"})
-    out = {first}
-    for group in WRITTEN_TOGETHER:
-        if first in group:
-            out |= {"+".join(sorted(group))}
-    return frozenset(out)
+        out.add("CJK")
+    if not out:
+        return None
+    return frozenset(out | {"+".join(sorted(g)) for g in WRITTEN_TOGETHER if g & out})
+
+
+def scripts(c: str) -> frozenset[str] | None:
+    """The scripts a character is written in (Script_Extensions); None when it goes with any (digits, marks, punctuation)."""
+    return _KNOWN[c] if c in _KNOWN else _scripts(c)
 
 
 def resolved(token: str) -> frozenset[str] | None:
@@ -123,9 +144,12 @@ FORM = pa.struct([("form", pa.string()), ("kind", pa.string()), ("skeleton", pa.
 def form_column(text: Column, group: Column, table: dict[str, str]) -> Column:
     """A struct (form, kind, skeleton) for each text; group is a key of SCRIPTS, any other means Latin. NULL for NULL."""
     state: dict = {}
+    # looked up once, on the driver
+    known = {c: scripts(c) for c in {*table, *(p for p in table.values() if len(p) == 1)}}
 
     def form(texts: pa.Array, groups: pa.Array) -> pa.Array:
         if not state:
+            _KNOWN.update(known)
             state["by"], state["seen"] = Normalizer(table), {}
         by, seen, out = state["by"], state["seen"], []
         if len(seen) > 200_000:
@@ -147,15 +171,15 @@ def match_lexicon(rows: DataFrame, lexicon: DataFrame, dictionaries: DataFrame)
     """The rows (dict_name, surface and any others) that look like a word of their dictionary but are written otherwise.
 
     Adds word_id, the word's lexicon_surface and kind. Only dictionaries whose normalize_details is true take part (NULL is
-    false). Rows with a NULL surface or of no such dictionary are left out; letter case matters. Rows are never shuffled while
-    the lexicon stays under the checked bound of its broadcast. Where rows has columns named like the added ones, an underscore
+    false). Rows with a NULL surface or of no such dictionary are left out; letter case matters. Rows are not shuffled while
+    the lexicon is small enough to be broadcast; beyond, those of hot keys aren't (plans.skew). Where rows has columns named like the added ones, an underscore
     is put behind the new names. A surface of nothing visible looks like no word; an empty table gives no row.
     """
     table = confusables(rows.sparkSession)
-    flags = bounded(dictionaries.where("normalize_details").select("dict_name", F.col("lang_group").alias("__group")).dropDuplicates(["dict_name"]))
-    words = lexicon.join(flags, "dict_name").select("dict_name", form_column(F.col("surface"), F.col("__group"), table)["skeleton"].alias("__skeleton"), "word_id", F.col("surface").alias("lexicon_surface"))
+    flags = dictionaries.where("normalize_details").select("dict_name", F.col("lang_group").alias("__group")).dropDuplicates(["dict_name"])
+    words = join_table(lexicon, flags, ["dict_name"]).select("dict_name", form_column(F.col("surface"), F.col("__group"), table)["skeleton"].alias("__skeleton"), "word_id", F.col("surface").alias("lexicon_surface"))
     words = words.where("__skeleton <> ''").groupBy("dict_name", "__skeleton").agg(F.min_by(F.struct("word_id", "lexicon_surface"), "word_id").alias("__w"))
-    off = outside(rows, lexicon).join(flags, "dict_name")
+    off = outside(join_table(rows, flags, ["dict_name"]), lexicon)
     formed = off.withColumn("__f", form_column(F.col("surface"), F.col("__group"), table)).withColumn("__skeleton", F.col("__f.skeleton"))
-    out = formed.join(bounded(words), ["dict_name", "__skeleton"])
+    out = join_table(formed, words, ["dict_name", "__skeleton"])
     return out.select(*columns(rows), F.col("__w.word_id").alias(free(rows, "word_id")), F.col("__w.lexicon_surface").alias(free(rows, "lexicon_surface")), F.col("__f.kind").alias(free(rows, "kind")))
