@@ -4,21 +4,22 @@ Only the histogram of piece lengths (at most `capacity` rows) comes to the drive
 a container, and a bitset subset-sum over the remaining lengths with their counts picks the multiset that fills the rest
 closest to capacity; its members are found back through the stored bitsets. The pick is repeated as long as the counts last,
 so a plan has few runs however many texts there are. The pieces take their places in the plan by their rank within
-their length, which is counted in hashed buckets, so that a length may hold any share of all pieces.
+their length, from a range-partitioned sort by length and id, so that a length may hold any share of all pieces.
 """
 
 import base64
 import os
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kugiri.plans.rank import with_rank
 from kugiri.plans.shared import stable
 
-#: Rows of one bucket in which ranks are counted.
-BUCKET_ROWS = 50_000
 #: Fixed value: the pattern that splits text before the merges of the vocabulary file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Default vocabulary; the file must be at the same place on all executors.
@@ -101,19 +102,28 @@ def pack(sizes: DataFrame, capacity: int = 2048, id: str = "doc_id", size: str =
     sizes = sizes.select(F.col(id), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))
     pieces = stable(sizes.select(id, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))).alias("piece")).select(id, "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("length")))
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
-    total = sum(histogram.values())
-    histogram.pop(0, None)
+    zeros = histogram.pop(0, 0)
     table: dict[int, list] = {}
     taken: dict[int, int] = {}
     for first, times, picked in plan(histogram, capacity):
         for n, k in picked.items():
             table.setdefault(n, []).append((taken.get(n, 0), first, k))
             taken[n] = taken.get(n, 0) + k * times
-    rows = [(n, *map(list, zip(*runs))) for n, runs in table.items()] or [(-1, [0], [0], [1])]
-    places = spark.createDataFrame(rows, "length int, since array<long>, first array<long>, per array<long>")
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64(id, "piece"), F.lit(max(1, total // BUCKET_ROWS))))
-    before = keyed.groupBy("length", "bucket").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("length").orderBy("bucket")) - F.col("c")).drop("c")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id, "piece")) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(places), "length", "left").withColumn("run", F.expr("size(filter(since, s -> s <= rank))"))
-    container = F.coalesce(F.expr("element_at(first, run) + (rank - element_at(since, run)) div element_at(per, run)"), F.lit(0).cast("long"))
-    return placed.select(id, "piece", "first_token", F.col("length").alias("n_tokens"), container.alias("container"))
+    shipped = spark.sparkContext.broadcast({n: tuple(np.array(x, np.int64) for x in zip(*runs)) for n, runs in table.items()})
+    # a length's pieces follow each other in the order, so their ranks are places less those of shorter pieces
+    lengths = sorted(table)
+    before = dict(zip(lengths, accumulate([zeros, *(taken[n] for n in lengths)])))
+
+    def placed(lengths: pa.Array, places: pa.Array) -> pa.Array:
+        n, at = lengths.to_numpy(zero_copy_only=False), places.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(n), np.int64)
+        for length in np.unique(n[n > 0]).tolist():
+            since, first, per = shipped.value[length]
+            own = n == length
+            rank = at[own] - before[length]
+            run = np.searchsorted(since, rank, side="right") - 1
+            out[own] = first[run] + (rank - since[run]) // per[run]
+        return pa.array(out)
+
+    ranked = with_rank(pieces, ["length", id, "piece"], "__place")
+    return ranked.select(id, "piece", "first_token", F.col("length").alias("n_tokens"), F.arrow_udf(placed, "bigint")("length", "__place").alias("container"))

@@ -49,8 +49,7 @@ def first_fit(sizes, capacity):
     return len(room)
 
 
-def test_packing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_ROWS", 200)
+def test_packing(spark):
     rng = random.Random(4)
     # a third of the texts has one length
     sizes = [(i, 17 if i % 3 == 0 else rng.choice([0, 1, 5, 40, 63, 64, 65, 128, 130, 1000])) for i in range(2000)] + [(5000, None), (1, 30)]
