@@ -71,8 +71,3 @@ def join_table(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inn
         return out
     rest = rows.where(~has_key)
     return out.unionByName(rest, allowMissingColumns=True) if how == "left" else out.unionByName(rest)
-
-
-def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df marked for broadcast when it has at most `most` rows, counted here; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
