@@ -110,10 +110,13 @@ def mecab_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", formats.mecab_column(F.col("tokens")).alias("lines"))
 
 
-def json_output(spark: SparkSession, d: str) -> DataFrame:
-    chain = tokenizer()
-    rows = chain.token_lists(documents(spark, d).select("doc_id", "text"), "text")
-    return rows.select("doc_id", formats.json_column(F.col("tokens"), chain.segmenter.dictionary.schema).alias("json"))
+def _json_output(dictionary: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        chain = tokenizer(dictionary)
+        rows = chain.token_lists(documents(spark, d).select("doc_id", "text"), "text")
+        return rows.select("doc_id", formats.json_column(F.col("tokens"), chain.segmenter.dictionary.schema).alias("json"))
+
+    return query
 
 
 def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -256,7 +259,8 @@ QUERIES = {
     "output_wakati": wakati,
     "output_mecab": mecab,
     "output_mecab_documents": mecab_documents,
-    "output_json": json_output,
+    "output_json": _json_output("function-words"),
+    "output_json_runs": _json_output("scripts"),
     "sentences": sentence_rows,
     "character_categories": character_categories,
     "filter_unicode_nfc": _text_filter("unicode_normalize", {"kind": "nfc"}),
@@ -355,7 +359,7 @@ ORACLES = {
     "output_mecab": f"WITH {_numbered('eval_items', 'item_id')} SELECT item_id, coalesce(string_agg(s || chr(9) || {_TAG} || ',*,*,*,*,*,*,*,*' || chr(10), '' ORDER BY i) FILTER (kept), '') || 'EOS' || chr(10) AS lines FROM o GROUP BY item_id",
     "token_rows_documents": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, (i - 1)::INT AS position, s AS surface, (e - strlen(s))::INT AS byte_start, e::INT AS byte_end, {_TAG} AS category, true AS is_unknown FROM o",
     "output_mecab_documents": f"WITH {_numbered('documents', 'doc_id')} SELECT doc_id, coalesce(string_agg(s || chr(9) || {_TAG} || ',*,*,*,*,*,*,*,*' || chr(10), '' ORDER BY i) FILTER (kept), '') || 'EOS' || chr(10) AS lines FROM o GROUP BY doc_id UNION ALL SELECT doc_id, 'EOS' || chr(10) FROM documents WHERE text = '' UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL",
-    "output_json": f"WITH {_numbered('documents', 'doc_id')}, j AS (SELECT doc_id, '[' || coalesce(string_agg({_JSON}, ',' ORDER BY i) FILTER (kept), '') || ']' AS json FROM o GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(json, '[]') END AS json FROM documents LEFT JOIN j USING (doc_id)",
+    "output_json_runs": f"WITH {_numbered('documents', 'doc_id')}, j AS (SELECT doc_id, '[' || coalesce(string_agg({_JSON}, ',' ORDER BY i) FILTER (kept), '') || ']' AS json FROM o GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(json, '[]') END AS json FROM documents LEFT JOIN j USING (doc_id)",
     "sentences": "WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\n\\t。、]*[\\n\\t。、]|[^\\n\\t。、]+')) AS s FROM documents) SELECT doc_id, count(*) AS n, max(strlen(s)) AS longest, sum(strlen(s))::BIGINT AS bytes FROM s GROUP BY doc_id",
     "character_categories": f"WITH c AS (SELECT unnest(string_split(text, '')) AS s FROM documents), g AS (SELECT s, count(*) AS n FROM c WHERE s <> '' GROUP BY s) SELECT {_TAG} AS category, sum(n)::BIGINT AS n FROM g GROUP BY 1",
     "filter_unicode_nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
