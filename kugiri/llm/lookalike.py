@@ -41,21 +41,35 @@ def confusables(spark: SparkSession) -> dict[str, str]:
     return table | {c: "ー" for c in dashes}
 
 
+def _script_test(name: str) -> "regex.Pattern | None":
+    try:
+        return regex.compile(rf"\p{{Script_Extensions={name}}}")
+    except regex.error:
+        return None
+
+
 @lru_cache(1)
-def _script_tests() -> list[tuple[str, "regex.Pattern"]]:
-    """A pattern for each script, by its Script_Extensions; the names are those that the names of letters begin with."""
-    heads = {}
+def script_names() -> tuple[str, ...]:
+    """All scripts, by the one or two words that the names of their letters begin with."""
+    heads: dict[str, set[str]] = {}
     for c in map(chr, range(0x80, sys.maxunicode + 1)):
         if unicodedata.category(c)[0] == "L":
-            words = unicodedata.name(c, "").split(" ")
-            heads |= dict.fromkeys((words[0], "_".join(words[:2])))
-    out = {}
-    for name in ["Han", *heads]:
-        try:
-            out[name.upper()] = regex.compile(rf"\p{{Script_Extensions={name}}}")
-        except regex.error:
-            continue
-    return list(out.items())
+            first, _, rest = unicodedata.name(c, "").partition(" ")
+            heads.setdefault(first, set()).add(rest.partition(" ")[0])
+    out = ["Han"]
+    for first, seconds in heads.items():
+        out += [first] if _script_test(first) else [n for s in sorted(seconds) if s.isalpha() and _script_test(n := f"{first}_{s}")]
+    return tuple(out)
+
+
+#: Names of the scripts, where they were shipped from the driver.
+_NAMES: list[str] = []
+
+
+@lru_cache(1)
+def _script_tests() -> list[tuple[str, "regex.Pattern"]]:
+    """A pattern for each script, by its Script_Extensions."""
+    return [(n.upper(), _script_test(n)) for n in _NAMES or script_names()]
 
 
 #: Scripts of the characters that were shipped from the driver.
@@ -145,11 +159,13 @@ def form_column(text: Column, group: Column, table: dict[str, str]) -> Column:
     """A struct (form, kind, skeleton) for each text; group is a key of SCRIPTS, any other means Latin. NULL for NULL."""
     state: dict = {}
     # looked up once, on the driver
+    names = script_names()
     known = {c: scripts(c) for c in {*table, *(p for p in table.values() if len(p) == 1)}}
 
     def form(texts: pa.Array, groups: pa.Array) -> pa.Array:
         if not state:
             _KNOWN.update(known)
+            _NAMES[:] = names
             state["by"], state["seen"] = Normalizer(table), {}
         by, seen, out = state["by"], state["seen"], []
         if len(seen) > 200_000:
