@@ -124,3 +124,14 @@ def test_lexicon_tables(spark, tmp_path):
     assert {r.surface: [e.word_id for e in r.entries] for r in group_entries(words).collect()}["都"] == [e[3] for e in d.find_surface("都")]
     ranks = {r.left_id: (r.n, r["rank"]) for r in context_frequencies(words).collect()}
     assert ranks[1] == (5, 1) and ranks[3] == (2, 2)
+
+
+def test_folders_on_the_sessions_file_systems(spark, tmp_path):
+    from kugiri.sources.dictionary import load_dictionary
+
+    d = dictionary()
+    d.save(uri := f"file://{tmp_path}/shared", spark)
+    again = load_dictionary(uri, spark)
+    assert again.words == d.words and np.array_equal(again.matrix, d.matrix) and again.unknown_rows == d.unknown_rows
+    with pytest.raises(AnalysisError):
+        load_dictionary(f"file://{tmp_path}/none", spark)
