@@ -1,9 +1,9 @@
 """Per-document text quality: a hidden Markov model labels each line prose, heading, list, table or junk.
 
 The observations are line statistics (words, common words, digits, symbols, ends, markers, repetitions), computed for a
-batch of texts at once. The model is fitted by Baum-Welch on a bounded sample of the documents, from a starting point that
-weighs as much as some thousand lines and from a few labelled texts (Fit). The labels' shares of the characters are summed
-per document.
+batch of texts at once. The model is fitted by Baum-Welch on the lines of all documents, from a starting point that weighs
+as much as some thousand lines and from a few labelled texts (Fit). The labels' shares of the characters are summed per
+document.
 """
 
 import re
@@ -16,15 +16,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kugiri.plans.shared import release, stable
+
 LABELS = ("prose", "heading", "list", "table", "junk")
 #: Characters handled at once; a longer text is one batch of its own.
 BATCH_CHARS = 1_000_000
+#: Observed lines handled at once; a longer text is one batch of its own.
+BATCH_LINES = 200_000
 BREAKS = re.compile(r"\r\n|[\r\x0b\x0c\x85  ]")
 MARKER = re.compile(r"(?i)\s*(?:[-*•‣▪◦・–—]\s|\(?[0-9]{1,4}(?:\.[0-9]+)*[.):]?(?:\s|$)|\(?[a-z][.)]\s)")
 SENTENCE_END = ".。．!?！？:;：；"
 
-#: The fit sees about so many documents, drawn by a hash of their ids; its starting point counts as so many lines of each label,
-#: a line of the labelled texts as so many lines; and it takes so many steps.
+#: The fit sees every line of every document. Beyond so many documents all lines count less, equally, so that together they weigh
+#: as much against the starting point as the lines of so many documents; else a larger table would wear the labels' meaning away.
+#: The starting point counts as so many lines of each label, a line of the labelled texts as so many lines; and the fit takes so
+#: many steps.
 SAMPLE_DOCUMENTS, PRIOR_LINES, LABELLED_LINES, STEPS = 1_000, 20_000, 100, 6
 
 #: Chance of each observation in a line of each label (prose, heading, list, table, junk), where the fit starts.
@@ -91,6 +97,10 @@ CODE = np.array([ord(c) for c in "{}=<>_\\#$&^~`"], np.uint32)
 CODE_END = np.array([ord(c) for c in ":;{}"], np.uint32)
 TIGHT = np.array([ord(c) for c in ",;|\t"], np.uint32)
 OTHER, SPACE, BREAK, LETTER, DIGIT, HIRAGANA, UNSPACED = range(7)
+#: A line's observations as one number.
+BITS = 1 << np.arange(len(EMISSION))
+#: Chances are summed in whole parts of this size, so that no sum depends on the order, the batches or the partitions.
+UNIT = 1 << 30
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE: list[np.ndarray] = []
 
@@ -130,8 +140,11 @@ class Parameters:
         return cls(np.array(list(EMISSION.values())).T, np.array(TRANSITION), np.array(START))
 
     def scores(self, seen: np.ndarray) -> np.ndarray:
-        """Log-likelihood of every line's observations under each label."""
-        return seen @ np.log(self.emission / (1 - self.emission)).T + np.log(1 - self.emission).sum(1)
+        """Log-likelihood of every line's observations under each label; bit for bit the same beside any other lines."""
+        out = np.repeat(np.log(1 - self.emission).sum(1)[None], len(seen), 0)
+        for one, weight in zip(seen.T, np.log(self.emission / (1 - self.emission)).T):
+            out += one[:, None] * weight
+        return out
 
 
 class Fit:
@@ -155,40 +168,86 @@ class Fit:
 
     @staticmethod
     def expected(p: Parameters, seen: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chances of every line's label, summed chances of neighbouring labels and of first labels; all chains a line at a time."""
-        scores = p.scores(seen)
-        like = np.exp(scores - scores.max(1, keepdims=True))
-        order = np.argsort(-lengths, kind="stable")
-        size, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
-        longest = int(size[0]) if len(size) else 0
-        alive = [int(np.searchsorted(-size, -t, side="right")) for t in range(1, longest + 1)]
-        ahead, scale = np.zeros_like(like), np.ones(len(like))
-        for t in range(longest):
-            at = begin[: alive[t]] + t
-            now = (p.start if t == 0 else ahead[at - 1] @ p.transition) * like[at]
-            scale[at] = now.sum(1)
-            ahead[at] = now / scale[at][:, None]
-        behind = np.ones_like(like)
+        """Chances of every line's label, summed chances of neighbouring labels and of first labels, in whole UNITs."""
+        labels, moves, first = Fit._chances(p, p.scores(seen), lengths)
+        return labels.T / UNIT, moves / UNIT, first / UNIT
+
+    @staticmethod
+    def _chances(p: Parameters, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As expected(), times UNIT and with a row for each label; all chains a line at a time."""
+        size = -np.sort(-lengths)
+        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1 if len(size) else 1), side="right")
+        begin = np.cumsum(alive) - alive
+        rank = np.empty(len(lengths), np.int64)
+        rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+        # the first lines of all chains come first, then the second ones
+        at = begin[np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] + np.repeat(rank, lengths)
+        like = np.empty((len(LABELS), len(scores)))
+        like[:, at] = np.exp(scores - scores.max(1, keepdims=True)).T
+        ahead, behind, scale = np.empty_like(like), np.ones_like(like), np.empty(len(scores))
         moves = np.zeros((len(LABELS),) * 2)
-        for t in range(longest - 1, 0, -1):
-            at = begin[: alive[t]] + t
-            rest = like[at] * behind[at] / scale[at][:, None]
-            behind[at - 1] = rest @ p.transition.T
-            moves += p.transition * (ahead[at - 1].T @ rest)
-        labels = ahead * behind
-        return labels, moves, labels[begin[:]].sum(0) if longest else np.zeros(len(LABELS))
-
-    def run(self, chains: list[np.ndarray], steps: int | None = None) -> Parameters:
-        """The parameters after `steps` steps over chains of observed lines."""
-        chains = [c for c in chains if len(c)]
-        if chains:
-            seen, lengths = np.concatenate(chains), np.array([len(c) for c in chains])
-            for _ in range(STEPS if steps is None else steps):
-                labels, moves, first = self.expected(self.parameters, seen, lengths)
-                self.parameters = self._made(labels.T @ seen, labels.sum(0), moves, first)
+        for t, k in enumerate(alive):
+            here = slice(begin[t], begin[t] + k)
+            now = like[:, here] * ((ahead[:, None, begin[t - 1] : begin[t - 1] + k] * p.transition[:, :, None]).sum(0) if t else p.start[:, None])
+            scale[here] = now.sum(0)
+            ahead[:, here] = now / scale[here]
+        for t in range(len(alive) - 1, 0, -1):
+            here, before = slice(begin[t], begin[t] + alive[t]), slice(begin[t - 1], begin[t - 1] + alive[t])
+            ways = p.transition[:, :, None] * (like[:, here] * behind[:, here] / scale[here])
+            behind[:, before] = ways.sum(1)
+            moves += np.rint(ways * ahead[:, None, before] * UNIT).sum(2)
+        labels = np.rint(ahead * behind * UNIT)
+        return labels[:, at], moves, labels[:, : alive[0] if len(alive) else 0].sum(1)
+
+    @classmethod
+    def counts(cls, p: Parameters, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """What step() takes, in UNITs and one row, from consecutive chains of lines whose observations are BITS."""
+        kinds, which = np.unique(codes, return_inverse=True)
+        seen = _seen(kinds)
+        labels, moves, first = cls._chances(p, p.scores(seen)[which], lengths)
+        by_kind = np.array([np.bincount(which, row, minlength=len(kinds)) for row in labels])
+        return np.concatenate([x.ravel() for x in (by_kind @ seen, by_kind.sum(1), moves, first)]).astype(np.int64)
+
+    def step(self, counts: np.ndarray) -> Parameters:
+        """The parameters after a step over chains of these counts, in lines."""
+        k, f = self.ones.shape
+        ones, lines, moves, first = np.split(counts, np.cumsum([k * f, k, k * k]))
+        self.parameters = self._made(ones.reshape(k, f), lines, moves.reshape(k, k), first)
         return self.parameters
 
 
+def _seen(codes: np.ndarray) -> np.ndarray:
+    return (codes[:, None] & BITS > 0).astype(np.float64)
+
+
+def _viterbi(start: np.ndarray, transition: np.ndarray, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The most likely labels (Viterbi) of consecutive chains of lines, all chains a line at a time."""
+    out = np.zeros(len(emission), np.int8)
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    begin, size = begin[order], lengths[order]
+    if not len(size) or not size[0]:
+        return out
+    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    back = np.zeros((len(emission), len(LABELS)), np.int8)
+    score = start + emission[begin[: alive[0]]]
+    final = np.zeros(len(size), np.int8)
+    for t in range(1, size[0]):
+        k = alive[t]
+        final[k : len(score)] = score[k:].argmax(1)
+        ways = score[:k, :, None] + transition
+        best = ways.argmax(1)
+        back[begin[:k] + t] = best
+        score = np.take_along_axis(ways, best[:, None, :], 1)[:, 0] + emission[begin[:k] + t]
+    final[: len(score)] = score.argmax(1)
+    state = final
+    for t in range(size[0] - 1, -1, -1):
+        k = alive[t]
+        out[begin[:k] + t] = state[:k]
+        state[:k] = back[begin[:k] + t, state[:k]]
+    return out
+
+
 class Model:
     """words: the common words of all languages together."""
 
@@ -308,31 +367,8 @@ class Model:
         ], 1).astype(np.float64)
 
     def label(self, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The most likely labels (Viterbi) of consecutive chains of lines, all chains a line at a time."""
-        out = np.zeros(len(emission), np.int8)
-        begin = np.cumsum(lengths) - lengths
-        order = np.argsort(-lengths, kind="stable")
-        begin, size = begin[order], lengths[order]
-        if not len(size) or not size[0]:
-            return out
-        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        back = np.zeros((len(emission), len(LABELS)), np.int8)
-        score = self.start + emission[begin[: alive[0]]]
-        final = np.zeros(len(size), np.int8)
-        for t in range(1, size[0]):
-            k = alive[t]
-            final[k : len(score)] = score[k:].argmax(1)
-            ways = score[:k, :, None] + self.transition
-            best = ways.argmax(1)
-            back[begin[:k] + t] = best
-            score = np.take_along_axis(ways, best[:, None, :], 1)[:, 0] + emission[begin[:k] + t]
-        final[: len(score)] = score.argmax(1)
-        state = final
-        for t in range(size[0] - 1, -1, -1):
-            k = alive[t]
-            out[begin[:k] + t] = state[:k]
-            state[:k] = back[begin[:k] + t, state[:k]]
-        return out
+        """The most likely labels of consecutive chains of lines."""
+        return _viterbi(self.start, self.transition, emission, lengths)
 
     def chains(self, texts: list[str]) -> list[np.ndarray]:
         """The observed lines of each text, blank ones left out."""
@@ -352,15 +388,14 @@ class Model:
         small = np.fromiter((lines[i].lstrip()[:1].islower() for i in where), bool, len(where))
         return s, full, own, self.observe({k: v[full] for k, v in s.items()}, marker, small)
 
-    def measure(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """Statistics of each text."""
+    def statistics(self, texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Statistics of each text that need no labels; of all lines but blank ones the observations as BITS and the characters;
+        and the number of these lines by text."""
         s, full, own, seen = self._observed(texts)
-        labels = self.label(self.parameters.scores(seen), np.bincount(own[full], minlength=len(texts)))
-        chars = np.bincount(own[full] * 8 + labels, s["chars"][full], minlength=len(texts) * 8).reshape(len(texts), 8)[:, : len(LABELS)]
         total = {k: np.bincount(own, v, minlength=len(texts)) for k, v in s.items() if k in ("words", "word chars", "symbols", "visible", "common", "unspaced", "common chars", "digits")}
         units = total["words"] + total["unspaced"]
         n_lines = np.bincount(own[full], minlength=len(texts))
-        return {
+        out = {
             "n_chars": np.array([len(t) for t in texts], np.int64),
             "n_lines": n_lines,
             "n_words": total["words"].astype(np.int64),
@@ -369,43 +404,107 @@ class Model:
             "digit_ratio": total["digits"] / np.maximum(total["visible"], 1),
             "line_end_share": np.bincount(own[full], seen[:, list(EMISSION).index("sentence end")], minlength=len(texts)) / np.maximum(n_lines, 1),
             "common_share": (total["common"] + total["common chars"]) / np.maximum(units, 1),
-            **{f"{l}_chars": chars[:, i].astype(np.int64) for i, l in enumerate(LABELS)},
         }
+        return out, (seen @ BITS).astype(np.int32), s["chars"][full], n_lines
+
+    def measure(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """Statistics of each text."""
+        out, codes, chars, lengths = self.statistics(texts)
+        return out | label_chars(self.parameters, codes, chars, lengths)
+
+
+def label_chars(p: Parameters, codes: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """Characters of each chain of lines by label."""
+    kinds, which = np.unique(codes, return_inverse=True)
+    labels = _viterbi(np.log(p.start), np.log(p.transition), p.scores(_seen(kinds))[which], lengths)
+    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths) * 8 + labels, chars, minlength=len(lengths) * 8).reshape(len(lengths), 8)
+    return {f"{l}_chars": sums[:, i].astype(np.int64) for i, l in enumerate(LABELS)}
 
 
-STATISTICS = {"n_chars": "long", "n_lines": "long", "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "line_end_share": "double", "common_share": "double", **{f"{l}_chars": "long" for l in LABELS}}
+PLAIN = {"n_chars": "long", "n_lines": "long", "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "line_end_share": "double", "common_share": "double"}
+STATISTICS = PLAIN | {f"{l}_chars": "long" for l in LABELS}
+#: What the labels of a text's lines come from.
+LINES = {"line_codes": "array<int>", "line_chars": "array<int>"}
 
 
-def _pieces(texts: pa.Array):
-    """(first, end) of texts of BATCH_CHARS characters together, or of one longer text."""
-    lengths = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+def _pieces(lengths: np.ndarray, most: int):
+    """(first, end) of rows whose lengths come to at most so much, or of one longer row."""
+    lengths = np.cumsum(lengths.astype(np.int64) + 1)
     at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + BATCH_CHARS, side="right")))
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + most, side="right")))
         yield at, to
         at = to
 
 
-def fit(documents: DataFrame, common_words: list[str], id: str = "doc_id", text: str = "text") -> Parameters:
-    """Parameters fitted on about SAMPLE_DOCUMENTS documents by hash of their ids; only their observed lines come to the driver."""
-    total = documents.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, total))
-    sample = documents.where(F.pmod(F.xxhash64(F.col(f"`{id}`"), F.lit(9)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+def _texts(texts: pa.Array):
+    """(first, end, texts) of BATCH_CHARS characters together; NULL is empty."""
+    for at, to in _pieces(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), BATCH_CHARS):
+        yield at, to, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+
+
+def _chains(lines: pa.Array):
+    """(first, end, lengths) of BATCH_LINES lines together."""
+    lengths = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    for at, to in _pieces(lengths, BATCH_LINES):
+        yield at, to, lengths[at:to]
+
+
+def _columns(got: dict[str, np.ndarray], kinds: dict[str, str]) -> list[pa.Array]:
+    return [pa.array(got[k], pa.int64() if kind == "long" else pa.float64()) for k, kind in kinds.items()]
+
+
+def _schema(id: str, documents: DataFrame, kinds: dict[str, str], name: str | None = None) -> str:
+    return f"`{name or id}` {documents.schema[id].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
+
+
+def observe(documents: DataFrame, common_words: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: the id as `id`, PLAIN, and LINES of its lines that aren't blank."""
     state: dict = {}
-    bits = 1 << np.arange(len(EMISSION))
 
-    def observed(batches):
+    def rows(batches):
         if not state:
             state["model"] = Model(common_words)
         for b in batches:
-            for at, to in _pieces(b.column(0)):
-                lines = [(c @ bits).astype(np.int32) for c in state["model"].chains(b.column(0).slice(at, to - at).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.int32()))], ["lines"])
+            for at, to, texts in _texts(b.column(1)):
+                got, codes, chars, lengths = state["model"].statistics(texts)
+                ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+                lines = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (codes, chars)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *_columns(got, PLAIN), *lines], ["id", *PLAIN, *LINES])
 
-    # in an order that doesn't depend on partitions
-    rows = sorted(tuple(r.lines) for r in sample.mapInArrow(observed, "lines array<int>").collect())
-    chains = [(np.array(r, np.int64)[:, None] & bits > 0).astype(np.float64) for r in rows if r]
-    return Fit(Model(common_words).labelled(), Parameters.given()).run(chains)
+    return documents.select(id, text).mapInArrow(rows, _schema(id, documents, PLAIN | LINES, "id"))
+
+
+def fit(documents: DataFrame, common_words: list[str], id: str = "doc_id", text: str = "text") -> Parameters:
+    """Parameters fitted on all documents."""
+    observed = stable(observe(documents, common_words, id, text).select("line_codes"))
+    try:
+        return fit_observed(observed, common_words)
+    finally:
+        release(observed)
+
+
+def fit_observed(observed: DataFrame, common_words: list[str]) -> Parameters:
+    """Parameters fitted on all rows of observe(). In each step every task sums the counts of its lines; only the sums come to
+    the driver."""
+    model = Fit(Model(common_words).labelled(), Parameters.given())
+    for _ in range(STEPS):
+        parameters = model.parameters
+
+        def summed(batches):
+            rows, counts = 0, 0
+            for b in batches:
+                rows += b.num_rows
+                for at, to, lengths in _chains(b.column(0)):
+                    counts += Fit.counts(parameters, b.column(0).slice(at, to - at).flatten().to_numpy(), lengths)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([[rows, *counts.tolist()]], pa.list_(pa.int64()))], ["sums"])
+
+        sums = [sum(s) for s in zip(*(r.sums for r in observed.select("line_codes").mapInArrow(summed, "sums array<long>").collect()))]
+        if not sums:
+            break
+        model.step(np.array([n / UNIT for n in sums[1:]]) * min(1.0, SAMPLE_DOCUMENTS / sums[0]))
+    return model.parameters
 
 
 def measure(documents: DataFrame, common_words: list[str], id: str = "doc_id", text: str = "text", parameters: Parameters | None = None) -> DataFrame:
@@ -421,13 +520,26 @@ def measure(documents: DataFrame, common_words: list[str], id: str = "doc_id", t
         if not state:
             state["model"] = Model(common_words, parameters)
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for at, to in _pieces(texts):
-                got = state["model"].measure([t or "" for t in texts.slice(at, to - at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), *(pa.array(got[k], pa.int64() if kind == "long" else pa.float64()) for k, kind in STATISTICS.items())], [id, *STATISTICS])
+            for at, to, texts in _texts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *_columns(state["model"].measure(texts), STATISTICS)], [id, *STATISTICS])
+
+    return documents.select(id, text).mapInArrow(rows, _schema(id, documents, STATISTICS))
+
+
+def measure_fitted(documents: DataFrame, common_words: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """measure() with the parameters of fit(). The texts are read once: their observed lines are written to the shared folder,
+    then fitted and labelled from there."""
+    observed = stable(observe(documents, common_words, id, text))
+    parameters = fit_observed(observed, common_words)
+
+    def rows(batches):
+        for b in batches:
+            codes, chars = b.column(len(PLAIN) + 1), b.column(len(PLAIN) + 2)
+            for at, to, lengths in _chains(codes):
+                got = label_chars(parameters, *(x.slice(at, to - at).flatten().to_numpy() for x in (codes, chars)), lengths)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, to - at) for i in range(len(PLAIN) + 1)), *(pa.array(x) for x in got.values())], [id, *STATISTICS])
 
-    kind = documents.schema[id].dataType.simpleString()
-    return documents.select(id, text).mapInArrow(rows, f"`{id}` {kind}, " + ", ".join(f"{k} {v}" for k, v in STATISTICS.items()))
+    return observed.mapInArrow(rows, _schema(id, documents, STATISTICS))
 
 
 def not_prose(statistics: DataFrame) -> DataFrame:

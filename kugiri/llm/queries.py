@@ -76,7 +76,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     if len(words) > MOST_COMMON:
         raise ValueError(f"more than {MOST_COMMON} common words")
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return quality.measure(docs, words, parameters=quality.fit(docs, words))
+    return quality.measure_fitted(docs, words)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

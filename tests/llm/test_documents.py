@@ -252,3 +252,42 @@ def test_the_fit_sees_a_bounded_sample(spark, monkeypatch):
     a, b = quality.fit(docs, COMMON), quality.fit(docs.repartition(2), COMMON)
     assert np.allclose(a.emission, b.emission) and np.allclose(a.transition.sum(1), 1) and not np.allclose(a.emission, quality.Parameters.given().emission)
     assert quality.fit(docs.limit(0), COMMON).emission.shape == a.emission.shape
+
+
+def test_the_fit_counts_the_lines_of_all_documents(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["\n".join(document(rng, rng.choice(["prose", "list", "table", "index", "junk"]), rng.randrange(7))) for _ in range(300)] + [None, "", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(quality, "SAMPLE_DOCUMENTS", 30)
+    got = quality.fit(docs.repartition(5), COMMON)
+    other = quality.fit(docs.repartition(2), COMMON)
+    # Baum-Welch over every line at once; all lines count a tenth, as 30 documents of about 300 would
+    model = quality.Fit(quality.Model(COMMON).labelled(), quality.Parameters.given())
+    chains = [c for c in quality.Model(COMMON).chains([t or "" for t in texts]) if len(c)]
+    seen, lengths, weight = np.concatenate(chains), np.array([len(c) for c in chains]), 30 / len(texts)
+    for _ in range(quality.STEPS):
+        labels, moves, first = quality.Fit.expected(model.parameters, seen, lengths)
+        model.parameters = model._made(weight * labels.T @ seen, weight * labels.sum(0), weight * moves, weight * first)
+    for name in ("emission", "transition", "start"):
+        assert np.allclose(getattr(got, name), getattr(model.parameters, name), rtol=0, atol=1e-9), name
+        assert np.array_equal(getattr(got, name), getattr(other, name)), name
+
+
+def test_counts_do_not_depend_on_batches():
+    rng = np.random.default_rng(8)
+    p = quality.Parameters.given()
+    lengths = rng.integers(0, 9, 60)
+    codes = rng.integers(0, 1 << len(quality.EMISSION), lengths.sum())
+    ends = np.cumsum(lengths)
+    alone = sum(quality.Fit.counts(p, codes[e - n : e], np.array([n])) for n, e in zip(lengths, ends))
+    assert np.array_equal(quality.Fit.counts(p, codes, lengths), alone)
+
+
+def test_fitted_statistics_equal_those_of_the_fitted_model(spark):
+    rng = random.Random(6)
+    texts = ["\n".join(document(rng, rng.choice(["prose", "list", "table", "junk"]), rng.randrange(9))) for _ in range(40)] + [None, "", "\n\n", "x" * 300_000]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "line_codes string, text string").repartition(3)
+    expected = quality.measure(docs, COMMON, "line_codes", parameters=quality.fit(docs, COMMON, "line_codes"))
+    got = quality.measure_fitted(docs, COMMON, "line_codes")
+    assert got.schema == expected.schema and sorted(got.collect()) == sorted(expected.collect())
+    assert quality.measure_fitted(docs.limit(0), COMMON, "line_codes").count() == 0
