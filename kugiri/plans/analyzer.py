@@ -5,7 +5,9 @@ end of the chain that Spark can express are left to it as Column expressions.
 """
 
 import json
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import chain
 from pathlib import Path
 
@@ -20,6 +22,7 @@ from kugiri.functions.charfilters import CharacterFilter, character_filter, corr
 from kugiri.functions.tokenfilters import ByField, TokenFilter, token_filter
 from kugiri.model import TOKEN_DDL, UNKNOWN, AnalysisError, ErrorKind, Mode, Token
 from kugiri.operators.lattice import Lattice, sentences
+from kugiri.operators.spans import Spans, separable
 from kugiri.sources.dictionary import Dictionary, UserDictionary, load_dictionary
 
 #: Paths kept by a task, of texts between white space or of sentences, and the longest text kept.
@@ -509,6 +512,90 @@ class Tokenizer:
         return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
 
 
+def surface_counts(df: DataFrame, text: str, chains: dict[str, Tokenizer], into: str = "name") -> DataFrame:
+    """How often each chain makes each surface of the texts: its name, df's other columns, surface and n.
+
+    Where the chains' spans are independent (operators.spans), the texts are read once for all chains, and only distinct spans are
+    segmented; else every chain segments every text.
+    """
+    spark, keys = df.sparkSession, [c for c in df.columns if c != text]
+    own = [F.col(f"`{c}`") for c in keys]
+    one_by_one = all(f.one_by_one for c in chains.values() for f in c.token_filters) and not any(f for c in chains.values() for f in c.character_filters if not f.is_identity())
+    alike = len({c.segmenter.dictionary.char_def for c in chains.values()}) == 1
+    if one_by_one and alike and all(isinstance(df.schema[c].dataType, FLAT) for c in keys) and all(separable(c.segmenter.lattice) for c in chains.values()):
+        rows = _of_spans(_span_counts(df.select(*own, F.col(f"`{text}`")), [c.segmenter.lattice for c in chains.values()]), chains, into)
+        return rows.groupBy(into, *own, "surface").agg(F.sum("n").alias("n"))
+    parts = [df.select(F.lit(name).alias(into), *own, F.explode(c.surfaces(spark, F.col(f"`{text}`"))).alias("surface")) for name, c in chains.items()]
+    return reduce(DataFrame.unionAll, parts).groupBy(into, *own, "surface").agg(F.count("*").alias("n"))
+
+
+def _span_counts(df: DataFrame, lattices: list[Lattice]) -> DataFrame:
+    """Distinct spans of the last column's texts by the other columns, with their numbers; equal spans stand in one partition."""
+    spark, keys = df.sparkSession, df.columns[:-1]
+    shipped = spark.sparkContext.broadcast(Spans(lattices))
+
+    def rows(batches):
+        spans, counts, kinds = shipped.value, defaultdict(Counter), None
+        tails = Memo(spans.tails_of).__getitem__
+
+        def found():
+            places = [k for k, own in counts.items() for _ in own]
+            columns = [pa.array([p[i] for p in places], kind) for i, kind in enumerate(kinds)]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array([s for own in counts.values() for s in own], pa.string()), pa.array([n for own in counts.values() for n in own.values()], pa.int64())], [*keys, "span", "n"])
+            counts.clear()
+            return made
+
+        for b in batches:
+            kinds, texts = [f.type for f in b.schema][:-1], b.column(len(keys))
+            for at, to in _at_once(texts):
+                owners = zip(*(b.column(i).slice(at, to - at).to_pylist() for i in range(len(keys)))) if keys else iter(lambda: (), None)
+                for owner, t in zip(owners, texts.slice(at, to - at).to_pylist()):
+                    if t:
+                        counts[owner].update(spans.of(t, tails))
+                # long spans don't repeat
+                if sum(map(len, counts.values())) > CACHED or sum(len(s) for own in counts.values() for s in own if len(s) > CACHED_CHARS) > CHARS_AT_ONCE:
+                    yield found()
+        if counts:
+            yield found()
+
+    schema = StructType([*df.schema.fields[:-1], *StructType.fromDDL("span string, n bigint").fields])
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = df.mapInArrow(rows, schema).repartition(parts, "span")
+    return counted.groupBy(*[F.col(f"`{c}`") for c in keys], "span").agg(F.sum("n").alias("n"))
+
+
+def _of_spans(counted: DataFrame, chains: dict[str, Tokenizer], into: str) -> DataFrame:
+    """The surfaces of counted spans by every chain, with the spans' numbers.
+
+    A span that holds no word of some lexicons has the same unknown words by all of these, so it is searched once for them.
+    """
+    keys = counted.columns[:-2]
+    shipped = counted.sparkSession.sparkContext.broadcast({n: Tokenizer(c.segmenter, [], [f for f in c.token_filters if not f.is_identity()]) for n, c in chains.items()})
+
+    def rows(batches):
+        chains = shipped.value
+        options = {n: repr((s.dictionary.unknown_rows, s.dictionary.matrix[0, 0], s.max_grouping_len, s.ladder, s.keep_whitespace)) for n, c in chains.items() if (s := c.segmenter)}
+        for b in batches:
+            for at, to in _at_once(b.column(len(keys))):
+                part = b.slice(at, to - at)
+                spans, unknown = part.column(len(keys)).to_pylist(), {}
+                for name, own in chains.items():
+                    made, final, segmenter = [], own._final(), own.segmenter
+                    paths, holds = unknown.setdefault(options[name], [None] * len(spans)), segmenter.lattice.holds_word
+                    for i, span in enumerate(spans):
+                        if holds(span):
+                            made.append(own.tokenize_surfaces(span))
+                            continue
+                        if paths[i] is None:
+                            paths[i] = [(w[0], w[3], w[4]) for w in segmenter.words(span)]
+                        made.append([f[0] for w in paths[i] if (f := final[w]) is not None])
+                    places = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), len(places)), *(part.column(i).take(places) for i in range(len(keys))), pa.array(list(chain.from_iterable(made)), pa.string()), part.column(len(keys) + 1).take(places)], [into, *keys, "surface", "n"])
+
+    schema = StructType([*StructType.fromDDL(f"`{into}` string").fields, *counted.schema.fields[:-2], *StructType.fromDDL("surface string, n bigint").fields])
+    return counted.mapInArrow(rows, schema)
+
+
 def _at_once(texts: pa.Array):
     """(first, end) of texts of CHARS_AT_ONCE characters together, or of one longer text."""
     lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()

@@ -12,7 +12,7 @@ from kugiri.model import Schema
 from kugiri.operators import entries
 from kugiri.plans import paths
 from kugiri.operators.packed import known_values, split_column
-from kugiri.plans.analyzer import Segmenter, Tokenizer, TokenizerBuilder
+from kugiri.plans.analyzer import Segmenter, Tokenizer, TokenizerBuilder, surface_counts
 from kugiri.plans.shared import read, spread, stable
 from kugiri.plans.skew import join_table
 from kugiri.sources.bundled import _SCRIPTS, bundled, char_def
@@ -61,11 +61,9 @@ def _by_lexicon(kind: str | None, tokens=(), keys=()):
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         chosen = read(spark, d, "dictionaries").where(F.lit(True) if kind is None else F.col("lang_group") == kind)
-        parts = []
-        for name, dictionary in from_tables(read(spark, d, "lexicon"), chosen, char_def(), UNKNOWN_COST).items():
-            chain = Tokenizer(Segmenter(dictionary), [], [token_filter(k, a) for k, a in tokens])
-            parts.append(documents(spark, d).select(F.lit(name).alias("dict_name"), *keys, F.explode(chain.surfaces(spark, "text")).alias("surface")))
-        return reduce(DataFrame.unionAll, parts).groupBy("dict_name", *keys, "surface").agg(F.count("*").alias("n"))
+        dictionaries = from_tables(read(spark, d, "lexicon"), chosen, char_def(), UNKNOWN_COST)
+        chains = {name: Tokenizer(Segmenter(dictionary), [], [token_filter(k, a) for k, a in tokens]) for name, dictionary in dictionaries.items()}
+        return surface_counts(documents(spark, d).select(*keys, "text"), "text", chains, "dict_name")
 
     return query
 
