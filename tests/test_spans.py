@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -71,7 +72,11 @@ def test_counts_are_those_of_every_text(spark):
     assert surface_counts(df.limit(0), "text", chains).count() == 0
 
 
-def test_the_lexicons_share_one_pass_over_the_documents(spark):
+ONE_PASS = ["tokenize_counts_lexicon", "tokens_japanese_stop_tags_lexicon"]
+
+
+@pytest.mark.parametrize("name", ONE_PASS)
+def test_the_lexicons_share_one_pass_over_the_documents(spark, name):
     """Texts were searched once for each dictionary."""
-    plan = analysis.QUERIES["tokenize_counts_lexicon"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = analysis.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1
