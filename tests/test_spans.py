@@ -72,7 +72,7 @@ def test_counts_are_those_of_every_text(spark):
     assert surface_counts(df.limit(0), "text", chains).count() == 0
 
 
-ONE_PASS = ["tokenize_counts_lexicon", "tokens_japanese_stop_tags_lexicon", "tokens_base_form_lexicon", "tokens_reading_form_lexicon"]
+ONE_PASS = ["tokenize_counts_lexicon", "tokens_japanese_stop_tags_lexicon", "tokens_base_form_lexicon", "tokens_reading_form_lexicon", "tokens_japanese_keep_tags_lexicon"]
 
 
 @pytest.mark.parametrize("name", ONE_PASS)
