@@ -22,11 +22,13 @@ from kugiri.functions.charfilters import CharacterFilter, character_filter, corr
 from kugiri.functions.tokenfilters import ByField, TokenFilter, token_filter
 from kugiri.model import TOKEN_DDL, UNKNOWN, AnalysisError, ErrorKind, Mode, Token
 from kugiri.operators.lattice import Lattice, sentences
-from kugiri.operators.spans import Spans, separable
+from kugiri.operators.spans import Spans, separable, unbounded
 from kugiri.sources.dictionary import Dictionary, UserDictionary, load_dictionary
 
 #: Paths kept by a task, of texts between white space or of sentences, and the longest text kept.
 CACHED, CACHED_CHARS = 200_000, 100
+#: Paths of a span beyond those asked for that are compared with them.
+MOST_TIES = 64
 #: Characters of texts whose token rows are made at once.
 CHARS_AT_ONCE = 1_000_000
 #: Types of columns that go along with flat token rows.
@@ -269,6 +271,120 @@ class Pieces:
         return [*offsets, kept_to[-1]], arrays
 
 
+class Ranks:
+    """The n cheapest analyses of texts as costs and joined surfaces, without filters, from the paths of the spans between forced runs.
+
+    A sentence's costs are sums of its spans' costs. Where all paths that count for a span have one text, so have the
+    sentence's, in whatever order equal costs come; where a span has several, they are put together too. Only a sentence with
+    different texts of equal cost among its ranks is searched as a whole, as the search itself decides their order.
+    """
+
+    def __init__(self, segmenter: Segmenter, n: int, separator: str):
+        self.segmenter, self.n, self.separator = segmenter, n, separator
+        memo = lambda first, last: Memo(lambda text: self._span(text, first, last))
+        self.spans = {(a, b): memo(a, b) for a in (False, True) for b in (False, True)}
+        self.gaps, self.sums = Memo(self._gap), Memo(self._least)
+
+    @staticmethod
+    def fit(segmenter: Segmenter) -> bool:
+        return segmenter.gaps is not None and segmenter.mode.penalty is None and unbounded(segmenter.lattice)
+
+    def _joined(self, words) -> str:
+        return self.separator.join([w[0] for w in words if self.segmenter.keep_whitespace or not w[4]])
+
+    def _path(self, text: str, path) -> str:
+        return self._joined([self.segmenter._word(text, *x) for x in path])
+
+    def _span(self, text: str, first: bool, last: bool) -> tuple[int, str, tuple[int, ...], list[tuple[int, str | None]] | None]:
+        """Cost and text of the best path, by how much the next ones cost more; and, where some have another text, all that count with their texts."""
+        lattice, gap = self.segmenter.lattice, self.segmenter.gap
+        before, after = 0 if first else gap[1], 0 if last else gap[0]
+        if not text:
+            return lattice.d.costs[after][before], "", (), None
+        found: list[tuple[str, int]] = []
+        for path, cost in lattice.paths(text, before, after):
+            if len(found) >= self.n and cost > found[self.n - 1][1]:
+                break
+            found.append((self._path(text, path), cost))
+            if len(found) == self.n + MOST_TIES:
+                return found[0][1], found[0][0], (), []
+        (best, least), *rest = found
+        others = [(c - least, None if t == best else t) for t, c in rest]
+        return least, best, tuple([c for c, _ in others[: self.n - 1]]), others if any(t is not None for _, t in others) else None
+
+    def _gap(self, text: str) -> tuple[int, str, tuple[int, ...], None]:
+        d = self.segmenter.dictionary
+        return d.unknown[d.categories.of(text[0])[0]][0][2], self._joined([self.segmenter._forced(text)]), (), None
+
+    def _least(self, more: tuple[tuple[int, ...], ...]) -> list[int]:
+        """What the second and further of the n least sums cost more than the least, with one number or none of each tuple."""
+        sums = [0]
+        for own in more:
+            sums = sorted([a + b for a in sums for b in (0, *own)])[: self.n]
+        return sums[1:]
+
+    def _mixed(self, own: list[tuple]) -> list[tuple[int, tuple]] | None:
+        """By rank: what a sentence of these spans costs more, and the texts that change by their places; None where the order is open."""
+        found: list[tuple[int, tuple]] = [(0, ())]
+        for k, (_, _, more, others) in enumerate(own):
+            if others is None:
+                others = [(c, None) for c in more]
+            elif not others:
+                return None
+            if not others or len(found) >= self.n and others[0][0] > found[-1][0]:
+                continue
+            found += [(a + c, changed if t is None else (*changed, (k, t))) for a, changed in found for c, t in others]
+            found.sort(key=lambda x: x[0])
+            # what costs as much as the last of n stays
+            to = self.n
+            while self.n < len(found) and to < len(found) and found[to][0] == found[self.n - 1][0]:
+                to += 1
+            del found[to:]
+            if len(found) > self.n + MOST_TIES:
+                return None
+        return found[: self.n] if all(a[0] != b[0] or a[1] == b[1] for a, b in zip(found, found[1:])) else None
+
+    def of(self, text: str) -> list[tuple[int, str]]:
+        """By rank: the cost and the surfaces, as Segmenter.segment_nbest has them."""
+        whole, begin, end, middle = self.spans[True, True], self.spans[True, False], self.spans[False, True], self.spans[False, False]
+        split, forced, n = self.segmenter.gaps.split, self.gaps.__getitem__, self.n
+        costs, texts = [0] * n, [[] for _ in range(n)]
+        for sentence in sentences(text):
+            parts = split(sentence)
+            if len(parts) == 1:
+                own = [whole[sentence]]
+            else:
+                own = [begin[parts[0]]] * len(parts)
+                own[1::2] = map(forced, parts[1::2])
+                own[2:-1:2] = map(middle.__getitem__, parts[2:-1:2])
+                own[-1] = end[parts[-1]]
+            least, words, more, others = zip(*own)
+            if others.count(None) < len(others):
+                mixed = self._mixed(own)
+                if mixed is None:
+                    for rank, (path, cost) in enumerate(self.segmenter.lattice.nbest(sentence, n)):
+                        costs[rank] += cost
+                        texts[rank].append(self._path(sentence, path))
+                    continue
+                cost = sum(least)
+                for rank, (extra, changed) in enumerate(mixed):
+                    own = list(words)
+                    for k, t in changed:
+                        own[k] = t
+                    costs[rank] += cost + extra
+                    texts[rank].append(self.separator.join(filter(None, own)))
+                continue
+            cost, joined = sum(least), self.separator.join(filter(None, words))
+            costs[0] += cost
+            texts[0].append(joined)
+            # of other spans not even the cheapest change is among the n least
+            if more := tuple(sorted(filter(None, more))[: n - 1]):
+                for rank, extra in enumerate(self.sums[more], 1):
+                    costs[rank] += cost + extra
+                    texts[rank].append(joined)
+        return [(c, self.separator.join(filter(None, own))) for c, own in zip(costs, texts) if own]
+
+
 class _Numbers(dict):
     """The number of a piece, made when first asked for."""
 
@@ -468,26 +584,34 @@ class Tokenizer:
         schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL(f"`{into}` {token}").fields])
         return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
 
-    def nbest_rows(self, df: DataFrame, text: str, n: int, unique: bool = False, cost_threshold: int | None = None) -> DataFrame:
-        """One row per candidate: df's other columns, rank from 1, cost and the surfaces. One text's candidates at a time."""
+    def nbest_rows(self, df: DataFrame, text: str, n: int, unique: bool = False, cost_threshold: int | None = None, joined: str | None = None) -> DataFrame:
+        """One row per candidate: df's other columns, rank from 1, cost and the surfaces, joined by `joined` if it is given. One text's candidates at a time."""
         rest = [c for c in df.columns if c != text]
         shipped = df.sparkSession.sparkContext.broadcast(self)
+        by_spans = joined is not None and n > 0 and not (unique or cost_threshold is not None or self.token_filters or self.character_filters) and Ranks.fit(self.segmenter)
+        kind = pa.list_(pa.string()) if joined is None else pa.string()
+
+        def of_tokens(text):
+            for tokens, cost in shipped.value.tokenize_nbest(text, n, unique, cost_threshold):
+                own = [x.surface for x in tokens]
+                yield cost, own if joined is None else joined.join(own)
 
         def rows(batches):
+            ranked = Ranks(shipped.value.segmenter, n, joined).of if by_spans else of_tokens
             for b in batches:
                 texts = b.column(len(rest))
                 for at, to in _at_once(texts):
                     owner, ranks, costs, surfaces = [], [], [], []
                     for i, t in enumerate(texts.slice(at, to - at).to_pylist(), at):
-                        for rank, (tokens, cost) in enumerate(shipped.value.tokenize_nbest(t, n, unique, cost_threshold) if t is not None else (), 1):
+                        for rank, (cost, own) in enumerate(ranked(t) if t is not None else (), 1):
                             owner.append(i)
                             ranks.append(rank)
                             costs.append(cost)
-                            surfaces.append([x.surface for x in tokens])
+                            surfaces.append(own)
                     own = pa.array(owner, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in range(len(rest))), pa.array(ranks, pa.int32()), pa.array(costs, pa.int64()), pa.array(surfaces, pa.list_(pa.string()))], [*rest, "rank", "cost", "surfaces"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in range(len(rest))), pa.array(ranks, pa.int32()), pa.array(costs, pa.int64()), pa.array(surfaces, kind)], [*rest, "rank", "cost", "surfaces"])
 
-        schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL("rank int, cost bigint, surfaces array<string>").fields])
+        schema = StructType([*(df.schema[c] for c in rest), *StructType.fromDDL(f"rank int, cost bigint, surfaces {'array<string>' if joined is None else 'string'}").fields])
         return df.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(rows, schema)
 
     def _flat_rows(self, df: DataFrame, rest: list[str], text: str, details: bool) -> DataFrame:

@@ -173,8 +173,7 @@ def yearly_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def nbest(spark: SparkSession, d: str) -> DataFrame:
     """Three cheapest analyses of each document."""
-    rows = tokenizer("function-words").nbest_rows(documents(spark, d).select("doc_id", "text"), "text", 3)
-    return rows.select("doc_id", "rank", "cost", F.array_join("surfaces", " ").alias("surfaces"))
+    return tokenizer("function-words").nbest_rows(documents(spark, d).select("doc_id", "text"), "text", 3, joined=" ")
 
 
 def decomposed(spark: SparkSession, d: str) -> DataFrame:

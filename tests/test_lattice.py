@@ -6,10 +6,11 @@ from hypothesis import strategies as st
 
 from kugiri.model import SYSTEM, UNKNOWN, USER, AnalysisError, Mode, Penalty
 from kugiri.operators.lattice import MOST_BYTES, Lattice, is_kanji, sentences
-from kugiri.plans.analyzer import Segmenter, Tokenizer
-from kugiri.sources.bundled import bundled
-from kugiri.sources.dictionary import UserDictionary
-from small import dictionary, metadata
+from kugiri.plans.analyzer import Ranks, Segmenter, Tokenizer
+from kugiri.sources.bundled import bundled, char_def
+from kugiri.sources.definitions import Categories
+from kugiri.sources.dictionary import Dictionary, UserDictionary
+from small import dictionary, matrix, metadata
 
 D = dictionary()
 
@@ -172,3 +173,38 @@ def test_session_options():
 def test_a_long_sentence_is_refused():
     with pytest.raises(AnalysisError):
         Lattice(D).best("a" * 65535)
+
+
+def nested() -> Dictionary:
+    """A lexicon with words whose parts are words."""
+    words = [("un", 1, 1, -400), ("a", 1, 2, -390), ("una", 2, 1, -700), ("n", 3, 3, -5), ("u", 2, 2, -5), ("l", 2, 1, -120), ("la", 4, 4, -130), ("la", 4, 4, -100), ("na", 2, 1, -60)]
+    unknown = "\n".join(f"{name},0,0,{200 + 10 * i},{name},*,*" for i, name in enumerate(Categories(char_def()).names))
+    return Dictionary.build(metadata(), char_def(), unknown, matrix(), [[w, str(a), str(b), str(c), "x", "y", "z"] for w, a, b, c in words])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="unal 1.京\n、x", max_size=40), st.integers(1, 4), st.booleans())
+def test_ranks_by_spans_are_those_of_whole_sentences(text, n, keep):
+    segmenter = Segmenter(nested(), keep_whitespace=keep)
+    assert Ranks.fit(segmenter)
+    expected = [(cost, "|".join(t.surface for t in tokens)) for tokens, cost in segmenter.segment_nbest(text, n)]
+    assert Ranks(segmenter, n, "|").of(text) == expected
+
+
+def test_ranks_search_spans_and_not_sentences(monkeypatch):
+    """Sentences were searched as they came; now a word seen before isn't searched again."""
+    segmenter = Segmenter(nested())
+    ranks = Ranks(segmenter, 3, " ")
+    searched, paths = [], Lattice.paths
+    monkeypatch.setattr(Lattice, "paths", lambda own, text, *rest: searched.append(text) or paths(own, text, *rest))
+    first = ranks.of("la una x 1.")
+    assert searched == ["la", "una", "x"] and len(first) == 3
+    assert ranks.of("la x una x 1.") and ranks.of("la una x 1.") == first and len(searched) == 3
+
+
+def test_sentences_with_open_order_are_searched_whole():
+    segmenter = Segmenter(nested())
+    ranks = Ranks(segmenter, 4, "|")
+    text = "una x una x una x unana 1 una"
+    assert ranks.of(text) == [(c, "|".join(t.surface for t in own)) for own, c in segmenter.segment_nbest(text, 4)]
+    assert not Ranks.fit(Segmenter(nested(), "decompose"))
